@@ -4,9 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from keyspan.llm import bpe, bradley_terry, divergence, mixing, simhash
+from keyspan.llm.common import read_table, written
+from keyspan.llm.queries import MIX_WEIGHTS
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the divergence rules keep."""
+    return divergence.kept_documents(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at or over the threshold; fitted on the labelled ones among them."""
+    model = bradley_terry.fitted(docs, read_table(spark, sf_dir, "labels"))
+    return bradley_terry.scored(docs, model, keep=True).where("score >= 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group whose fingerprints link; five-word shingles.
+
+    One row of a repeated id stays too.
+    """
+    groups = written(simhash.near_duplicates(docs, shingle=5, threshold=2), "groups")
+    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(firsts, "doc_id", "left_semi")
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # An id is unique in documents; should one repeat, its first row by text stays.
+    again = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, in shuffled order."""
+    return mixing.mixed(docs, MIX_WEIGHTS).select(*docs.columns)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, and digests of ids and decoded bytes."""
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_dedup),
+    ("source mix", source_mix),
+    ("byte-level BPE", byte_level_bpe),
+]
 
 #: No SQL states the classifier's fit, the fingerprints' components or the merges.
 ORACLE_SQL = None
@@ -14,8 +61,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each one's rows are written and read again."""
-    from keyspan.llm.common import read_table, written
-
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
