@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 
-#: Entries a worker's cache holds at most (about 150 bytes each).
-CACHE_ENTRIES = 700_000
+#: Entries a worker's cache holds at most (about 200 bytes each).
+CACHE_ENTRIES = 1_000_000
 
 _LOADED: dict[str, object] = {}
 
@@ -31,32 +30,51 @@ def tokenizer(path: str):
 
 
 class SegmentCache:
-    """segment -> value, where ``encode`` gives the values of many new segments."""
+    """segment -> value, where ``encode`` gives the values of many new segments.
+
+    When the bound is reached, the shorter half stays: short segments come up again.
+    """
 
     def __init__(self, encode, entries: int = CACHE_ENTRIES):
         self.encode, self.entries, self.known = encode, entries, {}
 
-    def ensure(self, lists: Iterable[list]) -> dict:
-        new: set = set()
-        for segments in lists:
-            new.update(segments)
-        if len(self.known) + len(new) > self.entries:
-            self.known.clear()
-        fresh = [x for x in new if x not in self.known] if self.known else list(new)
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            self.known.update(zip(part, self.encode(part), strict=True))
-        return self.known
-
-
-#: Every place before a blank that a non-blank follows, and both sides of other
-#: white space, is a token border of the byte-level pattern whatever stands around it.
-BYTE_LEVEL_SEGMENT = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
+    def values(self, segments: list) -> list:
+        """The value of each segment, in order."""
+        found = list(map(self.known.get, segments))
+        if None in found:
+            fresh = list({s for s, v in zip(segments, found) if v is None})
+            if len(self.known) + len(fresh) > self.entries:
+                kept = sorted(self.known, key=len)[: self.entries // 2]
+                self.known = {s: self.known[s] for s in kept}
+                fresh = list(set(segments).difference(self.known))
+            for k in range(0, len(fresh), 4096):
+                part = fresh[k : k + 4096]
+                self.known.update(zip(part, self.encode(part), strict=True))
+            found = list(map(self.known.__getitem__, segments))
+        return found
+
+
+#: Places that are token borders of the byte-level pattern whatever stands around
+#: them: before a blank that a non-blank follows, on both sides of other white space, and
+#: between a letter (of ASCII or Latin-1) and an ASCII punctuation mark.
+BYTE_LEVEL_SEGMENT = re.compile(
+    r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[\s!-/:-@\[-`{-~]|\Z)"
+    r"|[!-/:-@\[-`{-~]++(?=\s|\Z)"
+    r"| ?\S++|\s+(?=\s\S)|\s+"
+)
 
 #: Python counts these as white space, the tokenizers' patterns do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def byte_level_segments(text: str) -> list[str]:
+def added_strings(library) -> re.Pattern | None:
+    """The strings that the library takes out of a text before all else, the longest first."""
+    added = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+
+
+def byte_level_segments(text: str, added: re.Pattern | None = None) -> list[str]:
     """Segments whose encodings, concatenated, are the encoding of the text."""
+    if added is not None and added.search(text):
+        return [s for part in added.split(text) if part for s in ([part] if added.fullmatch(part) else byte_level_segments(part))]
     return [text] if _SEPARATORS.search(text) else BYTE_LEVEL_SEGMENT.findall(text)

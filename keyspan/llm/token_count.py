@@ -44,8 +44,9 @@ class Encoder:
 
     def short(self, texts: list[bytes]) -> list[int]:
         lists = [t.split() for t in texts]  # of bytes: ASCII white space only
-        known = self.counts.ensure(lists)
-        return [sum(map(known.__getitem__, words)) for words in lists]
+        counts = self.counts.values([w for words in lists for w in words])
+        bounds = np.cumsum([0, *map(len, lists)]).tolist()
+        return [sum(counts[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def offsets(self, word: str) -> list[tuple[int, bool]]:
         """Start of each token, and whether the scanner's match starts there too."""
@@ -71,8 +72,7 @@ class Chunk:
         edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edges == 1) + begin, np.flatnonzero(edges == -1) + begin
         words = part.encode().split()
-        known = encoder.counts.ensure([words])
-        self.sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))])
+        self.sums = np.concatenate([[0], np.cumsum(np.array(encoder.counts.values(words), np.int64))])
 
     def inner(self, k: int) -> list[tuple[int, bool]]:
         """Start of each token in the k-th word, and whether a word of the scanner starts there."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import as_binary, delete_path, map_arrow, pieces, scratch_path, shared_dir
-from keyspan.llm.segments import SegmentCache, byte_level_segments, tokenizer
+from keyspan.llm.segments import SegmentCache, added_strings, byte_level_segments, tokenizer
 
 #: Ids in a block, at most, but for a longer document.
 BLOCK_IDS = 1 << 20
@@ -106,13 +106,14 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, kind: str, id_column: s
     end = np.array([end_id], kind).tobytes()
 
     def make():
-        cache = _segment_cache(vocabulary, kind)
+        cache, added = _segment_cache(vocabulary, kind), added_strings(tokenizer(vocabulary))
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [(t or b"").decode() for t in as_binary(batch.column(1)).to_pylist()]
-            lists = [byte_level_segments(t) for t in texts]
-            known = cache.ensure(lists)
-            return {"id": batch.column(0), "key": [zlib.crc32(t.encode()) for t in texts], "ids": [b"".join([*map(known.__getitem__, x), end]) for x in lists]}
+            lists = [byte_level_segments(t, added) for t in texts]
+            values = cache.values([s for x in lists for s in x])
+            bounds = np.cumsum([0, *map(len, lists)]).tolist()
+            return {"id": batch.column(0), "key": [zlib.crc32(t.encode()) for t in texts], "ids": [b"".join(values[a:b]) + end for a, b in zip(bounds, bounds[1:])]}
 
         return work
 
