@@ -1,0 +1 @@
+"""A deterministic algebra of immutable keyed collections, as Spark DataFrames."""

@@ -1,14 +1,15 @@
-"""Registry of the engine's own queries."""
+"""The engine's own queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from keyspan.queries import arrays, effects, maps, scalars, streams, texts
+from keyspan.queries.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "arrays", "effects", "flagship", "maps", "scalars", "streams", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed filter, then the first rows of the total order by value."""
     return QUERIES["sort_by_key"](spark, sf_dir)
