@@ -69,7 +69,7 @@ def src_fetch_pinned(t: Tables) -> DataFrame:
     name = t.region.where("r_regionkey = 0").first()["r_name"]
     t.spark.createDataFrame([(name,)], "value string").coalesce(1).write.option("lineSep", "|").text(root)
     pin = hashlib.sha256(f"{name}|".encode()).hexdigest()
-    manifest = t.spark.createDataFrame([("good", f"{root}/part-00000*", pin), ("torn", f"{root}/part-00000*", "0" * 64), ("gone", f"{root}/none", pin)], "name string, url string, sha256 string")
+    manifest = t.spark.createDataFrame([("good", f"{root}/part-00000*", pin), ("torn", f"{root}/part-00000*", "0" * 64), ("gone", f"{root}/none", "1" * 64)], "name string, url string, sha256 string")
     files = t.spark.read.format("binaryFile").load(root).select("path").first()["path"]
     manifest = manifest.withColumn("url", F.when(F.col("url").endswith("*"), files).otherwise(F.col("url")))
     out = blobs.fetch(t.spark, manifest)

@@ -96,9 +96,9 @@ def set_intersect(t: Tables) -> DataFrame:
     return M.intersect(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT k, side FROM (SELECT k, CASE WHEN min(l) = 1 THEN 'left' ELSE 'right' END AS side, count(DISTINCT l) AS c FROM (SELECT c_nationkey AS k, 1 AS l FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY k) WHERE c = 1")
+@query("SELECT k, side FROM (SELECT k, CASE WHEN min(l) = 1 THEN 'left' ELSE 'right' END AS side, count(DISTINCT l) AS c FROM (SELECT c_nationkey AS k, 1 AS l FROM customer WHERE c_nationkey < 15 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY k) WHERE c = 1")
 def set_symdiff(t: Tables) -> DataFrame:
-    return M.symmetric_difference(t.customer.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
+    return M.symmetric_difference(t.customer.where("c_nationkey < 15").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT n_nationkey, coalesce(m, 0) AS matches, CASE WHEN m = 1 THEN s END AS s_suppkey FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS m, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey")

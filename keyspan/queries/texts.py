@@ -146,7 +146,7 @@ def semver_sort(t: Tables) -> DataFrame:
     return v.orderBy(semver.precedence(semver.parse(F.col("text"))).desc(), F.desc("text")).limit(25)
 
 
-@query(f"SELECT p_partkey, text FROM ({_PARTS}) WHERE k > 1 AND (major, minor, patch) >= (1, 2, 3) AND (major, minor, patch) < (2, 0, 0)")
+@query(f"SELECT p_partkey, text FROM ({_PARTS}) WHERE k > 1 AND major * 1000000 + minor * 1000 + patch >= 1002003 AND major < 2")
 def semver_contains(t: Tables) -> DataFrame:
     wanted = semver.parse_requirement("^1.2.3")
     return _versions(t).where(semver.contains(wanted, semver.parse(F.col("text"))))
