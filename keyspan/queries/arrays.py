@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.functions import arrays as A
@@ -12,8 +12,10 @@ from keyspan.operators.keyed import counted, fold_groups
 from keyspan.plans.order import total_sort
 from keyspan.queries.registry import Tables, query
 
-#: Words of a part's name as an array: small, and in every row.
-WORDS = F.split("p_name", " ", -1)
+
+def words() -> Column:
+    """Words of a part's name: a small array in every row."""
+    return F.split("p_name", " ", -1)
 
 
 @query("SELECT p_partkey, array_to_string(range(p_size % 5, p_size % 7), ',') AS xs FROM part")
@@ -30,12 +32,12 @@ def arr_index(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n FROM part")
 def arr_len(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.size(WORDS).cast("long").alias("n"))
+    return t.part.select("p_partkey", F.size(words()).cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w) || '!'), ' ') AS xs FROM part")
 def arr_map(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(A.mapped(WORDS, lambda w: F.concat(F.upper(w), F.lit("!"))), " ").alias("xs"))
+    return t.part.select("p_partkey", join(A.mapped(words(), lambda w: F.concat(F.upper(w), F.lit("!"))), " ").alias("xs"))
 
 
 @query("SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS total, count(*) AS n FROM orders GROUP BY o_custkey")
@@ -55,12 +57,12 @@ def agg_count_by_key(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, list_last(string_split(p_name, ' ')) AS tail, array_to_string(list_slice(string_split(p_name, ' '), 1, len(string_split(p_name, ' ')) - 1), ' ') AS rest FROM part")
 def arr_split_last(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", A.split_last(WORDS).alias("s")).select("p_partkey", F.col("s.last").alias("tail"), join(F.col("s.rest"), " ").alias("rest"))
+    return t.part.select("p_partkey", A.split_last(words()).alias("s")).select("p_partkey", F.col("s.last").alias("tail"), join(F.col("s.rest"), " ").alias("rest"))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS xs FROM part")
 def sort_array(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(F.sort_array(WORDS), " ").alias("xs"))
+    return t.part.select("p_partkey", join(F.sort_array(words()), " ").alias("xs"))
 
 
 @query("SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events WHERE event_type <> 'view') WHERE r <= 10")
@@ -71,12 +73,12 @@ def sort_by_key(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, p_name || ' ' || p_brand AS xs FROM part")
 def arr_append(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(F.array_append(WORDS, F.col("p_brand")), " ").alias("xs"))
+    return t.part.select("p_partkey", join(F.array_append(words(), F.col("p_brand")), " ").alias("xs"))
 
 
 @query("SELECT p_partkey, p_name || ' ' || p_type AS xs FROM part")
 def arr_concat(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(F.concat(WORDS, F.split("p_type", " ", -1)), " ").alias("xs"))
+    return t.part.select("p_partkey", join(F.concat(words(), F.split("p_type", " ", -1)), " ").alias("xs"))
 
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.35)) > 0 AS found FROM embeddings")
@@ -91,12 +93,12 @@ def arr_all(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, list_contains(string_split(p_name, ' '), '7') AS found FROM part")
 def arr_contains(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", A.contains(WORDS, F.lit("7")).alias("found"))
+    return t.part.select("p_partkey", A.contains(words(), F.lit("7")).alias("found"))
 
 
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS head, string_split(p_name, ' ')[-1] AS tail FROM part")
 def arr_first_last(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", A.first(WORDS).alias("head"), A.last(WORDS).alias("tail"))
+    return t.part.select("p_partkey", A.first(words()).alias("head"), A.last(words()).alias("tail"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20")
@@ -112,4 +114,4 @@ def str_join(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_name, ' '))), ' ') AS s FROM part")
 def set_from_array(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(A.to_set(F.concat(WORDS, WORDS)), " ").alias("s"))
+    return t.part.select("p_partkey", join(A.to_set(F.concat(words(), words())), " ").alias("s"))

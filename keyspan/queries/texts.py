@@ -9,8 +9,6 @@ from keyspan.functions import paths, results, semver
 from keyspan.functions import strings as S
 from keyspan.queries.registry import Tables, query
 
-TEXT = F.col("text")
-
 
 @query("SELECT c_custkey, c_name || '/' || c_mktsegment AS s FROM customer")
 def str_concat(t: Tables) -> DataFrame:
@@ -24,12 +22,12 @@ def str_trim(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, contains(text, 'the.') AS found FROM documents")
 def str_contains(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.contains(TEXT, F.lit("the.")).alias("found"))
+    return t.documents.select("doc_id", S.contains(F.col("text"), F.lit("the.")).alias("found"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '. ') THEN substr(text, 1, instr(text, '. ') - 1) END AS head, CASE WHEN contains(text, '. ') THEN length(substr(text, instr(text, '. ') + 2)) END AS after, CASE WHEN NOT contains(text, '. ') THEN 'MissingDelimiter' END AS failure FROM documents")
 def str_split_once(t: Tables) -> DataFrame:
-    r = t.documents.select("doc_id", S.split_once(TEXT, ". ").alias("r"))
+    r = t.documents.select("doc_id", S.split_once(F.col("text"), ". ").alias("r"))
     return r.select("doc_id", F.col("r.ok.before").alias("head"), F.length("r.ok.after").cast("long").alias("after"), F.col("r.err.code").alias("failure"))
 
 
@@ -48,12 +46,12 @@ def str_is_numeric(t: Tables) -> DataFrame:
 
 @query(r"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) END AS BIGINT) AS n, string_split(text, chr(10))[1] AS head FROM documents")
 def str_lines(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.lines(TEXT).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0)).alias("head"))
+    return t.documents.select("doc_id", S.lines(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0)).alias("head"))
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, '. ')) AS BIGINT) AS n FROM documents")
 def str_split(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(S.split(TEXT, ". ")).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.size(S.split(F.col("text"), ". ")).cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, starts_with(p_name, 'part') AS yes FROM part")
@@ -68,7 +66,7 @@ def str_strip_prefix(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, md5(replace(text, 'the', 'THE')) AS digest FROM documents")
 def str_replace(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(S.replace(TEXT, "the", "THE").cast("binary")).alias("digest"))
+    return t.documents.select("doc_id", F.md5(S.replace(F.col("text"), "the", "THE").cast("binary")).alias("digest"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE lang || '/' END || 'index.html' AS path FROM (SELECT page_id, 'd' || page_id AS lang FROM pages)")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyspan.functions.results import error, result
 from keyspan.sources.store import exists, shared_dir
@@ -36,7 +37,7 @@ def digest(blob: Column) -> Column:
     return F.sha2(blob, 256)
 
 
-@F.pandas_udf("struct<ok:binary,err:string>")
+@F.pandas_udf(T.StructType([T.StructField("ok", T.BinaryType()), T.StructField("err", T.StringType())]))
 def gunzip(blobs: pd.Series) -> pd.DataFrame:
     """Result of decompressing each blob."""
     out = []
@@ -48,7 +49,19 @@ def gunzip(blobs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ok", "err"])
 
 
-@F.udtf(returnType="path string, kind string, length bigint, content binary, executable boolean, target string")
+ENTRY = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+        T.StructField("executable", T.BooleanType()),
+        T.StructField("target", T.StringType()),
+    ]
+)
+
+
+@F.udtf(returnType=ENTRY)
 class Untar:
     """Rows of an archive's entries: files, folders and links."""
 
