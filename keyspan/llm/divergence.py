@@ -9,8 +9,9 @@ scatter, so the limit on words widens with 1 / sqrt(n_words), and texts under
 (too few words, too many repeated windows) come first.
 
 Histograms: characters of words as upper-case letters, other letters, digits,
-symbols `[#*$%&|<>]` and the rest; lower-cased words as the ``common`` commonest of
-the language and the rest.  A reference is kept for languages with ``min_share`` of
+symbols `[#*$%&|<>]` and the rest; words as the ``common`` commonest of the language
+and the rest.  A text is split once; what the verdict needs of it are few numbers,
+which are written before references and verdicts are made of them.  A reference is kept for languages with ``min_share`` of
 all documents, so there are 1 / min_share of them at most, and they may be broadcast.
 
 Windows are compared by their 64-bit XXH64 (a clash of two different windows in one
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from keyspan.llm.common import written
+
 #: The characters that separate words, and the symbols counted.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -45,8 +48,8 @@ class Rules:
     common: int = 20
     min_share: float = 0.001
     witness_share: float = 0.2
-    char_limit: float = 0.30
-    word_limit: float = 0.15
+    char_limit: float = 0.27
+    word_limit: float = 0.14
     word_scatter: float = 2.0
 
 
@@ -89,69 +92,72 @@ def _duplicate_lines(text: Column) -> Column:
     return _let(filled, lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
 
 
-def _class_counts(text: Column) -> Column:
-    """Counts of upper-case letters, other letters, digits, symbols and the rest."""
-    solid = _without(text, BLANKS)
+def common_words(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """ref_lang and common_words (by the number of documents that have them) of each larger language."""
+    rows = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("ref_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = rows.groupBy("ref_lang").agg(F.count("*").alias("docs"))
+    total = sizes.agg(F.sum("docs").alias("all_docs"))
+    larger = sizes.crossJoin(F.broadcast(total)).where(F.col("docs") >= rules.min_share * F.col("all_docs")).select("ref_lang")  # one row beside each language
+    counted = rows.select("ref_lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
+    # Spark keeps the first ranks within each task before it shuffles them.
+    place = F.row_number().over(W.partitionBy("ref_lang").orderBy(F.desc("n"), "word"))
+    top = counted.select("ref_lang", "word", place.alias("place")).where(F.col("place") <= rules.common)
+    words = top.groupBy("ref_lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda v: v["word"]).alias("common_words"))
+    return words.join(larger, "ref_lang", "left_semi")
+
 
-    def of(s: Column) -> Column:
-        plain = _without(s, SYMBOLS)
+def _measures(text: Column, common: Column, repeats: bool) -> Column:
+    """All that is counted in a text, from one list of its words."""
 
-        def rest(p: Column) -> Column:
-            letters = F.regexp_replace(p, "[^\\p{L}]+", "")
-            return _let(letters, lambda x: F.array(*(c.cast("long") for c in (F.length(F.regexp_replace(x, "[^\\p{Lu}]+", "")), F.length(F.regexp_replace(x, "[\\p{Lu}]+", "")), F.length(F.regexp_replace(p, "[^0-9]+", "")), F.length(s) - F.length(p), F.length(p) - F.length(x) - F.length(F.regexp_replace(p, "[^0-9]+", ""))))))
+    def marks(rest: Column) -> Column:
+        return F.struct(F.length(rest).alias("all"), (F.length(rest) - F.length(_without(rest, SYMBOLS))).alias("symbols"), F.length(F.regexp_replace(rest, "[^0-9]+", "")).alias("digits"))
 
-        return _let(plain, rest)
+    def characters(solid: Column) -> Column:
+        return F.struct(F.length(solid).alias("all"), F.length(F.regexp_replace(solid, "[^\\p{Lu}]+", "")).alias("upper"), _let(F.regexp_replace(solid, "\\p{L}+", ""), marks).alias("marks"))
 
-    return _let(solid, of)
+    def of(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            (repeat_words(words) if repeats else F.lit(0).cast("long")).alias("n_repeat_words"),
+            _let(F.array_join(words, ""), characters).alias("c"),
+            F.transform(common, lambda w: (F.size(words) - F.size(F.array_remove(words, w))).cast("long")).alias("common"),
+        )
 
+    return _let(_words(text), of)
 
-def _common_counts(text: Column, words: Column) -> Column:
-    """How often each word stands between blanks in a text of doubled blanks."""
-    return F.transform(words, lambda w: F.expr("0L") + ((F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long"))
 
+def measured(df: DataFrame, words: DataFrame, repeats: bool = True, keep: bool = False) -> DataFrame:
+    """One row of counts for each document, with its id or (``keep``) all its columns as ``own``.
 
-def _spaced(text: Column) -> Column:
-    """Lower-cased words with two blanks between and one at each end."""
-    return F.concat(F.lit(" "), F.replace(F.array_join(_words(F.lower(text)), " "), F.lit(" "), F.lit("  ")), F.lit(" "))
+    ``words`` has at most 1 / min_share rows and is broadcast.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)) if keep else F.struct("doc_id")
+    lines = _duplicate_lines(F.col("text")) if repeats else F.lit(0).cast("long")
+    rows = df.select(own.alias("own"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("ref_lang"), text.alias("text")).join(F.broadcast(words), "ref_lang", "left")
+    rows = rows.select("own", "ref_lang", "common_words", lines.alias("n_dup_lines"), _measures(F.col("text"), F.col("common_words"), repeats).alias("m"))
+    c = F.col("m.c")
+    classes = F.array(*(x.cast("long") for x in (c["upper"], c["all"] - c["marks"]["all"] - c["upper"], c["marks"]["digits"], c["marks"]["symbols"], c["marks"]["all"] - c["marks"]["digits"] - c["marks"]["symbols"])))
+    return rows.select("own", "ref_lang", "common_words", F.col("m.n_words").alias("n_words"), c["all"].cast("long").alias("word_chars"), c["marks"]["symbols"].cast("long").alias("n_symbols"), "n_dup_lines", F.col("m.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), F.col("m.common").alias("common"))
 
 
-def references(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """ref_lang, common_words, common_share and class_share (arrays) of each larger language.
+def references(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """ref_lang, common_share and class_share (arrays) of each language with common words.
 
-    Words are ranked by the number of documents that have them. Shares are means over
-    the language's documents, so that a long one counts as any other; too short
-    documents, and those that one common word fills by more than ``witness_share``,
-    say nothing of the language.
+    Shares are means over the language's documents, so that a long one counts as any
+    other; too short documents, and those that one common word fills by more than
+    ``witness_share``, say nothing of the language.
     """
-    rows = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("ref_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = rows.groupBy("ref_lang").agg(F.count("*").alias("docs"))
-    total = sizes.agg(F.sum("docs").alias("all_docs"))
-    larger = sizes.crossJoin(F.broadcast(total)).where(F.col("docs") >= rules.min_share * F.col("all_docs")).select("ref_lang")  # one row beside each language
-    counted = rows.select("ref_lang", F.explode(F.array_distinct(_words(F.lower("text")))).alias("word")).groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
-    # Spark keeps the first ranks within each task before it shuffles them.
-    place = F.row_number().over(W.partitionBy("ref_lang").orderBy(F.desc("n"), "word"))
-    top = counted.select("ref_lang", "word", place.alias("place")).where(F.col("place") <= rules.common)
-    words = top.groupBy("ref_lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda v: v["word"]).alias("common_words"))
-    words = words.join(larger, "ref_lang", "left_semi")
-    seen = rows.join(F.broadcast(words), "ref_lang").select(
-        "ref_lang",
-        "common_words",
-        F.size(_words(F.col("text"))).alias("n"),
-        _class_counts(F.col("text")).alias("classes"),
-        _let(_spaced(F.col("text")), lambda t: _common_counts(t, F.col("common_words"))).alias("common"),
-    )
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    seen = seen.where((F.col("n") >= rules.min_words) & (F.array_max("common") <= rules.witness_share * F.col("n")) & (chars > 0))
-    seen = seen.select("ref_lang", "common_words", F.transform("common", lambda x: x / F.col("n")).alias("w"), F.transform("classes", lambda x: x / chars).alias("c"))
-    means = seen.groupBy("ref_lang").agg(F.first("common_words").alias("common_words"), *(F.avg(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(rules.common)), *(F.avg(F.col("c")[k]).alias(f"c{k}") for k in range(5)))
-    return means.select("ref_lang", "common_words", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.size("common_words")).alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share"))
+    seen = counts.where(F.col("common").isNotNull() & (F.col("n_words") >= rules.min_words) & (F.array_max("common") <= rules.witness_share * F.col("n_words")) & (F.col("word_chars") > 0))
+    means = seen.groupBy("ref_lang").agg(F.max(F.size("common")).alias("size"), *(F.avg(F.get("common", F.lit(k)) / F.col("n_words")).alias(f"w{k}") for k in range(rules.common)), *(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
+    return means.select("ref_lang", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.col("size")).alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares; a missing rest is added to both."""
+    """Jensen-Shannon distance of two arrays of shares; what is missing to 1 is one more share."""
 
     def full(shares: Column) -> Column:
-        return F.concat(shares, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))))
+        return _let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
 
     def term(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
@@ -160,44 +166,29 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(halves, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def verdicts(df: DataFrame, refs: DataFrame, rules: Rules = Rules(), keep: bool = False) -> DataFrame:
-    """Counts, distances and verdict of each document; with ``keep`` beside all its columns.
-
-    ``refs`` has at most 1 / min_share rows and is broadcast.
-    """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    solid = _let(text, lambda t: _without(t, BLANKS))
-    counts = F.struct(
-        _let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
-        _let(solid, lambda s: F.struct(F.length(s).cast("long").alias("word_chars"), (F.length(s) - F.length(_without(s, SYMBOLS))).cast("long").alias("n_symbols"))).alias("c"),
-        _duplicate_lines(text).alias("n_dup_lines"),
-        _class_counts(text).alias("classes"),
-    )
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)) if keep else F.struct("doc_id")
-    rows = df.select(own.alias("own"), lang.alias("ref_lang"), text.alias("text"), counts.alias("k")).join(F.broadcast(refs), "ref_lang", "left")
-    n = F.col("k.w.n_words")
-    common = _let(_spaced(F.col("text")), lambda t: _common_counts(t, F.col("common_words")))
-    share = lambda counts, of: F.transform(counts, lambda x: x / of)
-    chars = F.aggregate("k.classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    char_distance = F.when(F.col("class_share").isNotNull() & (n >= rules.min_words), js_distance(share(F.col("k.classes"), chars), F.col("class_share")))
-    word_distance = F.when(F.col("common_share").isNotNull() & (n >= rules.min_words), js_distance(share(common, n), F.col("common_share")))
+def verdicts(counts: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Distances, base_failed and kept beside the counts. ``refs`` is bounded as ``words`` is."""
+    rows = counts.join(F.broadcast(refs), "ref_lang", "left")
+    n, chars = F.col("n_words"), F.col("word_chars")
+    tested = n >= rules.min_words
+    rows = rows.withColumn("char_distance", F.when(tested & F.col("class_share").isNotNull() & (chars > 0), js_distance(F.transform("classes", lambda x: x / chars), F.col("class_share"))))
+    rows = rows.withColumn("word_distance", F.when(tested & F.col("common_share").isNotNull(), js_distance(F.transform("common", lambda x: x / n), F.col("common_share"))))
     far = F.coalesce(F.col("char_distance") > rules.char_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.word_limit + rules.word_scatter / F.sqrt("n_words"), F.lit(False))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    out = rows.select("own", n.alias("n_words"), F.col("k.c.word_chars").alias("word_chars"), F.col("k.c.n_symbols").alias("n_symbols"), F.col("k.n_dup_lines").alias("n_dup_lines"), F.col("k.w.n_repeat_words").alias("n_repeat_words"), char_distance.alias("char_distance"), word_distance.alias("word_distance"))
-    out = out.select("*", failed.alias("base_failed"), (~failed & ~far).alias("kept"))
-    if keep:
-        return out
-    return out.select("own.doc_id", *made, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
 
 
 def quality_rules(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row for each document: doc_id, the counts, base_failed, kept, and both distances."""
-    return verdicts(df, references(df, rules), rules)
+    words = written(common_words(df, rules), "words")
+    counts = written(measured(df, words), "counts")
+    out = verdicts(counts, references(counts, rules), rules)
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select("own.doc_id", *made, F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def kept_documents(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` that the rules keep, with its columns."""
-    out = verdicts(df, references(df, rules), rules, keep=True).where("kept")
-    return out.select("own.*")
+    words = written(common_words(df, rules), "words")
+    refs = written(references(measured(df, words, repeats=False), rules), "references")
+    return verdicts(measured(df, words, keep=True), refs, rules).where("kept").select("own.*")
