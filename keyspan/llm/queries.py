@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm import ann, bpe, bradley_terry, chat, divergence, html_extract, mixing, simhash, token_count, token_store
+from keyspan.llm import ann, bpe, bradley_terry, chat, divergence, html_extract, mixing, simhash, sql, token_count, token_store
 from keyspan.llm.common import read_table
 
 
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ann_adaptive_scan, op2_bradley_terry, op3_html_line_blocks, op4_chat_parts, op5_token_counts, op6_divergence_rules, op7_byte_bpe, op8_token_files, op9_simhash, op10_poisson_mix)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_chat_parts": sql.OP4, "op6_divergence_rules": sql.OP6, "op10_poisson_mix": sql.OP10}
