@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by adaptive dimension scan.
 
 Index: unit vectors turned by one random rotation, dealt to inverted lists by their
-nearest centroid.  A list is cut into blocks of bounded size, so a crowded list is
-many tasks.  Search: a query goes to its nearest lists; in a block the candidates lie
-in column blocks of the rotated dimensions, and after each column block those are
-abandoned whose partial distance fails the test
+nearest centroid.  Lists are packed into shards of bounded size, and a crowded list is
+cut into several.  Search: a query goes to the shards of its nearest lists and scans
+those lists, nearest first; candidates lie in column blocks of the rotated
+dimensions, and after each column block those are abandoned whose partial distance
+fails the test
 
     partial > threshold * d / D * (1 + epsilon / sqrt(d)) ** 2
 
@@ -46,7 +47,7 @@ class Settings:
     sample: int = 65_536
     max_lists: int = 4_096
     #: Lists that a query visits: this share of all, and at least ``min_probes``.
-    probe_share: float = 0.08
+    probe_share: float = 0.55
     min_probes: int = 16
     epsilon: float = 2.1
     column_block: int = 16
@@ -102,40 +103,57 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def scan(query: np.ndarray, columns: list[np.ndarray], keep: int, epsilon: float, chunk: int = 1024) -> np.ndarray:
-    """Candidates that no test abandoned and that are among the ``keep`` best of their block.
+def scan(query: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, keep: int, epsilon: float, first: int = 128, chunk: int = 2048) -> np.ndarray:
+    """Those of ``rows`` that no test abandoned and that are among the ``keep`` best of them.
 
-    ``columns``: for each column block an array (dimensions, candidates).
+    ``columns``: for each column block an array (dimensions, candidates); ``rows``: the
+    candidates to scan, the most promising first. The threshold is the ``keep``-th best
+    whole distance so far; the first rows set it, all others are tested against it.
     """
-    n, d = columns[0].shape[1], len(query)
+    d = len(query)
     best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    threshold = np.inf
-    for start in range(0, n, chunk):
-        alive = np.arange(start, min(start + chunk, n))
-        partial = np.zeros(len(alive))
-        done = 0
+    threshold, start, size = np.inf, 0, first
+    while start < len(rows):
+        alive = rows[start : start + size]
+        start, size = start + size, chunk
+        partial, done = np.zeros(len(alive)), 0
         for block in columns:
-            part = block[:, alive] if len(alive) < chunk else block[:, start : start + chunk]
-            partial = partial + ((part - query[done : done + len(block), None]) ** 2).sum(0)
+            partial = partial + ((block[:, alive] - query[done : done + len(block), None]) ** 2).sum(0)
             done += len(block)
             if threshold < np.inf:
+                # Whole distances are compared as they are, but for rounding.
                 limit = threshold * (1.0 + 1e-9) if done == d else threshold * done / d * (1.0 + epsilon / np.sqrt(done)) ** 2
                 ok = partial <= limit
-                if not ok.all():
-                    alive, partial = alive[ok], partial[ok]
-                    if not len(alive):
-                        break
+                alive, partial = alive[ok], partial[ok]
+                if not len(alive):
+                    break
         if len(alive):
             best_at, best = np.concatenate([best_at, alive]), np.concatenate([best, partial])
             if len(best) > keep:
-                top = np.argpartition(best, keep - 1)[:keep]
+                # Ties with the last one stay; equal distances are told apart by their ids later.
+                limit = np.partition(best, keep - 1)[keep - 1]
+                top = best <= limit * (1.0 + 1e-9)
                 best_at, best = best_at[top], best[top]
-                threshold = best.max()
-            elif len(best) == keep:
-                threshold = best.max()
+            if len(best) >= keep:
+                threshold = np.partition(best, keep - 1)[keep - 1]
     return best_at
 
 
+def packed(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each list: small lists share one, a crowded one has several."""
+    first, splits = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // block))
+    shard, room = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if splits[i] > 1:
+            shard += 1
+            first[i], shard, room = shard, shard + int(splits[i]) - 1, 0
+        else:
+            if n > room:
+                shard, room = shard + 1, block
+            first[i], room = shard, room - n
+    return first, splits
+
+
 def nearest(df: DataFrame, is_query: Column, settings: Settings = Settings(), id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each query row."""
     spark, k, keep = df.sparkSession, settings.k, settings.k + 1
@@ -171,64 +189,89 @@ def nearest(df: DataFrame, is_query: Column, settings: Settings = Settings(), id
     sizes = np.zeros(lists, np.int64)
     for row in placed.groupBy("list").count().collect():  # one row a list at most
         sizes[row["list"]] = row["count"]
-    splits = np.maximum(1, -(-sizes // settings.rows_block))
     probes = min(lists, max(settings.min_probes, round(lists * settings.probe_share)))
+    first, splits = packed(sizes, settings.rows_block)
+    half = (index.centroids**2).sum(1) / 2
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (index.centroids**2).sum(1) / 2
+    def chosen(rotated: np.ndarray) -> list[np.ndarray]:
+        """Lists that each query visits, nearest first: enough for k others at least."""
+        order = np.argsort(half - rotated @ index.centroids.T, axis=1, kind="stable")
+        enough = (np.cumsum(sizes[order], 1) < keep).sum(1) + 1
+        return [row[: max(probes, int(n))] for row, n in zip(order, enough)]
+
+    def turned(vectors: pa.Array) -> np.ndarray:
+        return _units(_matrix(vectors, d)) @ index.rotation
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                order = np.argsort(half - (_units(_matrix(part.column(0), d)) @ index.rotation) @ index.centroids.T, axis=1, kind="stable")
-                enough = (np.cumsum(sizes[order], 1) < keep).sum(1) + 1  # lists until there are k others
-                at, to = [], []
-                for i in range(part.num_rows):
-                    chosen = order[i, : max(probes, int(enough[i]))]
-                    chosen = chosen[sizes[chosen] > 0]
-                    at.append(np.full(len(chosen), i))
-                    to.append(chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), part.column(0).take(pa.array(np.concatenate(at)))], names=["list", "q"])
-
-    visits = written(placed.where("asked").select("v").mapInArrow(visit, "list int, q array<float>"), "visits")
+                yield part, chosen(turned(part.column(0)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(lists, np.int64)
+        for _, visited in parts(batches):
+            total += np.bincount(np.concatenate(visited), minlength=lists)
+        yield pa.RecordBatch.from_pydict({"list": np.arange(lists, dtype=np.int32), "n": total})
+
     asked = np.zeros(lists, np.int64)
-    for row in visits.groupBy("list").count().collect():
-        asked[row["list"]] = row["count"]
-    query_splits = np.maximum(1, -(-asked // settings.queries_block))
-    # A cell is a block of candidates with a block of queries of one list.
-    table = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "s": splits.astype(np.int32), "t": query_splits.astype(np.int32)}))
-    table = F.broadcast(table)  # max_lists rows at most
-    part_of = lambda value, parts: F.pmod(F.xxhash64(value), parts).cast("int")
-    candidates = placed.join(table, "list").select("list", part_of("v", F.col("s")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("t"), "v", "ids")
-    queries = visits.join(table, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), part_of("q", F.col("t")).alias("t"), "q")
+    asks = placed.where("asked").select("v")
+    for row in asks.mapInArrow(count, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one row a list
+        asked[row["list"]] = row["n"]
+    # Queries of a shard are dealt to blocks, too; a crowded list's shards have equal numbers.
+    by_first = np.bincount(first, weights=asked)
+    blocks = np.maximum(1, -(-by_first[first].astype(np.int64) // settings.queries_block))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, visited in parts(batches):
+            at, shard, of = [], [], []
+            for i, own in enumerate(visited):
+                heads, where = np.unique(first[own], return_index=True)
+                n = splits[own[where]]
+                at.append(np.full(int(n.sum()), i))
+                shard.append(np.concatenate([np.arange(h, h + m) for h, m in zip(heads, n)]))
+                of.append(np.repeat(blocks[own[where]], n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(of).astype(np.int32)), part.column(0).take(pa.array(np.concatenate(at)))], names=["shard", "blocks", "q"])
+
+    part_of = lambda value, n: F.pmod(F.xxhash64(value), n).cast("int")
+    queries = asks.mapInArrow(visit, "shard int, blocks int, q array<float>").select("shard", part_of("q", F.col("blocks")).alias("block"), "q")
+    table = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "first": first.astype(np.int32), "splits": splits.astype(np.int32), "blocks": blocks.astype(np.int32)}))
+    candidates = placed.join(F.broadcast(table), "list")  # max_lists rows at most
+    candidates = candidates.select((F.col("first") + part_of("v", F.col("splits"))).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "v", "ids")
 
     def search(asking: pa.Table, held: pa.Table) -> pa.Table:
-        qs, found, scores, ids = [], [], [], []
+        qs, found, scores = [], [], []
         if asking.num_rows and held.num_rows:
+            held = held.sort_by("list")
+            number = held["list"].to_numpy()
+            low, high = np.searchsorted(number, np.arange(lists)), np.searchsorted(number, np.arange(lists), "right")
             original = _matrix(held["v"], d)
             norms = np.linalg.norm(original, axis=1)
-            turned = np.ascontiguousarray(((original / norms[:, None]) @ index.rotation).T)
-            columns = [turned[c : c + settings.column_block] for c in range(0, d, settings.column_block)]
-            queries = _matrix(asking["q"], d)
-            lengths = np.linalg.norm(queries, axis=1)
-            rotated = (queries / lengths[:, None]) @ index.rotation
-            for i in range(len(queries)):
-                at = scan(rotated[i], columns, keep, settings.epsilon)
-                exact = (original[at] * queries[i]).sum(1) / (norms[at] * lengths[i])
-                qs.append(np.full(len(at), i))
-                found.append(at)
-                scores.append(exact)
+            by_dimension = np.ascontiguousarray(((original / norms[:, None]) @ index.rotation).T)
+            columns = [by_dimension[c : c + settings.column_block] for c in range(0, d, settings.column_block)]
+            asked_for = _matrix(asking["q"], d)
+            lengths = np.linalg.norm(asked_for, axis=1)
+            rotated = (asked_for / lengths[:, None]) @ index.rotation
+            for start in range(0, len(rotated), 512):
+                for i, own in enumerate(chosen(rotated[start : start + 512]), start):
+                    here = own[high[own] > low[own]]
+                    rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(low[x], high[x]) for x in here)])
+                    at = scan(rotated[i], columns, rows, keep, settings.epsilon)
+                    qs.append(np.full(len(at), i))
+                    found.append(at)
+                    scores.append((original[at] * asked_for[i]).sum(1) / (norms[at] * lengths[i]))
         place = np.concatenate([np.zeros(0, np.int64), *qs])
         at = np.concatenate([np.zeros(0, np.int64), *found])
         return pa.table({"q": asking["q"].combine_chunks().take(pa.array(place)), "score": np.concatenate([np.zeros(0), *scores]), "ids": held["ids"].combine_chunks().take(pa.array(at))})
 
-    cells = ["list", "s", "t"]
-    met = queries.groupBy(*cells).cogroup(candidates.groupBy(*cells)).applyInArrow(search, "q array<float>, score double, ids array<long>")
+    # A cell: a shard of candidates with a block of the queries that visit it.
+    met = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(search, "q array<float>, score double, ids array<long>")
     near = met.select("q", "score", F.explode("ids").alias("vec_id"))
     by_score = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= keep).select("q", "score", "vec_id")
     near = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))  # k + 1 at most
     # Spark splits the rows of a vector that many queries share.
-    asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
     others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-    out = asks.join(near, "q").select("query_id", F.posexplode(others).alias("pos", "c"))
+    out = queries.join(near, "q").select("query_id", F.posexplode(others).alias("pos", "c"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.minus")).alias("score"))
