@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,8 +186,6 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
         make = lambda: lambda batch: {"id": batch.column(0), "score": score(as_binary(batch.column(1)).to_pylist())}
         return map_arrow(rows, make, "id long, score double", "text").withColumnRenamed("id", id_column)
 
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score_of(texts: pd.Series) -> pd.Series:
         return pd.Series(score([t.encode() if t is not None else None for t in texts]), dtype="float64")
