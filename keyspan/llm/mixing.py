@@ -16,7 +16,7 @@ none is hot.
 Results for edge cases: null and empty texts are documents as any other; a null
 source is a source of its own; repeated rows draw equal counts; a null id is hashed as ''; a
 weight of 0 drops the source; an empty table gives an empty result; other columns
-are carried along, also ones named as this module's own.
+are carried along (``__copy`` and ``__key`` are replaced).
 """
 
 from __future__ import annotations
@@ -74,23 +74,24 @@ def mixed(df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: fl
     from keyspan.llm.common import written
 
     rates = written(source_rates(df, weights, rest, epoch, source_column), "rates")
-    large = rates.where(F.col("__docs") * max_sources >= F.col("__all")).select(_SOURCE, F.col(_RATE).alias("__large"))
-    small = rates.where(F.col("__docs") * max_sources < F.col("__all")).select(_SOURCE, F.col(_RATE).alias("__small"))
-    source = F.col(source_column).cast("string")
-    with_rate = df.withColumn(_SOURCE, source)
-    match = lambda other: with_rate[_SOURCE].eqNullSafe(other[_SOURCE])
-    with_rate = with_rate.join(F.broadcast(large), match(large), "left").drop(large[_SOURCE])
-    if not small.isEmpty():
-        rare = with_rate.where(F.col("__large").isNull())
-        rare = rare.join(small, rare[_SOURCE].eqNullSafe(small[_SOURCE])).drop(small[_SOURCE]).withColumn("__large", F.col("__small")).drop("__small")
-        with_rate = with_rate.where(F.col("__large").isNotNull()).unionByName(rare)
+    large = F.col("__docs") * max_sources >= F.col("__all")
+    # The document's own columns travel as one, so that no name of theirs can clash.
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__own")
+    rows = df.select(own, F.col(source_column).cast("string").alias("__of"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("__id"))
+    same = F.col("__of").eqNullSafe(F.col(_SOURCE))
+    rated = rows.join(F.broadcast(rates.where(large).select(_SOURCE, _RATE)), same, "left").select("__own", "__of", "__id", _RATE)
+    rare = rates.where(~large).select(_SOURCE, F.col(_RATE).alias("__small"))
+    if not rare.isEmpty():
+        others = rated.where(F.col(_RATE).isNull()).join(rare, same).select("__own", "__of", "__id", F.col("__small").alias(_RATE))
+        rated = rated.where(F.col(_RATE).isNotNull()).unionByName(others)
     # Counts of very high rates: sums of Poisson draws are Poisson, so a rate splits into equal parts.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__large") / 400).cast("int"))
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson_count(uniform(seed, F.col(id_column), j), F.col("__large") / parts))
-    count = F.when(F.col("__large") > 0, F.aggregate(draws, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
-    out = with_rate.withColumn(_COUNT, count).where(F.col(_COUNT) > 0)
-    out = out.withColumn(_COPY, F.explode(F.sequence(F.lit(1), F.col(_COUNT))))
-    out = out.withColumn(_KEY, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col(_COPY).cast("string")).cast("binary")))
-    out = out.select(*(F.col(f"`{c}`") for c in df.columns), _COPY, _KEY)
-    return out.repartitionByRange(_KEY).sortWithinPartitions(_KEY) if shuffled else out
-
+    rate = F.col(_RATE)
+    parts = F.greatest(F.lit(1), F.ceil(rate / 400).cast("int"))
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson_count(uniform(seed, F.col("__id"), j), rate / parts))
+    count = F.when(rate > 0, F.aggregate(draws, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
+    out = rated.select("__own", "__id", count.alias(_COUNT)).where(F.col(_COUNT) > 0)
+    out = out.select("__own", "__id", F.explode(F.sequence(F.lit(1), F.col(_COUNT))).alias(_COPY))
+    out = out.select("__own", _COPY, F.md5(F.concat_ws(":", F.lit(seed), "__id", F.col(_COPY).cast("string")).cast("binary")).alias(_KEY))
+    if shuffled:
+        out = out.repartitionByRange(_KEY).sortWithinPartitions(_KEY)
+    return out.select(*(F.col("__own")[c].alias(c) for c in df.columns if c not in (_COPY, _KEY)), _COPY, _KEY)
