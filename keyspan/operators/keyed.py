@@ -84,8 +84,7 @@ class KeyedStream:
 
     def split_min_by(self, *group: str) -> DataFrame:
         """Least value of each group."""
-        order = [c for c in self._by_value()]
-        place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        place = F.row_number().over(W.partitionBy(*group).orderBy(*self._by_value()))
         return self.df.withColumn("__place", place).where("__place = 1").drop("__place")
 
     def _row(self) -> Column:

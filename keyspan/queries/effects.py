@@ -121,7 +121,7 @@ def rec_tail_sum(t: Tables) -> DataFrame:
     return graph.tail_sum(t.spark, 0, 10_000_000)
 
 
-@query("SELECT n_nationkey AS node, CAST(n_nationkey // 5 + CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 0 END AS INTEGER) AS round FROM nation")
+@query("SELECT n_nationkey AS node, CAST(n_nationkey // 5 AS INTEGER) AS round FROM nation")
 def graph_topo_rounds(t: Tables) -> DataFrame:
     """Nation k needs k - 5."""
     nodes = t.nation.select(F.col("n_nationkey").alias("node"))
