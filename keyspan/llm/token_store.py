@@ -31,6 +31,8 @@ from keyspan.llm.segments import SegmentCache, added_strings, byte_level_segment
 
 #: Ids in a block, at most, but for a longer document.
 BLOCK_IDS = 1 << 20
+#: Segments that a worker remembers (about 180 bytes each).
+ENTRIES = 1_300_000
 MAGIC = 0x314B4F54
 HEADER = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8")])
 
@@ -89,10 +91,43 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _CACHES: dict[tuple[str, str], SegmentCache] = {}
 
 
+def joined_encoder(path: str, kind: str):
+    """A function from segments to the bytes of their ids.
+
+    Where a segment starts with a blank and a non-blank there is a token border, whatever
+    stands before.  So such segments that also end with a non-blank go through the
+    library as one text; a token's length in bytes is that of its spelling, which tells
+    where each segment's ids end.
+    """
+    library = tokenizer(path)
+    size, width = library.get_vocab_size(), np.dtype(kind).itemsize
+    lengths = np.array([len(library.id_to_token(i) or "") for i in range(size)], np.int64)
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(segments: list[str]) -> list[bytes]:
+        chains = [s[0] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() for s in segments]
+        out: list[bytes] = [b""] * len(segments)
+        at = [i for i, c in enumerate(chains) if c]
+        if at:
+            ids = whole(["".join([segments[i] for i in at])])[0]
+            sizes = np.cumsum([len(segments[i].encode()) for i in at])
+            ends = np.searchsorted(np.cumsum(lengths[ids]), sizes, "left") + 1
+            raw, bounds = ids.tobytes(), (width * np.concatenate([[0], ends])).tolist()
+            for i, a, b in zip(at, bounds, bounds[1:]):
+                out[i] = raw[a:b]
+        rest = [i for i, c in enumerate(chains) if not c]
+        for i, ids in zip(rest, whole([segments[i] for i in rest])):
+            out[i] = ids.tobytes()
+        return out
+
+    return encode
+
+
 def _segment_cache(path: str, kind: str) -> SegmentCache:
     if (path, kind) not in _CACHES:
-        library = tokenizer(path)
-        _CACHES[path, kind] = SegmentCache(lambda part: [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False)])
+        _CACHES[path, kind] = SegmentCache(joined_encoder(path, kind), ENTRIES)
     return _CACHES[path, kind]
 
 
@@ -109,11 +144,12 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, kind: str, id_column: s
         cache, added = _segment_cache(vocabulary, kind), added_strings(tokenizer(vocabulary))
 
         def work(batch: pa.RecordBatch) -> dict:
-            texts = [(t or b"").decode() for t in as_binary(batch.column(1)).to_pylist()]
+            raw = [t or b"" for t in as_binary(batch.column(1)).to_pylist()]
+            texts = [t.decode() for t in raw]
             lists = [byte_level_segments(t, added) for t in texts]
             values = cache.values([s for x in lists for s in x])
             bounds = np.cumsum([0, *map(len, lists)]).tolist()
-            return {"id": batch.column(0), "key": [zlib.crc32(t.encode()) for t in texts], "ids": [b"".join(values[a:b]) + end for a, b in zip(bounds, bounds[1:])]}
+            return {"id": batch.column(0), "key": [zlib.crc32(t) for t in raw], "ids": [b"".join(values[a:b]) + end for a, b in zip(bounds, bounds[1:])]}
 
         return work
 
