@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, bradley_terry, divergence, mixing, simhash
+from keyspan.llm import bpe, bradley_terry, divergence, mixing, similar
 from keyspan.llm.common import read_table, written
 from keyspan.llm.queries import MIX_WEIGHTS
 
@@ -24,17 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose fingerprints link; five-word shingles.
-
-    One row of a repeated id stays too.
-    """
-    groups = written(simhash.near_duplicates(docs, shingle=5, threshold=2), "groups")
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(firsts, "doc_id", "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # An id is unique in documents; should one repeat, its first row by text stays.
-    again = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """One document of each group that five-word Jaccard similarities of 0.8 or more link: the least id, nulls last."""
+    return similar.firsts(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
