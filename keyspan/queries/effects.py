@@ -101,6 +101,17 @@ def blob_ops(t: Tables) -> DataFrame:
     return rows.select("doc_id", blobs.length(b).alias("n"), blobs.try_text(blobs.take(b, 8)).alias("head"))
 
 
+_CUTS = "[substr(text, 1, k) FOR k IN range(0, 9) IF strlen(substr(text, 1, k)) = least(8, strlen(text))]"
+
+
+@query(f"SELECT doc_id, strlen(text) AS n, {_CUTS}[1] AS head, CASE WHEN text IS NOT NULL AND len({_CUTS}) = 0 THEN 'InvalidText' END AS failure FROM documents")
+def blob_take_text(t: Tables) -> DataFrame:
+    """The first 8 bytes of every document, also where they cut a code point."""
+    b = F.col("text").cast("binary")
+    rows = t.documents.select("doc_id", blobs.length(b).alias("n"), blobs.try_text(blobs.take(b, 8)).alias("head"), "text")
+    return rows.select("doc_id", "n", "head", F.when(F.col("text").isNotNull() & F.col("head").isNull(), "InvalidText").alias("failure"))
+
+
 @query("SELECT 'p/' || p_partkey AS path, p_name AS content FROM part")
 def tree_union(t: Tables) -> DataFrame:
     files = t.part.select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("content"), "p_partkey")
