@@ -84,6 +84,13 @@ def math_div(t: Tables) -> DataFrame:
     return t.events.where("event_id >= 500").select("event_id", r.alias("r")).select("event_id", F.col("r.ok").alias("q"), F.col("r.err.code").alias("failure"))
 
 
+@query("SELECT event_id, CASE WHEN d <> 0 THEN sign(a) * (abs(a) // d) END AS q, CASE WHEN d = 0 THEN 'DivisionByZero' END AS failure FROM (SELECT event_id, event_id - 500 AS a, user_id % 5 AS d FROM events)")
+def math_div_signed(t: Tables) -> DataFrame:
+    """Quotients towards zero, of negative dividends too."""
+    r = arith.try_div(F.col("event_id") - 500, F.col("user_id") % 5)
+    return t.events.select("event_id", r.alias("r")).select("event_id", F.col("r.ok").alias("q"), F.col("r.err.code").alias("failure"))
+
+
 @query("SELECT event_id, (event_id - 500) % 7 AS r FROM events")
 def math_rem(t: Tables) -> DataFrame:
     return t.events.select("event_id", arith.rem(F.col("event_id") - 500, F.lit(7)).alias("r"))
