@@ -8,7 +8,7 @@ words).  Build metadata comes last and takes no part in precedence.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,77 +39,99 @@ def precedence(version: Column) -> Column:
 
 @dataclass(frozen=True, order=True)
 class Bound:
-    """A version without prerelease as an interval's end."""
+    """A version as an interval's end; ``pre`` is (is_release, identifiers) and orders as the column does."""
 
     major: int
     minor: int
     patch: int
+    pre: tuple[int, tuple[tuple[int, int, str], ...]] = (1, ())
+
+    @property
+    def line(self) -> tuple[int, int, int]:
+        return self.major, self.minor, self.patch
 
     def column(self) -> Column:
-        pre = F.struct(F.lit(1).alias("is_release"), F.array().cast("array<struct<tag:int,num:bigint,alpha:string>>").alias("ids"))
+        one = [F.struct(F.lit(tag).alias("tag"), F.lit(num).cast("long").alias("num"), F.lit(alpha).alias("alpha")) for tag, num, alpha in self.pre[1]]
+        pre = F.struct(F.lit(self.pre[0]).alias("is_release"), F.array(*one).cast("array<struct<tag:int,num:bigint,alpha:string>>").alias("ids"))
         return F.struct(F.lit(self.major).cast("long").alias("major"), F.lit(self.minor).cast("long").alias("minor"), F.lit(self.patch).cast("long").alias("patch"), pre.alias("pre"))
 
 
 @dataclass(frozen=True)
 class Interval:
-    """low <= v < high, each open or closed; None is unbounded."""
+    """low <= v < high, each open or closed; None is unbounded. Prereleases are admitted on ``lines`` only."""
 
     low: Bound | None = None
     low_in: bool = True
     high: Bound | None = None
     high_in: bool = False
+    lines: frozenset[tuple[int, int, int]] = frozenset()
 
-    def meet(self, other: Interval) -> Interval | None:
+    def meet(self, other: Interval, either: bool = False) -> Interval | None:
+        """Their common part; it admits the lines that both admit, or either of them (comparators of one requirement)."""
         low, low_in = max(((i.low, not i.low_in) for i in (self, other) if i.low is not None), default=(None, False))
         high, high_in = min(((i.high, i.high_in) for i in (self, other) if i.high is not None), default=(None, False))
-        made = Interval(low, not low_in if low is not None else True, high, high_in)
+        made = Interval(low, not low_in if low is not None else True, high, high_in, self.lines | other.lines if either else self.lines & other.lines)
         return None if made.is_empty() else made
 
     def is_empty(self) -> bool:
         return self.low is not None and self.high is not None and (self.low > self.high or self.low == self.high and not (self.low_in and self.high_in))
 
 
+def _prerelease(text: str | None) -> tuple[int, tuple[tuple[int, int, str], ...]]:
+    """As ``_identifiers`` reads it; a number past 64 bits counts as 0 there too."""
+    if text is None:
+        return 1, ()
+    number = lambda p: re.fullmatch(r"[0-9]+", p) is not None
+    return 0, tuple((0, int(p) if int(p) < 1 << 63 else 0, "") if number(p) else (1, 0, p) for p in text.split("."))
+
+
 def parse_requirement(text: str) -> list[Interval]:
-    """Comma-separated comparators (``*``, ``>= <= > < = ^ ~`` or a bare version, read as ``^``), all of which hold."""
+    """Comma-separated comparators (``*``, ``>= <= > < = ^ ~`` or a bare version, read as ``^``), all of which hold.
+
+    A comparator's prerelease admits the prereleases of its release line.
+    """
     out = [Interval()]
     for part in text.split(","):
         part = part.strip()
         if part in ("*", ""):
             continue
-        found = re.fullmatch(r"(>=|<=|>|<|\^|~|=)?\s*([0-9]+)(?:\.([0-9]+|\*))?(?:\.([0-9]+|\*))?", part)
-        if not found:
+        found = re.fullmatch(r"(>=|<=|>|<|\^|~|=)?\s*([0-9]+)(?:\.([0-9]+|\*))?(?:\.([0-9]+|\*))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?", part)
+        if not found or found[5] is not None and "*" in found.groups():
             raise ValueError(f"not a requirement: {part!r}")
-        op, *numbers = found.groups()
+        op, *numbers, pre = found.groups()
         known = [int(n) for n in numbers if n not in (None, "*")]
-        at = Bound(*(known + [0, 0])[:3])
+        at = Bound(*(known + [0, 0])[:3], _prerelease(pre))
+        exact = len(known) == 3 or pre is not None
         after = [Bound(at.major + 1, 0, 0), Bound(at.major, at.minor + 1, 0), Bound(at.major, at.minor, at.patch + 1)]
         if op == ">=":
             one = Interval(at)
         elif op == ">":
-            one = Interval(at, False) if len(known) == 3 else Interval(after[len(known) - 1])
+            one = Interval(at, False) if exact else Interval(after[len(known) - 1])
         elif op == "<":
             one = Interval(high=at)
         elif op == "<=":
-            one = Interval(high=at, high_in=True) if len(known) == 3 else Interval(high=after[len(known) - 1])
+            one = Interval(high=at, high_in=True) if exact else Interval(high=after[len(known) - 1])
         elif op == "=":
-            one = Interval(at, True, at, True) if len(known) == 3 else Interval(at, True, after[len(known) - 1])
+            one = Interval(at, True, at, True) if exact else Interval(at, True, after[len(known) - 1])
         elif op == "~":
             one = Interval(at, True, after[min(len(known), 2) - 1])
         else:  # the leftmost number that is not zero may not change
             first = next((k for k, n in enumerate(known) if n), len(known) - 1)
             one = Interval(at, True, after[first])
-        out = [m for i in out if (m := i.meet(one)) is not None]
+        if pre is not None:
+            one = replace(one, lines=frozenset([at.line]))
+        out = [m for i in out if not one.is_empty() and (m := i.meet(one, either=True)) is not None]
     return out
 
 
 def contains(intervals: list[Interval], version: Column) -> Column:
-    """Whether a set of versions contains one. A prerelease is admitted to no set here but the whole."""
+    """Whether a set of versions contains one. A prerelease is admitted on an interval's lines only."""
     p = precedence(version)
-    if intervals == [Interval()]:
-        return version.isNotNull()
     tests = []
     for i in intervals:
-        test = F.lit(True)
+        test = version["pre"]["is_release"] == 1
+        for major, minor, patch in sorted(i.lines):
+            test = test | ((version["major"] == major) & (version["minor"] == minor) & (version["patch"] == patch))
         if i.low is not None:
             test = test & (p >= i.low.column() if i.low_in else p > i.low.column())
         if i.high is not None:
@@ -118,7 +140,7 @@ def contains(intervals: list[Interval], version: Column) -> Column:
     whole = F.lit(False)
     for t in tests:
         whole = whole | t
-    return version.isNotNull() & (version["pre"]["is_release"] == 1) & whole
+    return version.isNotNull() & whole
 
 
 def intersect(a: list[Interval], b: list[Interval]) -> list[Interval]:

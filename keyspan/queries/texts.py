@@ -148,3 +148,15 @@ def semver_sort(t: Tables) -> DataFrame:
 def semver_contains(t: Tables) -> DataFrame:
     wanted = semver.parse_requirement("^1.2.3")
     return _versions(t).where(semver.contains(wanted, semver.parse(F.col("text"))))
+
+
+_AT = "major * 1000000 + minor * 1000 + patch"
+_ADMITS = ", ".join(f"k > 1 AND {_AT} >= {m}004002 OR {_AT} = {m}004002 AND (k = 0 AND p_partkey % 11 >= 3 OR k = 1) AS from{m}" for m in (0, 1, 2))
+
+
+@query(f"SELECT p_partkey, text, k > 1 AS whole, {_ADMITS} FROM ({_PARTS})")
+def semver_admits(t: Tables) -> DataFrame:
+    """Prereleases on the line of a requirement's bound, and none in ``*``."""
+    v = _versions(t).withColumn("v", semver.parse(F.col("text")))
+    held = {"whole": "*"} | {f"from{m}": f">={m}.4.2-alpha.3" for m in (0, 1, 2)}
+    return v.select("p_partkey", "text", *(semver.contains(semver.parse_requirement(r), F.col("v")).alias(name) for name, r in held.items()))
