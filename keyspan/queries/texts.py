@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions import paths, results, semver
 from keyspan.functions import strings as S
+from keyspan.operators import maps
 from keyspan.queries.registry import Tables, query
 
 
@@ -144,6 +145,13 @@ def semver_sort(t: Tables) -> DataFrame:
     return v.orderBy(semver.precedence(semver.parse(F.col("text"))).desc(), F.desc("text")).limit(25)
 
 
+@query(f"SELECT text, row_number() OVER (ORDER BY major, minor, patch, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, a, text) - 1 AS pos FROM (SELECT DISTINCT text, major, minor, patch, k, CASE WHEN k = 0 THEN p_partkey % 11 ELSE 0 END AS a FROM ({_PARTS}))")
+def semver_rank(t: Tables) -> DataFrame:
+    """Every distinct version with its position."""
+    v = _versions(t).select("text").distinct().withColumn("p", semver.precedence(semver.parse(F.col("text"))))
+    return maps.positions(v, F.col("p").asc(), F.col("text").asc()).select("text", "pos")
+
+
 @query(f"SELECT p_partkey, text FROM ({_PARTS}) WHERE k > 1 AND major * 1000000 + minor * 1000 + patch >= 1002003 AND major < 2")
 def semver_contains(t: Tables) -> DataFrame:
     wanted = semver.parse_requirement("^1.2.3")
