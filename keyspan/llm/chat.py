@@ -3,16 +3,19 @@
 A turn's content is a list of parts: text, image, audio or document.  The visitor
 walks them in order and appends escaped text or a placeholder; for each placeholder
 it records the attachment's reference, its place and how many tokens the placeholder
-stands for.  Turns are rendered one by one, so a conversation of any length streams
+stands for.  Neighbouring text parts are one text and are escaped as one, so no control
+string can be put together from pieces; a text that spells a placeholder is escaped, so
+what reads as a placeholder is one.  Turns are rendered one by one, so a conversation of any length streams
 through; its formatted text is the turns' renderings in order.
 
 Control strings inside roles and texts are escaped with a backslash and come back
 unchanged: every backslash is doubled, and one is put after the first character of
-each control string.  The loss mask is a list of [start, end) character spans.
+each control string.  The loss mask is a list of [start, end) character spans, one for
+each text; placeholders are not under it.
 
 Results for edge cases: a null text or part list is empty; a null role is ''; null
 turns come first, equal turns are ordered by role and text; rows of a null conv_id
-form one conversation; an unknown part type raises ``ValueError``; an empty table
+form one conversation (in one task, as any other: a conversation is one running hash); an unknown part type raises ``ValueError``; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -35,6 +38,8 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 CONTROL = (OPEN, CLOSE, *PLACEHOLDERS.values(), "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPED = re.compile("|".join(re.escape(c) for c in ("\\", *CONTROL)))
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
+_PLACEHOLDER = re.compile("(" + "|".join(map(re.escape, PLACEHOLDERS.values())) + ")")
+_KINDS = {v: k for k, v in PLACEHOLDERS.items()}
 
 PART_SCHEMA = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 #: Roles whose text the loss covers.
@@ -89,9 +94,11 @@ class Rendering:
 class Visitor:
     """Flattens the parts of one turn."""
 
-    def __init__(self, expansion: Expansion | None = None):
+    def __init__(self, expansion: Expansion | None = None, learn: bool = False):
         self.expansion = expansion or Expansion()
+        self.learn = learn
         self.out = Rendering()
+        self.texts: list[str] = []  # neighbouring text parts that are not written yet
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
@@ -101,9 +108,17 @@ class Visitor:
         method(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.put(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
+
+    def finish_text(self) -> None:
+        start = self.out.length
+        self.out.put(escape("".join(self.texts)))
+        self.texts = []
+        if self.learn and self.out.length > start:
+            self.out.loss.append((start, self.out.length))
 
     def _attach(self, kind: str, part: dict) -> None:
+        self.finish_text()
         count = getattr(self.expansion, kind)(part)
         self.out.attachments.append({"kind": kind, "ref": part.get("ref"), "at": self.out.length, "tokens": count})
         self.out.put(PLACEHOLDERS[kind])
@@ -119,26 +134,29 @@ class Visitor:
 
 
 def render_turn(role: str | None, parts: list[dict] | None, expansion: Expansion | None = None) -> Rendering:
-    visitor = Visitor(expansion)
-    out = visitor.out
-    out.put(f"{OPEN}{escape_role(role or '')}\n")
-    start = out.length
+    visitor = Visitor(expansion, role in LOSS_ROLES)
+    visitor.out.put(f"{OPEN}{escape_role(role or '')}\n")
     for part in parts or []:
         visitor.visit(part)
-    if role in LOSS_ROLES and out.length > start:
-        out.loss.append((start, out.length))
-    out.put(CLOSE + "\n")
-    return out
+    visitor.finish_text()
+    visitor.out.put(CLOSE + "\n")
+    return visitor.out
 
 
-def parse_turn(text: str) -> tuple[str, str]:
-    """Role and text of one rendered turn (placeholders stay as they are)."""
+def parse_turn(text: str) -> tuple[str, list[dict]]:
+    """Role and typed parts of one rendered turn: each text unescaped, each placeholder by its type."""
     if not (text.startswith(OPEN) and text.endswith(CLOSE + "\n")):
         raise ValueError("not a rendered turn")
     inner, at = text[len(OPEN) : -len(CLOSE) - 1], 0
     while inner[at] != "\n":
         at += 2 if inner[at] == "\\" else 1
-    return unescape(inner[:at]), unescape(inner[at + 1 :])
+    found = [p for p in _PLACEHOLDER.split(inner[at + 1 :]) if p]
+    return unescape(inner[:at]), [{"type": _KINDS[p]} if p in _KINDS else {"type": "text", "text": unescape(p)} for p in found]
+
+
+def plain_text(parts: list[dict]) -> str:
+    """Texts in order, with placeholders where the other parts stand."""
+    return "".join(p["text"] if p["type"] == "text" else PLACEHOLDERS[p["type"]] for p in parts)
 
 
 RENDERED = "conv_id long, turn long, position long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<kind:string,ref:string,at:long,tokens:long>>"
@@ -211,9 +229,9 @@ def conversation_digests(rendered: DataFrame) -> DataFrame:
                     if state is not None:
                         done.append(state)
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, plain = parse_turn(text)
+                role, parts = parse_turn(text)
                 state[1] += 1
-                state[2].update(f"{role}\n{plain}\n".encode())
+                state[2].update(f"{role}\n{plain_text(parts)}\n".encode())
                 for span in loss:
                     learnt = unescape(text[span["start"] : span["end"]])
                     state[3] += len(learnt)

@@ -1,14 +1,16 @@
-"""Helpers shared by the training-data operators: tables, scratch tables, Arrow batches."""
+"""Helpers shared by the training-data operators: tables and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from keyspan.sources.store import delete, finished, scope, scratch_path, shared_dir, written
+
+__all__ = ["CHUNK_BYTES", "as_binary", "delete", "finished", "map_arrow", "pieces", "read_table", "scope", "scratch_path", "shared_dir", "written"]
+
 #: Bytes of text that an operator works on at once inside an Arrow batch.
 CHUNK_BYTES = 4 << 20
 
@@ -17,38 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent (a local session, as in tests) a folder of
-    this machine is made and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = scratch_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def as_binary(column: pa.Array) -> pa.Array:
     """A string column as its UTF-8 bytes with 64-bit offsets; null stays null."""
     return column.cast(pa.large_binary())
@@ -73,7 +43,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """Runs a per-piece function in Arrow batches.
 
     ``make`` runs once in each task and returns a function from a record batch to
@@ -86,7 +56,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in pieces(batches, column):
+        for part in pieces(batches, column, limit):
             out = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import delete_path, scratch_path
+from keyspan.llm.common import delete, scratch_path
 
 
 def _larger_to_least(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Both are sets of edges: equal if their sizes and the sums of their hashes are.
         sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same = sign(now) == sign(after)
-        delete_path(spark, path)
+        delete(spark, path)
         path = step
         if same:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm import ann, bpe, bradley_terry, chat, divergence, html_extract, mixing, simhash, sql, token_count, token_store
-from keyspan.llm.common import read_table
+from keyspan.llm.common import delete, finished, read_table
 
 
 #: Target shares of the output: named sources, and 1.0 for each other one.
@@ -50,7 +50,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.token_file_path(spark)
     token_store.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return token_store.stored_digests(spark, path)
+    out = finished(spark, "digests", lambda: token_store.stored_digests(spark, path))
+    delete(spark, path)
+    return out
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import as_binary, delete_path, map_arrow, pieces, scratch_path, shared_dir
-from keyspan.llm.segments import SegmentCache, added_strings, byte_level_segments, tokenizer
+from keyspan.llm.common import as_binary, delete, map_arrow, pieces, scratch_path, shared_dir
+from keyspan.llm.segments import LOOKUP_BYTES, SegmentCache, added_strings, blank_segments, byte_level_segments, parts_of, tokenizer
 
 #: Ids in a block, at most, but for a longer document.
 BLOCK_IDS = 1 << 20
-#: Segments that a worker remembers (about 180 bytes each).
-ENTRIES = 1_300_000
 MAGIC = 0x314B4F54
 HEADER = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8")])
 
@@ -88,34 +86,30 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(ids.tolist(), known.tolist())], counts, unpack(control, data, n)
 
 
-_CACHES: dict[tuple[str, str], SegmentCache] = {}
-
-
 def joined_encoder(path: str, kind: str):
     """A function from segments to the bytes of their ids.
 
     Where a segment starts with a blank and a non-blank there is a token border, whatever
     stands before.  So such segments that also end with a non-blank go through the
-    library as one text; a token's length in bytes is that of its spelling, which tells
-    where each segment's ids end.
+    library as one text.  They hold no other blank, so a token whose spelling starts with
+    one starts a segment.
     """
     library = tokenizer(path)
-    size, width = library.get_vocab_size(), np.dtype(kind).itemsize
-    lengths = np.array([len(library.id_to_token(i) or "") for i in range(size)], np.int64)
+    width = np.dtype(kind).itemsize
+    opens = np.array([(library.id_to_token(i) or "").startswith("\u0120") for i in range(library.get_vocab_size())])
 
     def whole(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(segments: list[str]) -> list[bytes]:
-        chains = [s[0] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() for s in segments]
+        chains = [s.rfind(" ") == 0 and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() for s in segments]
         out: list[bytes] = [b""] * len(segments)
         at = [i for i, c in enumerate(chains) if c]
         if at:
             ids = whole(["".join([segments[i] for i in at])])[0]
-            sizes = np.cumsum([len(segments[i].encode()) for i in at])
-            ends = np.searchsorted(np.cumsum(lengths[ids]), sizes, "left") + 1
-            raw, bounds = ids.tobytes(), (width * np.concatenate([[0], ends])).tolist()
-            for i, a, b in zip(at, bounds, bounds[1:]):
+            starts = (width * np.flatnonzero(opens[ids])).tolist()
+            raw = ids.tobytes()
+            for i, a, b in zip(at, starts, [*starts[1:], len(raw)], strict=True):
                 out[i] = raw[a:b]
         rest = [i for i, c in enumerate(chains) if not c]
         for i, ids in zip(rest, whole([segments[i] for i in rest])):
@@ -125,10 +119,43 @@ def joined_encoder(path: str, kind: str):
     return encode
 
 
-def _segment_cache(path: str, kind: str) -> SegmentCache:
-    if (path, kind) not in _CACHES:
-        _CACHES[path, kind] = SegmentCache(joined_encoder(path, kind), ENTRIES)
-    return _CACHES[path, kind]
+class TextEncoder:
+    """The library's ids of whole texts, by segments that a worker remembers.
+
+    A text is cut at blanks first.  A segment that is new is cut further, and those of its
+    parts that are new go through the library.
+    """
+
+    def __init__(self, path: str, kind: str):
+        self.added = added_strings(tokenizer(path))
+        self.parts = SegmentCache(joined_encoder(path, kind))
+        self.segments = SegmentCache(self._compose)
+        self.segments.known = self.parts.known  # a segment of one part is that part
+
+    def _compose(self, segments: list[str]) -> list[bytes]:
+        lists = [[s] if s in self.added else byte_level_segments(s) for s in segments]
+        values = self.parts.values([p for x in lists for p in x])
+        bounds = np.cumsum([0, *map(len, lists)]).tolist()
+        return [values[a] if b - a == 1 else b"".join(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        lists = []
+        for text in texts:
+            parts = parts_of(text, self.added)
+            lists.append([s for p in parts for s in ([p] if p in self.added else blank_segments(p))])
+        values = self.segments.values([s for x in lists for s in x])
+        bounds = np.cumsum([0, *map(len, lists)]).tolist()
+        return [b"".join(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+
+
+def text_encoder(path: str, kind: str) -> TextEncoder:
+    """One for each worker."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = TextEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def id_type(vocabulary_size: int) -> str:
@@ -136,40 +163,47 @@ def id_type(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-def encoded(df: DataFrame, vocabulary: str, end_id: int, kind: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, key (tie order of equal ids) and the ids of each text and its end."""
+#: Ids and how often a task saw them, in a row of its own behind the task's documents.
+SEEN = np.dtype([("token", "<u4"), ("n", "<i8")])
+ENCODED = "id long, key long, ids binary, seen binary"
+
+
+def encoded(df: DataFrame, vocabulary: str, end_id: int, vocabulary_size: int, kind: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, key (tie order of equal ids) and the ids of each text and its end; rows with ``seen`` count a task's ids."""
     end = np.array([end_id], kind).tobytes()
+    names = [f.split()[0] for f in ENCODED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, total = text_encoder(vocabulary, kind), np.zeros(vocabulary_size, np.int64)
 
-    def make():
-        cache, added = _segment_cache(vocabulary, kind), added_strings(tokenizer(vocabulary))
+        def row(ids: list, keys: list, values: list, seen: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(values, pa.binary()), pa.array(seen, pa.binary())], names=names)
 
-        def work(batch: pa.RecordBatch) -> dict:
+        for batch in pieces(batches, "text", LOOKUP_BYTES):
             raw = [t or b"" for t in as_binary(batch.column(1)).to_pylist()]
-            texts = [t.decode() for t in raw]
-            lists = [byte_level_segments(t, added) for t in texts]
-            values = cache.values([s for x in lists for s in x])
-            bounds = np.cumsum([0, *map(len, lists)]).tolist()
-            return {"id": batch.column(0), "key": [zlib.crc32(t) for t in raw], "ids": [b"".join(values[a:b]) + end for a, b in zip(bounds, bounds[1:])]}
-
-        return work
+            values = [ids + end for ids in encoder.ids([t.decode() for t in raw])]
+            total += np.bincount(np.frombuffer(b"".join(values), kind), minlength=vocabulary_size)
+            yield row(batch.column(0), [zlib.crc32(t) for t in raw], values, [None] * len(raw))
+        found = np.zeros(np.count_nonzero(total), SEEN)
+        found["token"], found["n"] = np.flatnonzero(total), total[total > 0]
+        if len(found):
+            yield row([None], [None], [None], [found.tobytes()])
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, make, "id long, key long, ids binary", "text")
+    return rows.mapInArrow(run, ENCODED)
 
 
-def frequency_ranks(ids: DataFrame, vocabulary_size: int, kind: str) -> np.ndarray:
-    """Ids by falling frequency (ties to the smaller). Each task sends one row of counts
-    for each id it saw, so what reaches the driver is bounded by the vocabulary."""
+def frequency_ranks(seen: DataFrame, vocabulary_size: int) -> np.ndarray:
+    """Ids by falling frequency (ties to the smaller). Tasks' counts are summed where they
+    lie, so what reaches the driver is bounded by the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary_size, np.int64)
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(value, kind), minlength=vocabulary_size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": seen.astype(np.int64), "n": total[seen]})
+                pairs = np.frombuffer(value, SEEN)
+                yield pa.RecordBatch.from_pydict({"token": pairs["token"].astype(np.int64), "n": np.ascontiguousarray(pairs["n"])})
 
-    counted = ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counted = seen.mapInArrow(unpacked, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(vocabulary_size, np.int64)
     total[counted["token"].to_numpy()] = counted["n"].to_numpy()
     return np.lexsort((np.arange(vocabulary_size), -total)).astype(np.uint32)
@@ -214,14 +248,15 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_colu
     spark = df.sparkSession
     size = max(tokenizer(vocabulary).get_vocab_size(), end_id + 1)
     kind, ids_path = id_type(size), scratch_path(spark, "ids")
-    encoded(df, vocabulary, end_id, kind, id_column, text_column).write.option("compression", "zstd").parquet(ids_path)
-    ids = spark.read.schema("id long, key long, ids binary").parquet(ids_path)
-    by_rank = frequency_ranks(ids, size, kind)
+    encoded(df, vocabulary, end_id, size, kind, id_column, text_column).write.option("compression", "zstd").parquet(ids_path)
+    both = spark.read.schema(ENCODED).parquet(ids_path)
+    by_rank = frequency_ranks(both.where("seen is not null").select("seen"), size)
+    ids = both.where("seen is null").select("id", "key", "ids")
     spark.createDataFrame(pa.table({"rank": np.arange(size, dtype=np.int64), "token": by_rank.astype(np.int64)})).coalesce(1).write.parquet(f"{path}/ranks")
     ordered = ids.repartitionByRange("id", "key").sortWithinPartitions("id", "key")
     rows = ordered.select(F.spark_partition_id().alias("part"), "id", "ids")
     rows.mapInArrow(_blocks(by_rank, kind), "part int, block long, n_ids long, bytes binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
-    delete_path(spark, ids_path)
+    delete(spark, ids_path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
