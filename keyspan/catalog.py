@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.queries import arrays, effects, maps, scalars, streams, texts
+from keyspan.queries import arrays, effects, maps, programs, scalars, streams, texts
 from keyspan.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "arrays", "effects", "flagship", "maps", "scalars", "streams", "texts"]
+__all__ = ["QUERIES", "SQL", "arrays", "effects", "flagship", "maps", "programs", "scalars", "streams", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

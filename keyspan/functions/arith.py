@@ -22,5 +22,10 @@ def rem(a: Column, d: Column) -> Column:
     return a % d
 
 
+def negate(n: Column) -> Column:
+    """The least whole number has no negative: it fails the query."""
+    return -n
+
+
 def to_text(n: Column) -> Column:
     return n.cast("string")

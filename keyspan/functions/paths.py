@@ -40,3 +40,8 @@ def stem(path: Column) -> Column:
 def parent(path: Column) -> Column:
     name = file_name(path)
     return F.when(F.contains(path, F.lit("/")), F.substring(path, F.lit(1), F.length(path) - F.length(name) - 1)).otherwise(F.lit(""))
+
+
+def to_text(path: Column) -> Column:
+    """A path's spelling."""
+    return path.cast("string")

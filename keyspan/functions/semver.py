@@ -8,10 +8,14 @@ words).  Build metadata comes last and takes no part in precedence.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _NUMBER = r"(?:0|[1-9][0-9]*)"
 PATTERN = rf"\A({_NUMBER})(?:\.({_NUMBER}))?(?:\.({_NUMBER}))?(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?\z"
@@ -88,7 +92,8 @@ def _prerelease(text: str | None) -> tuple[int, tuple[tuple[int, int, str], ...]
 def parse_requirement(text: str) -> list[Interval]:
     """Comma-separated comparators (``*``, ``>= <= > < = ^ ~`` or a bare version, read as ``^``), all of which hold.
 
-    A comparator's prerelease admits the prereleases of its release line.
+    Missing numbers read 0, also in ``>``, ``<=`` and ``^``; ``~`` and ``=`` span what is
+    missing. A comparator's prerelease admits the prereleases of its release line.
     """
     out = [Interval()]
     for part in text.split(","):
@@ -102,22 +107,22 @@ def parse_requirement(text: str) -> list[Interval]:
         known = [int(n) for n in numbers if n not in (None, "*")]
         at = Bound(*(known + [0, 0])[:3], _prerelease(pre))
         exact = len(known) == 3 or pre is not None
+        carets = next((k for k, n in enumerate(at.line) if n), 2)  # the leftmost number that is not zero may not change
         after = [Bound(at.major + 1, 0, 0), Bound(at.major, at.minor + 1, 0), Bound(at.major, at.minor, at.patch + 1)]
         if op == ">=":
             one = Interval(at)
         elif op == ">":
-            one = Interval(at, False) if exact else Interval(after[len(known) - 1])
+            one = Interval(at, False)
         elif op == "<":
             one = Interval(high=at)
         elif op == "<=":
-            one = Interval(high=at, high_in=True) if exact else Interval(high=after[len(known) - 1])
+            one = Interval(high=at, high_in=True)
         elif op == "=":
             one = Interval(at, True, at, True) if exact else Interval(at, True, after[len(known) - 1])
         elif op == "~":
             one = Interval(at, True, after[min(len(known), 2) - 1])
-        else:  # the leftmost number that is not zero may not change
-            first = next((k for k, n in enumerate(known) if n), len(known) - 1)
-            one = Interval(at, True, after[first])
+        else:
+            one = Interval(at, True, after[carets])
         if pre is not None:
             one = replace(one, lines=frozenset([at.line]))
         out = [m for i in out if not one.is_empty() and (m := i.meet(one, either=True)) is not None]
@@ -145,3 +150,73 @@ def contains(intervals: list[Interval], version: Column) -> Column:
 
 def intersect(a: list[Interval], b: list[Interval]) -> list[Interval]:
     return [m for x in a for y in b if (m := x.meet(y)) is not None]
+
+
+#: Version sets as a column: intervals with their admitted release lines.
+_VERSION_DDL = "struct<major:bigint,minor:bigint,patch:bigint,pre:struct<is_release:int,ids:array<struct<tag:int,num:bigint,alpha:string>>>>"
+_LINE_DDL = "struct<major:bigint,minor:bigint,patch:bigint>"
+SETS = f"array<struct<low:{_VERSION_DDL},low_in:boolean,high:{_VERSION_DDL},high_in:boolean,lines:array<{_LINE_DDL}>>>"
+
+
+def _as_row(b: Bound | None) -> dict | None:
+    if b is None:
+        return None
+    ids = [{"tag": tag, "num": num, "alpha": alpha} for tag, num, alpha in b.pre[1]]
+    return {"major": b.major, "minor": b.minor, "patch": b.patch, "pre": {"is_release": b.pre[0], "ids": ids}}
+
+
+def requirement_sets(df: DataFrame, text: str, name: str = "sets") -> DataFrame:
+    """``df`` and the version set of each requirement text; null where the text is none.
+
+    Texts are parsed once each: requirements repeat, so distinct ones meet rows by a join.
+    """
+    fields = to_arrow_schema(T.StructType.fromDDL(f"__text string, {name} {SETS}"))
+
+    def one(value: str | None) -> list[dict] | None:
+        try:
+            found = parse_requirement(value)
+        except (ValueError, AttributeError):
+            return None
+        return [{"low": _as_row(i.low), "low_in": i.low_in, "high": _as_row(i.high), "high_in": i.high_in, "lines": [dict(zip(("major", "minor", "patch"), line)) for line in sorted(i.lines)]} for i in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(t) for t in batch.column(0).to_pylist()], fields.field(1).type)], schema=fields)
+
+    parsed = df.select(F.col(text).cast("string").alias("__text")).distinct().mapInArrow(run, f"__text string, {name} {SETS}")
+    return df.join(parsed, F.col(text).cast("string").eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
+def set_contains(sets: Column, version: Column) -> Column:
+    """Whether a column of version sets contains a column of versions; false where either is null."""
+    p = precedence(version)
+    line = F.struct(version["major"].alias("major"), version["minor"].alias("minor"), version["patch"].alias("patch"))
+
+    def inside(i: Column) -> Column:
+        above = F.when(i["low"].isNull(), True).when(i["low_in"], p >= i["low"]).otherwise(p > i["low"])
+        below = F.when(i["high"].isNull(), True).when(i["high_in"], p <= i["high"]).otherwise(p < i["high"])
+        return above & below & ((version["pre"]["is_release"] == 1) | F.array_contains(i["lines"], line))
+
+    return F.coalesce(F.exists(sets, inside), F.lit(False)) & version.isNotNull()
+
+
+def set_meet(a: Column, b: Column) -> Column:
+    """Pairwise common parts of two version sets (columns); admitted lines are those that both admit."""
+
+    def end(x: Column, y: Column, side: str) -> tuple[Column, Column]:
+        v, w, within = x[side], y[side], f"{side}_in"
+        nearer = v > w if side == "low" else v < w
+        take = F.when(w.isNull(), True).when(v.isNull(), False).otherwise(nearer | (v == w))
+        both = v.isNotNull() & w.isNotNull() & (v == w)
+        return F.when(take, v).otherwise(w), F.when(F.coalesce(both, F.lit(False)), x[within] & y[within]).when(take, x[within]).otherwise(y[within])
+
+    def meet(x: Column, y: Column) -> Column:
+        low, low_in = end(x, y, "low")
+        high, high_in = end(x, y, "high")
+        return F.struct(low.alias("low"), low_in.alias("low_in"), high.alias("high"), high_in.alias("high_in"), F.array_intersect(x["lines"], y["lines"]).alias("lines"))
+
+    def real(i: Column) -> Column:
+        empty = (i["low"] > i["high"]) | ((i["low"] == i["high"]) & ~(i["low_in"] & i["high_in"]))
+        return ~F.coalesce(empty, F.lit(False))
+
+    return F.filter(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: meet(x, y)))), real)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from keyspan.plans.order import by_key
+from keyspan.plans.order import by_key, tagged
 
 
 class DuplicateKey(ValueError):
@@ -90,12 +90,24 @@ class KeyedStream:
     def _row(self) -> Column:
         return F.struct(*(F.col(c) for c in (*self.values, *self.keys)))
 
+    def _rank(self) -> Column:
+        """What rows are compared by: values, then keys, absence last."""
+        kinds = {f.name: f.dataType for f in self.df.schema.fields}
+        return F.struct(*(tagged(F.col(c), kinds[c]).alias(c) for c in (*self.values, *self.keys)))
+
     def find_min(self, predicate: Column) -> DataFrame:
         """One row with the least value of those that match: null if there is none."""
-        return self.df.where(predicate).agg(F.min(self._row()).alias("found"))
+        return self.df.where(predicate).agg(F.min_by(self._row(), self._rank()).alias("found"))
 
     def find_max(self, predicate: Column) -> DataFrame:
-        return self.df.where(predicate).agg(F.max(self._row()).alias("found"))
+        return self.df.where(predicate).agg(F.max_by(self._row(), self._rank()).alias("found"))
+
+    def contains(self, **values: Column) -> DataFrame:
+        """Whether a row has these values; absence equals absence."""
+        test = F.lit(True)
+        for name, value in values.items():
+            test = test & F.col(name).eqNullSafe(value)
+        return self.any(test)
 
     def count(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("n"))
@@ -119,5 +131,7 @@ def counted(df: DataFrame, *keys: str) -> DataFrame:
 
 def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """An order-sensitive fold of each group. A group is held in one task: for bounded groups only."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda s: s["__v"])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    ranks = [tagged(F.col(c), kinds[c]).alias(f"__by{k}") for k, c in enumerate((*order, value))]
+    items = F.transform(F.sort_array(F.collect_list(F.struct(*ranks, F.col(value).alias("__v")))), lambda s: s["__v"])
     return df.groupBy(*keys).agg(items.alias("__items")).select(*keys, F.aggregate("__items", start, step).alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from keyspan.operators.keyed import DuplicateKey, least_duplicate
 from keyspan.plans.order import by_key
+from keyspan.sources.store import written
 
 
 def literal(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,18 +68,26 @@ def size(m: DataFrame) -> DataFrame:
     return m.agg(F.count("*").alias("n"))
 
 
+#: Bits of ``monotonically_increasing_id`` that count rows within a partition.
+_WITHIN = 33
+
+
 def positions(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
     """Dense positions from 0 in the given order, without a single-task window.
 
-    Rows are dealt to ranges of the order; each range counts its rows, and the
-    counts before it (one number for each range) are added.
+    Rows are dealt to ranges of the order, sorted there and written once with their
+    range and place in it; ranges are counted in what was written, and the counts before
+    each (one number for each range) are added.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    rows = written(ranged, "positions")
+    part = F.shiftright("__place", _WITHIN)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
+    within = F.col("__place").bitwiseAND((1 << _WITHIN) - 1)
     # As many rows as ranges: at most the shuffle's partitions.
-    return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn(name, (F.col("__inside") + F.col("__before")).cast("long")).drop("__part", "__inside", "__before")
+    joined = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn(name, (within + F.col("__before")).cast("long")).drop("__part", "__place", "__before")
 
 
 def keys_array(m: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,3 +145,16 @@ def values_in_order(s: DataFrame) -> DataFrame:
 def prefix(df: DataFrame, count: int, *keys: Column | str) -> DataFrame:
     """The first rows of the total order; Spark plans a top-k."""
     return df.orderBy(*by_key(df, *keys)).limit(max(0, count))
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Rows of ``points`` beside each of ``ranges`` with low <= point < high.
+
+    Both sides meet in cells of ``width``, an equi-join that Spark shuffles and splits; a
+    range is as many rows as it has cells, so the width should be near the usual range's
+    length. Null points and bounds meet nothing, and neither do empty ranges.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    held = points.where(F.col(point).isNotNull()).withColumn("__cell", cell(point))
+    real = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    return held.join(real, "__cell").where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("__cell")

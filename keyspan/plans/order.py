@@ -25,20 +25,30 @@ def total_sort(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.orderBy(*by_key(df, *keys))
 
 
-def compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 by structural order."""
-    return F.when(a < b, F.lit(-1)).when(a == b, F.lit(0)).otherwise(F.lit(1))
-
-
-def compare_options(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 where absence sorts last."""
-    return F.when(a.isNull() & b.isNull(), F.lit(0)).when(a.isNull(), F.lit(1)).when(b.isNull(), F.lit(-1)).otherwise(compare(a, b))
-
-
-def options_last(xs: Column) -> Column:
-    """An array in ascending order with its nulls last."""
-    tagged = F.transform(xs, lambda x: F.struct(x.isNull().alias("t"), x.alias("v")))
-    return F.transform(F.sort_array(tagged), lambda p: p["v"])
+def tagged(value: Column, kind: T.DataType | None = None) -> Column:
+    """What is compared in place of ``value``: a tag before each value that may be absent, so absence comes last.
+
+    With ``kind``, the value's type, absence inside records and arrays comes last, too.
+    """
+    if isinstance(kind, T.StructType):
+        inner = F.when(value.isNotNull(), F.struct(*(tagged(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    elif isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda x: tagged(x, kind.elementType))
+    else:
+        inner = value
+    return F.struct(value.isNull().alias("absent"), inner.alias("value"))
+
+
+def compare(a: Column, b: Column, kind: T.DataType | None = None) -> Column:
+    """-1, 0 or 1 by structural order, absence last (inside the values too, where their type is given)."""
+    x, y = tagged(a, kind), tagged(b, kind)
+    return F.when(x.eqNullSafe(y), F.lit(0)).when(x < y, F.lit(-1)).otherwise(F.lit(1))
+
+
+def options_last(xs: Column, kind: T.DataType | None = None) -> Column:
+    """An array in ascending order with its nulls last. ``kind``: the type of its elements."""
+    pairs = F.transform(xs, lambda x: F.struct(tagged(x, kind).alias("by"), x.alias("v")))
+    return F.transform(F.sort_array(pairs), lambda p: p["v"])
 
 
 def entries(m: Column) -> Column:

@@ -18,10 +18,19 @@ def words() -> Column:
     return F.split("p_name", " ", -1)
 
 
-@query("SELECT p_partkey, array_to_string(range(p_size % 5, p_size % 7), ',') AS xs FROM part")
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 5 <= p_size % 7 THEN array_to_string(range(p_size % 5, p_size % 7), ',') END AS xs,"
+    " CASE WHEN p_size % 5 > p_size % 7 THEN 'IndexOutOfBounds' END AS failure FROM part"
+)
 def arr_range(t: Tables) -> DataFrame:
-    xs = A.span((F.col("p_size") % 5).cast("long"), (F.col("p_size") % 7).cast("long"))
-    return t.part.select("p_partkey", join(xs.cast("array<string>"), ",").alias("xs"))
+    """Reversed bounds are an error."""
+    xs = A.try_span((F.col("p_size") % 5).cast("long"), (F.col("p_size") % 7).cast("long"))
+    return t.part.select("p_partkey", xs.alias("r")).select("p_partkey", join(F.col("r.ok").cast("array<string>"), ",").alias("xs"), F.col("r.err.code").alias("failure"))
+
+
+@query("SELECT p_partkey, [p_size, 7, p_size] AS xs FROM part")
+def arr_literal(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.array("p_size", F.lit(7), "p_size").alias("xs"))
 
 
 @query("SELECT vec_id, embedding[3] AS third, CASE WHEN vec_id % 70 < 64 THEN embedding[vec_id % 70 + 1] END AS some, CASE WHEN vec_id % 70 >= 64 THEN 'IndexOutOfBounds' END AS failure FROM embeddings")
@@ -62,7 +71,22 @@ def arr_split_last(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS xs FROM part")
 def sort_array(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", join(F.sort_array(words()), " ").alias("xs"))
+    return t.part.select("p_partkey", join(A.in_order(words()), " ").alias("xs"))
+
+
+@query("SELECT p_partkey, list_sort([p_size, NULL, p_size % 7], 'ASC', 'NULLS LAST') AS xs FROM part")
+def sort_array_absent(t: Tables) -> DataFrame:
+    """Absence comes last."""
+    return t.part.select("p_partkey", A.in_order(F.array("p_size", F.lit(None).cast("int"), F.col("p_size") % 7)).alias("xs"))
+
+
+@query("SELECT p_partkey, CAST(coalesce(nullif(list_position(list_transform(range(0, 9), lambda i: (p_size * (i + 1)) % 5 = 0), true), 0), 9) AS BIGINT) AS steps FROM part")
+def agg_fold_until(t: Tables) -> DataFrame:
+    """A state machine over an array that stops at the first multiple of five."""
+    xs = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.col("p_size") * i)
+    start = F.struct(F.lit(0).cast("long").alias("steps"), F.lit(False).alias("found"))
+    end = A.fold_until(xs, start, lambda s, x: F.struct((s["steps"] + 1).alias("steps"), (x % 5 == 0).alias("found")), lambda s: s["found"])
+    return t.part.select("p_partkey", end["steps"].alias("steps"))
 
 
 @query("SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events WHERE event_type <> 'view') WHERE r <= 10")

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.functions import decode
+from keyspan.functions.strings import lines
 from keyspan.operators import graph
 from keyspan.plans.memo import Memo, recipe
 from keyspan.queries.registry import Tables, query
 from keyspan.sources import blobs, index, trees
 from keyspan.sources.store import scratch_path
-from keyspan.streaming.incremental import drained
+from keyspan.streaming.incremental import current, upsert_new_files
 
 PROPS = T.StructType([T.StructField("k", T.LongType(), False)])
 
@@ -45,7 +46,7 @@ def toml_decode(t: Tables) -> DataFrame:
     return out.select("event_id", F.col("decoded.ok.user_id").alias("user_id"), F.col("decoded.ok.kind").alias("kind"), F.col("decoded.err").isNull().alias("good"))
 
 
-@query()
+@query("SELECT 'names' AS parent, 'part-' AS start, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS length FROM nation")
 def src_glob(t: Tables) -> DataFrame:
     """Files of a written tree, by a pattern in its last segment."""
     root = scratch_path(t.spark, "tree")
@@ -59,8 +60,10 @@ def src_glob(t: Tables) -> DataFrame:
 def src_tree_text(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "tree")
     t.nation.select(F.col("n_name").alias("value")).coalesce(1).write.text(f"{root}/names")
-    files = trees.glob(trees.tree(t.spark, root), "names/*.txt")
-    return files.select(F.explode(F.split(F.rtrim(trees.text(F.col("content"))["ok"], F.lit("\n")), "\n")).alias("line"))
+    files = trees.tree(t.spark, root)
+    name = trees.glob(files, "names/*.txt").select("name").first()["name"]  # one file
+    read = trees.read_text(files, f"names/{name}").select(F.col("text.ok").alias("body"))
+    return read.select(F.explode(lines(F.col("body"))).alias("line"))
 
 
 @query("SELECT 'gone' AS name, NULL AS text, 'MissingRegistryArtifact' AS err UNION ALL SELECT 'good', r_name, NULL FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'torn', NULL, 'FetchIntegrity'")
@@ -94,18 +97,11 @@ def udtf_untar(t: Tables) -> DataFrame:
     return packed.lateralJoin(blobs.Untar(F.col("tar").outer())).select("path", "kind", "length")
 
 
-@query("SELECT doc_id, strlen(text) AS n, substr(text, 1, 8) AS head FROM documents WHERE strlen(substr(text, 1, 8)) = 8")
-def blob_ops(t: Tables) -> DataFrame:
-    b = F.col("text").cast("binary")
-    rows = t.documents.where(F.octet_length(F.substring("text", 1, 8)) == 8)
-    return rows.select("doc_id", blobs.length(b).alias("n"), blobs.try_text(blobs.take(b, 8)).alias("head"))
-
-
 _CUTS = "[substr(text, 1, k) FOR k IN range(0, 9) IF strlen(substr(text, 1, k)) = least(8, strlen(text))]"
 
 
 @query(f"SELECT doc_id, strlen(text) AS n, {_CUTS}[1] AS head, CASE WHEN text IS NOT NULL AND len({_CUTS}) = 0 THEN 'InvalidText' END AS failure FROM documents")
-def blob_take_text(t: Tables) -> DataFrame:
+def blob_ops(t: Tables) -> DataFrame:
     """The first 8 bytes of every document, also where they cut a code point."""
     b = F.col("text").cast("binary")
     rows = t.documents.select("doc_id", blobs.length(b).alias("n"), blobs.try_text(blobs.take(b, 8)).alias("head"), "text")
@@ -165,10 +161,11 @@ def index_ingest(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert_files(t: Tables) -> DataFrame:
-    """Files of events read incrementally; the last event of each user stays."""
-    source = scratch_path(t.spark, "incoming")
+    """Files of events in two batches, the later events first; the last event of each user stays."""
+    source, target, progress = (scratch_path(t.spark, x) for x in ("incoming", "target", "progress"))
     rows = t.events.select("user_id", "event_id", "value")
-    rows.where("event_id % 2 = 0").write.parquet(f"{source}/a")
-    rows.where("event_id % 2 <> 0").write.parquet(f"{source}/b")
-    return drained(t.spark, f"{source}/*", rows.schema, ["user_id"], ["event_id"])
-
+    late = (F.col("event_id") % 3 > 0) | (F.col("user_id") % 2 == 0)
+    for name, part in (("a", rows.where(late)), ("b", rows.where(~late))):
+        part.write.parquet(f"{source}/{name}")
+        upsert_new_files(t.spark, f"{source}/*", rows.schema, ["user_id"], ["event_id"], target, progress)
+    return current(t.spark, target, rows.schema, ["user_id"], ["event_id"])

@@ -112,3 +112,10 @@ def match_requirements(t: Tables) -> DataFrame:
     needs = t.orders.select("o_orderkey", F.col("o_custkey").alias("kind"), "o_totalprice")
     offers = t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("kind"), (F.col("c_acctbal") * 30).alias("room"))
     return M.match_requirements(needs, offers, "kind", "o_totalprice", "room").select("o_orderkey", "offers", "verdict")
+
+
+@query("SELECT event_id, n_nationkey FROM events JOIN nation ON value >= n_nationkey * 3 AND value < n_nationkey * 3 + 5")
+def range_join(t: Tables) -> DataFrame:
+    """Events in the ranges that their value lies in; the ranges overlap."""
+    ranges = t.nation.select("n_nationkey", (F.col("n_nationkey") * 3).cast("double").alias("low"), (F.col("n_nationkey") * 3 + 5).cast("double").alias("high"))
+    return M.range_join(t.events.select("event_id", "value"), ranges, "value", "low", "high", 5.0).select("event_id", "n_nationkey")

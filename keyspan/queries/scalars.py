@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.functions import arith
+from keyspan.functions import arith, paths
 from keyspan.plans.order import compare, entries
 from keyspan.queries.registry import Tables, query
-from keyspan.types import Enum, make_record, ordered_match, spread
+from keyspan.types import Enum, destructure, let, make_record, ordered_match, spread
 
 #: An order's state, with and without a payload.
 STATE = Enum("State", {"Open": {}, "Filled": {"price": T.DoubleType()}, "Other": {"code": T.StringType()}})
@@ -19,6 +19,27 @@ def _state(status: Column, price: Column) -> Column:
     return F.when(status == "O", STATE.make("Open")).when(status == "F", STATE.make("Filled", price=price)).otherwise(STATE.make("Other", code=status))
 
 
+@query("SELECT r_regionkey, true AS b, 42 AS i, 'x' AS s, 'a/b' AS p FROM region")
+def proj_literals(t: Tables) -> DataFrame:
+    return t.region.select("r_regionkey", F.lit(True).alias("b"), F.lit(42).alias("i"), F.lit("x").alias("s"), paths.to_text(F.lit("a/b")).alias("p"))
+
+
+@query("SELECT o_orderkey, o_custkey + o_custkey AS twice, o_orderstatus || o_orderstatus AS both FROM orders")
+def let_destructure(t: Tables) -> DataFrame:
+    """A pair is bound once, taken apart, and its parts are used."""
+    pair = F.struct(F.col("o_custkey").alias("_0"), F.col("o_orderstatus").alias("_1"))
+    made = let(pair, lambda p: destructure(p, ("_0", "_1"), lambda n, s: F.struct((n + n).alias("twice"), F.concat(s, s).alias("both"))))
+    return t.orders.select("o_orderkey", made.alias("r")).select("o_orderkey", "r.twice", "r.both")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS size, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_size < 25 THEN -1 WHEN p_size = 25 THEN 0 ELSE 1 END AS INTEGER) AS o FROM part")
+def cmp_absent(t: Tables) -> DataFrame:
+    """Absence inside a record comes after every value."""
+    size = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
+    kind = T.StructType([T.StructField("size", T.IntegerType())])
+    return t.part.select("p_partkey", size.alias("size"), compare(F.struct(size.alias("size")), F.struct(F.lit(25).alias("size")), kind).alias("o"))
+
+
 @query("SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders")
 def proj_tuple(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("_0"), F.col("o_orderstatus").alias("_1")).alias("t")).select("o_orderkey", F.col("t._0").alias("a"), F.col("t._1").alias("b"))
@@ -78,19 +99,18 @@ def math_int(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (a + b).alias("s"), (a - b).alias("d"), (a * b).alias("p"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN (event_id - 500) // (user_id % 5) END AS q, CASE WHEN user_id % 5 = 0 THEN 'DivisionByZero' END AS failure FROM (SELECT event_id, user_id FROM events WHERE event_id >= 500)")
-def math_div(t: Tables) -> DataFrame:
-    r = arith.try_div(F.col("event_id") - 500, F.col("user_id") % 5)
-    return t.events.where("event_id >= 500").select("event_id", r.alias("r")).select("event_id", F.col("r.ok").alias("q"), F.col("r.err.code").alias("failure"))
-
-
 @query("SELECT event_id, CASE WHEN d <> 0 THEN sign(a) * (abs(a) // d) END AS q, CASE WHEN d = 0 THEN 'DivisionByZero' END AS failure FROM (SELECT event_id, event_id - 500 AS a, user_id % 5 AS d FROM events)")
-def math_div_signed(t: Tables) -> DataFrame:
+def math_div(t: Tables) -> DataFrame:
     """Quotients towards zero, of negative dividends too."""
     r = arith.try_div(F.col("event_id") - 500, F.col("user_id") % 5)
     return t.events.select("event_id", r.alias("r")).select("event_id", F.col("r.ok").alias("q"), F.col("r.err.code").alias("failure"))
 
 
+@query("SELECT event_id, -(event_id - 500) AS n FROM events")
+def math_negate(t: Tables) -> DataFrame:
+    return t.events.select("event_id", arith.negate(F.col("event_id") - 500).alias("n"))
+
+
 @query("SELECT event_id, (event_id - 500) % 7 AS r FROM events")
 def math_rem(t: Tables) -> DataFrame:
     return t.events.select("event_id", arith.rem(F.col("event_id") - 500, F.lit(7)).alias("r"))

@@ -62,6 +62,21 @@ def stream_find_min_max(t: Tables) -> DataFrame:
     return one(s.find_min(F.col("value") > 20), "low").crossJoin(one(s.find_max(F.col("value") < 80), "high"))  # one row each
 
 
+@query("SELECT (SELECT event_id FROM events ORDER BY CASE WHEN value > 50 THEN value END NULLS LAST, event_id LIMIT 1) AS low, (SELECT event_id FROM events ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id DESC LIMIT 1) AS high")
+def stream_find_absent(t: Tables) -> DataFrame:
+    """Absent values are the greatest, never the least."""
+    s = _events(t, "value").map(value=F.when(F.col("value") > 50, F.col("value")))
+    one = lambda df, name: df.select(F.col("found.event_id").alias(name))
+    return one(s.find_min(F.lit(True)), "low").crossJoin(one(s.find_max(F.lit(True)), "high"))  # one row each
+
+
+@query("SELECT bool_or(user_id = 7 AND event_type = 'click') AS click, false AS none FROM events")
+def stream_contains(t: Tables) -> DataFrame:
+    s = _events(t, "user_id", "event_type")
+    held = s.contains(user_id=F.lit(7), event_type=F.lit("click")).select(F.col("any").alias("click"))
+    return held.crossJoin(s.contains(event_type=F.lit("no such")).select(F.col("any").alias("none")))  # one row each
+
+
 @query("SELECT count(*) AS n, bool_or(value > 99) AS found, bool_and(value > 0) AS whole FROM events")
 def stream_count(t: Tables) -> DataFrame:
     s = _events(t, "value")

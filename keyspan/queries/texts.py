@@ -139,32 +139,55 @@ def semver_parse(t: Tables) -> DataFrame:
     return v.select("p_partkey", "text", F.col("v.major").alias("major"), F.col("v.minor").alias("minor"), F.col("v.patch").alias("patch"), (F.col("v.pre.is_release") == 1).alias("release"), pre.alias("pre"), F.col("v.build").alias("build"))
 
 
-@query(f"SELECT text FROM (SELECT DISTINCT text, major, minor, patch, k, CASE WHEN k = 0 THEN p_partkey % 11 ELSE 0 END AS a FROM ({_PARTS})) ORDER BY major DESC, minor DESC, patch DESC, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END DESC, a DESC, text DESC LIMIT 25")
-def semver_sort(t: Tables) -> DataFrame:
-    v = _versions(t).select("text").distinct()
-    return v.orderBy(semver.precedence(semver.parse(F.col("text"))).desc(), F.desc("text")).limit(25)
-
-
 @query(f"SELECT text, row_number() OVER (ORDER BY major, minor, patch, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, a, text) - 1 AS pos FROM (SELECT DISTINCT text, major, minor, patch, k, CASE WHEN k = 0 THEN p_partkey % 11 ELSE 0 END AS a FROM ({_PARTS}))")
-def semver_rank(t: Tables) -> DataFrame:
+def semver_sort(t: Tables) -> DataFrame:
     """Every distinct version with its position."""
     v = _versions(t).select("text").distinct().withColumn("p", semver.precedence(semver.parse(F.col("text"))))
     return maps.positions(v, F.col("p").asc(), F.col("text").asc()).select("text", "pos")
 
 
-@query(f"SELECT p_partkey, text FROM ({_PARTS}) WHERE k > 1 AND major * 1000000 + minor * 1000 + patch >= 1002003 AND major < 2")
-def semver_contains(t: Tables) -> DataFrame:
-    wanted = semver.parse_requirement("^1.2.3")
-    return _versions(t).where(semver.contains(wanted, semver.parse(F.col("text"))))
-
-
 _AT = "major * 1000000 + minor * 1000 + patch"
 _ADMITS = ", ".join(f"k > 1 AND {_AT} >= {m}004002 OR {_AT} = {m}004002 AND (k = 0 AND p_partkey % 11 >= 3 OR k = 1) AS from{m}" for m in (0, 1, 2))
 
 
 @query(f"SELECT p_partkey, text, k > 1 AS whole, {_ADMITS} FROM ({_PARTS})")
-def semver_admits(t: Tables) -> DataFrame:
+def semver_contains(t: Tables) -> DataFrame:
     """Prereleases on the line of a requirement's bound, and none in ``*``."""
     v = _versions(t).withColumn("v", semver.parse(F.col("text")))
     held = {"whole": "*"} | {f"from{m}": f">={m}.4.2-alpha.3" for m in (0, 1, 2)}
     return v.select("p_partkey", "text", *(semver.contains(semver.parse_requirement(r), F.col("v")).alias(name) for name, r in held.items()))
+
+
+#: Requirement texts with what each admits: version numbers as one number, k the kind (0 and 1 are prereleases).
+_REQUIREMENTS = {
+    "*": "k > 1",
+    "<=1.2": f"k > 1 AND {_AT} <= 1002000",
+    ">1.2": f"k > 1 AND {_AT} > 1002000",
+    "^0": f"k > 1 AND {_AT} = 0",
+    "~0.3": f"k > 1 AND {_AT} >= 3000 AND {_AT} < 4000",
+    "^1.0.0-rc": f"k > 1 AND {_AT} >= 1000000 AND {_AT} < 2000000 OR {_AT} = 1000000 AND k = 1",
+    ">=2.4.2-alpha.5, <2.9": f"{_AT} < 2009000 AND (k > 1 AND {_AT} >= 2004002 OR {_AT} = 2004002 AND (k = 0 AND p_partkey % 11 >= 5 OR k = 1))",
+    "no requirement": "false",
+}
+_CHOSEN = "list_extract([" + ", ".join(f"'{r}'" for r in _REQUIREMENTS) + "], CAST(p_partkey // 4 % 8 + 1 AS INTEGER))"
+_HELD = "CASE p_partkey // 4 % 8 " + " ".join(f"WHEN {k} THEN {test}" for k, test in enumerate(_REQUIREMENTS.values())) + " END"
+
+
+def _required(t: Tables) -> DataFrame:
+    texts = F.array(*map(F.lit, _REQUIREMENTS))
+    rows = _versions(t).withColumn("requirement", F.get(texts, (F.floor(F.col("p_partkey") / 4) % 8).cast("int")))
+    return semver.requirement_sets(rows.withColumn("v", semver.parse(F.col("text"))), "requirement")
+
+
+@query(f"SELECT p_partkey, text, {_CHOSEN} AS requirement, coalesce({_HELD}, false) AS held FROM ({_PARTS})")
+def semver_admission(t: Tables) -> DataFrame:
+    """A column of versions in a column of requirements."""
+    return _required(t).select("p_partkey", "text", "requirement", semver.set_contains(F.col("sets"), F.col("v")).alias("held"))
+
+
+@query(f"SELECT p_partkey, text, coalesce({_HELD}, false) AND (k > 1 AND {_AT} >= 1000000 OR {_AT} = 1000000 AND k = 1) AS held FROM ({_PARTS})")
+def semver_meet(t: Tables) -> DataFrame:
+    """Versions in the common part of two sets: each row's own and one that all share."""
+    shared = t.spark.createDataFrame([(">=1.0.0-rc",)], "other string")
+    rows = _required(t).crossJoin(F.broadcast(semver.requirement_sets(shared, "other", "others").select("others")))  # one row
+    return rows.select("p_partkey", "text", semver.set_contains(semver.set_meet(F.col("sets"), F.col("others")), F.col("v")).alias("held"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.functions.results import error, result
-from keyspan.sources.store import exists, shared_dir
+from keyspan.sources.store import complete, exists, shared_dir
 
 
 def length(blob: Column) -> Column:
@@ -71,37 +71,41 @@ class Untar:
         try:
             with tarfile.open(fileobj=io.BytesIO(blob)) as archive:
                 for entry in archive:
-                    if entry.isfile():
+                    if entry.isfile() or entry.islnk():  # a hard link is a file with its target's bytes
                         content = archive.extractfile(entry).read()
                         yield entry.name, "file", len(content), content, bool(entry.mode & 0o111), None
                     elif entry.isdir():
                         yield entry.name, "dir", 0, None, False, None
                     elif entry.issym():
                         yield entry.name, "symlink", 0, None, False, entry.linkname
-        except tarfile.TarError as e:
+        except (tarfile.TarError, KeyError) as e:
             raise ValueError(f"MalformedArchive: {e}") from e
 
 
 def fetch(spark: SparkSession, pins: DataFrame) -> DataFrame:
     """name and a result with the bytes of each pinned location (name, url, sha256).
 
-    Content lies in the shared folder under its digest; what is not there is read from the
-    location, checked against its pin and kept. Pins are a short list of names.
+    Content lies in the shared folder under its digest; what is not there whole is read from
+    the location, checked against its pin and kept. ``url`` may be an array: origins are
+    tried in their order until one has the pinned bytes. Pins are a short list of names.
     """
     store = f"{shared_dir(spark)}/content"
     rows = []
     for pin in pins.orderBy("name").collect():
         kept = f"{store}/{pin['sha256']}"
-        if not exists(spark, kept):
-            if not exists(spark, pin["url"]):
-                rows.append((pin["name"], None, "MissingRegistryArtifact"))
+        if not complete(spark, kept):
+            origins = pin["url"] if isinstance(pin["url"], list) else [pin["url"]]
+            found, failure = None, "MissingRegistryArtifact"
+            for origin in (o for o in origins if exists(spark, o)):
+                good = spark.read.format("binaryFile").load(origin).select("content").where(digest(F.col("content")) == pin["sha256"])
+                if not good.isEmpty():
+                    found = good
+                    break
+                failure = "FetchIntegrity"
+            if found is None:
+                rows.append((pin["name"], None, failure))
                 continue
-            blob = spark.read.format("binaryFile").load(pin["url"]).select("content")
-            good = blob.where(digest(F.col("content")) == pin["sha256"])
-            if good.isEmpty():
-                rows.append((pin["name"], None, "FetchIntegrity"))
-                continue
-            good.write.parquet(kept)
+            found.limit(1).write.mode("overwrite").parquet(kept)
         rows.append((pin["name"], pin["sha256"], None))
     found = spark.createDataFrame(rows, "name string, sha256 string, err string")
     names = [r[1] for r in rows if r[1]]

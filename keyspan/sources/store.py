@@ -79,3 +79,15 @@ def complete(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     files, target = _located(spark, path)
     files.delete(target, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources spell it."""
+    files, target = _located(spark, path)
+    return files.makeQualified(target).toString()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names right in a folder; none where it is missing."""
+    files, target = _located(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []

@@ -7,7 +7,7 @@ An option is a nullable column, a result a struct of ``ok`` and ``err``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +43,16 @@ def spread(base: Column, **fields: Column) -> Column:
     return base
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is bound to a name and computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def destructure(value: Column, names: Sequence[str], body: Callable[..., Column]) -> Column:
+    """``body`` of a record's or tuple's fields, in the given order."""
+    return body(*(value[n] for n in names))
+
+
 class Enum:
     """A tagged union; variants in declaration order, each with its payload fields."""
 
