@@ -2,8 +2,16 @@
 
 Index: unit vectors turned by one random rotation, dealt to inverted lists by their
 nearest centroid.  Lists are packed into shards of bounded size, and a crowded list is
-cut into several.  Search: a query goes to the shards of its nearest lists and scans
-those lists, nearest first; candidates lie in column blocks of the rotated
+cut into several.
+
+Search in two passes.  The first visits each query's nearest few lists.  Its k-th
+best distance, and the distance within which the lists' sizes and radii let k others
+be expected, bound what is still wanted; from the same figures follows how many such
+vectors each list not visited may hold.  The second pass visits the lists that hold
+the most of them, until those left are expected to hold a share ``missed`` of k.  So a
+query among clusters ends after the first pass, and one without near neighbours looks at many lists.
+
+Scan: candidates of the visited lists lie in column blocks of the rotated
 dimensions, and after each column block those are abandoned whose partial distance
 fails the test
 
@@ -14,12 +22,12 @@ What survives all dimensions is scored exactly: cosine in double precision on th
 original vectors.
 
 Copies of a vector are one candidate with its smallest ids, so a vector that a third
-of all rows share is compared once.  Centroids are fitted on at most
-``Settings.sample`` distinct vectors; every vector is indexed.  Their number grows with the root of the
+of all rows share is compared once.  Centroids are fitted on at most ``Settings.sample`` vectors
+and ``Settings.sample_bytes`` bytes; every vector is indexed.  The number of lists grows with the root of the
 number of distinct vectors, up to ``Settings.max_lists``, which bounds what is sent to tasks.
 
 Results for edge cases: vectors that are null, zero or hold null or non-finite
-components, or whose length is not the commonest of the sample (ties: the greater),
+components, or whose length is not the commonest (ties: the greater),
 and rows with a null id, take no part; repeated rows count once; ties go to the smaller id; a
 query with fewer candidates than k gets all; an empty table gives an empty result;
 other columns are not read.
@@ -27,7 +35,7 @@ other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,10 +53,13 @@ class Settings:
 
     k: int = 5
     sample: int = 65_536
+    sample_bytes: int = 64 << 20
     max_lists: int = 4_096
-    #: Lists that a query visits: this share of all, and at least ``min_probes``.
-    probe_share: float = 0.55
+    #: Lists of the first pass: this share of all, and at least ``min_probes``.
+    first_share: float = 0.05
     min_probes: int = 16
+    #: Neighbours that lists left out may hold, as expected, for each one wanted.
+    missed: float = 0.15
     epsilon: float = 2.1
     column_block: int = 16
     rows_block: int = 8_192
@@ -58,11 +69,14 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """What tasks need: the rotation, the centroids (rotated), sizes and splits of lists."""
+    """What tasks need: the rotation, the centroids (rotated), sizes, mean squared radii and shards of lists."""
 
     rotation: np.ndarray
     centroids: np.ndarray
     sizes: np.ndarray
+    radii: np.ndarray
+    first: np.ndarray
+    splits: np.ndarray
 
 
 def _rotation(d: int, seed: int) -> np.ndarray:
@@ -103,16 +117,52 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def scan(query: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, keep: int, epsilon: float, first: int = 128, chunk: int = 2048) -> np.ndarray:
+def _normal(z: np.ndarray) -> np.ndarray:
+    """Distribution function of the normal distribution, to three digits."""
+    return 0.5 * (1 + np.tanh(np.sqrt(2 / np.pi) * (z + 0.044715 * z**3)))
+
+
+def expected(index: Index, distances: np.ndarray, within: float) -> np.ndarray:
+    """How many members of each list are within a squared distance of a query.
+
+    ``distances``: of the query to the centroids, squared. A member's distance is taken as
+    normal: its offset from the centroid has the list's radius and any direction.
+    """
+    d = index.centroids.shape[1]
+    spread = 2 * np.sqrt(np.maximum(distances * index.radii / d, 1e-12))
+    return index.sizes * _normal((within - distances - index.radii) / spread)
+
+
+def nearest_lists(index: Index, distances: np.ndarray, probes: int, keep: int) -> np.ndarray:
+    """The nearest lists: ``probes`` of them, and more until they hold ``keep`` vectors."""
+    order = np.argsort(distances, kind="stable")
+    enough = int((np.cumsum(index.sizes[order]) < keep).sum()) + 1
+    return order[: max(probes, enough)]
+
+
+def further_lists(index: Index, distances: np.ndarray, visited: np.ndarray, best: float, k: int, missed: float) -> np.ndarray:
+    """Lists of the second pass: all but those that together are expected to hold ``missed`` * k of what is still wanted."""
+    low, high = 0.0, 4.0
+    for _ in range(24):  # the distance within which k others are expected
+        middle = (low + high) / 2
+        low, high = (middle, high) if expected(index, distances, middle).sum() < k + 1 else (low, middle)
+    held = expected(index, distances, min(best, high))
+    held[visited] = 0.0
+    order = np.argsort(held, kind="stable")
+    return np.sort(order[np.cumsum(held[order]) > missed * k])
+
+
+def scan(query: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, keep: int, epsilon: float, first: int = 128, chunk: int = 2048, known: float = np.inf) -> np.ndarray:
     """Those of ``rows`` that no test abandoned and that are among the ``keep`` best of them.
 
     ``columns``: for each column block an array (dimensions, candidates); ``rows``: the
     candidates to scan, the most promising first. The threshold is the ``keep``-th best
-    whole distance so far; the first rows set it, all others are tested against it.
+    whole distance so far, or ``known`` where that is less; the first rows set it, all
+    others are tested against it.
     """
     d = len(query)
     best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    threshold, start, size = np.inf, 0, first
+    threshold, start, size = known, 0, first
     while start < len(rows):
         alive = rows[start : start + size]
         start, size = start + size, chunk
@@ -135,7 +185,7 @@ def scan(query: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, keep: i
                 top = best <= limit * (1.0 + 1e-9)
                 best_at, best = best_at[top], best[top]
             if len(best) >= keep:
-                threshold = np.partition(best, keep - 1)[keep - 1]
+                threshold = min(known, np.partition(best, keep - 1)[keep - 1])
     return best_at
 
 
@@ -159,12 +209,11 @@ def nearest(df: DataFrame, is_query: Column, settings: Settings = Settings(), id
     spark, k, keep = df.sparkSession, settings.k, settings.k + 1
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).select("v").toArrow()["v"].to_pylist()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if lengths is None:
         return spark.createDataFrame([], schema)
-    lengths = np.bincount([len(v) for v in sample])
-    d = int(len(lengths) - 1 - lengths[::-1].argmax())
+    d = lengths["d"]
     rows = rows.where(F.size("v") == d)
     # Copies: the smallest ids of each vector; Spark keeps the first ranks within each task before it shuffles.
     place = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
@@ -175,69 +224,88 @@ def nearest(df: DataFrame, is_query: Column, settings: Settings = Settings(), id
 
     n = distinct.count()
     rotation = _rotation(d, settings.seed)
-    x = np.unique(np.array([v for v in sample if len(v) == d], np.float64), axis=0)
-    x = _units(x) @ rotation
-    lists = max(1, min(settings.max_lists, len(x), round(n**0.5) if n > 4 * settings.rows_block // 16 else 1))
-    index = Index(rotation, kmeans(x, lists, settings.seed), np.zeros(lists, np.int64))
+    sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(max(1, min(settings.sample, settings.sample_bytes // (8 * d)))).toArrow()["v"]
+    x = _units(_matrix(sample, d)) @ rotation
+    lists = max(1, min(settings.max_lists, len(x), round(n**0.5)))
+    centroids = kmeans(x, lists, settings.seed)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _nearest(_units(_matrix(batch.column(0), d)) @ index.rotation, index.centroids)
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], names=["list", "v", "ids", "asked"])
-
-    placed = written(distinct.mapInArrow(assign, "list int, v array<float>, ids array<long>, asked boolean"), "lists")
-    sizes = np.zeros(lists, np.int64)
-    for row in placed.groupBy("list").count().collect():  # one row a list at most
-        sizes[row["list"]] = row["count"]
-    probes = min(lists, max(settings.min_probes, round(lists * settings.probe_share)))
-    first, splits = packed(sizes, settings.rows_block)
-    half = (index.centroids**2).sum(1) / 2
-
-    def chosen(rotated: np.ndarray) -> list[np.ndarray]:
-        """Lists that each query visits, nearest first: enough for k others at least."""
-        order = np.argsort(half - rotated @ index.centroids.T, axis=1, kind="stable")
-        enough = (np.cumsum(sizes[order], 1) < keep).sum(1) + 1
-        return [row[: max(probes, int(n))] for row, n in zip(order, enough)]
-
-    def turned(vectors: pa.Array) -> np.ndarray:
-        return _units(_matrix(vectors, d)) @ index.rotation
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+            turned = _units(_matrix(batch.column(0), d)) @ rotation
+            near = _nearest(turned, centroids)
+            radius = ((turned - centroids[near]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(radius), *batch.columns], names=["list", "radius", "v", "ids", "asked"])
+
+    placed = written(distinct.mapInArrow(assign, "list int, radius double, v array<float>, ids array<long>, asked boolean"), "lists")
+    sizes, radii = np.zeros(lists, np.int64), np.zeros(lists)
+    for row in placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("radius").alias("radius")).collect():  # one row a list at most
+        sizes[row["list"]], radii[row["list"]] = row["n"], row["radius"]
+    index = Index(rotation, centroids, sizes, radii, *packed(sizes, settings.rows_block))
+    probes = min(lists, max(settings.min_probes, round(lists * settings.first_share)))
+
+    def first_pass(distances: np.ndarray, best: float) -> np.ndarray:
+        return nearest_lists(index, distances, probes, keep)
+
+    def second_pass(distances: np.ndarray, best: float) -> np.ndarray:
+        return further_lists(index, distances, nearest_lists(index, distances, probes, keep), best, k, settings.missed)
+
+    asks = placed.where("asked").select("v", F.lit(float("inf")).alias("best"))
+    found = written(_visited(asks, placed, index, settings, first_pass), "found")
+    top = W.partitionBy("q").orderBy(F.desc("score"))
+    # The query's own vector is among the best: it is the k + 1st that bounds the others.
+    ranked = found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= keep)
+    best = ranked.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    limit = F.when(F.col("n") == keep, 2 - 2 * F.col("worst")).otherwise(F.lit(float("inf")))
+    again = asks.select("v").join(best.select(F.col("q").alias("v"), limit.alias("best")), "v")
+    near = found.unionByName(_visited(again, placed, index, settings, second_pass)).select("q", "score", F.explode("ids").alias("vec_id"))
+    by_score = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= keep).select("q", "score", "vec_id")
+    near = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))  # k + 1 at most
+    # Spark splits the rows of a vector that many queries share.
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
+    out = queries.join(near, "q").select("query_id", F.posexplode(others).alias("pos", "c"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.minus")).alias("score"))
+
+
+def _visited(asks: DataFrame, placed: DataFrame, index: Index, settings: Settings, choose: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
+    """q, score and ids of the best that each asking vector (v, best) finds in the lists that ``choose`` gives it."""
+    spark, d, keep = asks.sparkSession, index.centroids.shape[1], settings.k + 1
+    lists = len(index.sizes)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield part, chosen(turned(part.column(0)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(lists, np.int64)
-        for _, visited in parts(batches):
-            total += np.bincount(np.concatenate(visited), minlength=lists)
-        yield pa.RecordBatch.from_pydict({"list": np.arange(lists, dtype=np.int32), "n": total})
-
-    asked = np.zeros(lists, np.int64)
-    asks = placed.where("asked").select("v")
-    for row in asks.mapInArrow(count, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one row a list
-        asked[row["list"]] = row["n"]
+                turned = _units(_matrix(part.column(0), d)) @ index.rotation
+                distances = (turned**2).sum(1)[:, None] + (index.centroids**2).sum(1) - 2 * turned @ index.centroids.T
+                at, shard, own = [], [], []
+                for i, best in enumerate(part.column(1).to_pylist()):
+                    chosen = choose(np.maximum(distances[i], 0.0), best)
+                    chosen = chosen[index.sizes[chosen] > 0]
+                    heads = index.first[chosen]
+                    for head in np.unique(heads).tolist():
+                        of_head = chosen[heads == head]
+                        # A crowded list is alone in its shards.
+                        for s in range(head, head + int(index.splits[of_head].max())):
+                            at.append(i)
+                            shard.append(s)
+                            own.append(of_head.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.list_(pa.int32())), part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64()))], names=["shard", "lists", "q", "best"])
+
+    wanted = written(asks.mapInArrow(visits, "shard int, lists array<int>, q array<float>, best double"), "visits")
     # Queries of a shard are dealt to blocks, too; a crowded list's shards have equal numbers.
-    by_first = np.bincount(first, weights=asked)
-    blocks = np.maximum(1, -(-by_first[first].astype(np.int64) // settings.queries_block))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, visited in parts(batches):
-            at, shard, of = [], [], []
-            for i, own in enumerate(visited):
-                heads, where = np.unique(first[own], return_index=True)
-                n = splits[own[where]]
-                at.append(np.full(int(n.sum()), i))
-                shard.append(np.concatenate([np.arange(h, h + m) for h, m in zip(heads, n)]))
-                of.append(np.repeat(blocks[own[where]], n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(of).astype(np.int32)), part.column(0).take(pa.array(np.concatenate(at)))], names=["shard", "blocks", "q"])
-
+    shards = int((index.first + index.splits).max(initial=0)) + 1
+    blocks = np.ones(shards, np.int64)
+    for row in wanted.groupBy("shard").count().collect():  # one row a shard
+        blocks[row["shard"]] = -(-row["count"] // settings.queries_block)
     part_of = lambda value, n: F.pmod(F.xxhash64(value), n).cast("int")
-    queries = asks.mapInArrow(visit, "shard int, blocks int, q array<float>").select("shard", part_of("q", F.col("blocks")).alias("block"), "q")
-    table = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "first": first.astype(np.int32), "splits": splits.astype(np.int32), "blocks": blocks.astype(np.int32)}))
+    dealt = spark.createDataFrame(pa.table({"shard": np.arange(shards, dtype=np.int32), "blocks": blocks.astype(np.int32)}))
+    queries = wanted.join(F.broadcast(dealt), "shard").select("shard", part_of("q", F.col("blocks")).alias("block"), "lists", "q", "best")  # one row a shard
+    table = spark.createDataFrame(pa.table({"list": np.arange(lists, dtype=np.int32), "first": index.first.astype(np.int32), "splits": index.splits.astype(np.int32)}))
     candidates = placed.join(F.broadcast(table), "list")  # max_lists rows at most
-    candidates = candidates.select((F.col("first") + part_of("v", F.col("splits"))).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "v", "ids")
+    candidates = candidates.select((F.col("first") + part_of("v", F.col("splits"))).alias("shard"), "list", "v", "ids").join(F.broadcast(dealt), "shard")
+    candidates = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "v", "ids")
 
     def search(asking: pa.Table, held: pa.Table) -> pa.Table:
         qs, found, scores = [], [], []
@@ -252,26 +320,15 @@ def nearest(df: DataFrame, is_query: Column, settings: Settings = Settings(), id
             asked_for = _matrix(asking["q"], d)
             lengths = np.linalg.norm(asked_for, axis=1)
             rotated = (asked_for / lengths[:, None]) @ index.rotation
-            for start in range(0, len(rotated), 512):
-                for i, own in enumerate(chosen(rotated[start : start + 512]), start):
-                    here = own[high[own] > low[own]]
-                    rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(low[x], high[x]) for x in here)])
-                    at = scan(rotated[i], columns, rows, keep, settings.epsilon)
-                    qs.append(np.full(len(at), i))
-                    found.append(at)
-                    scores.append((original[at] * asked_for[i]).sum(1) / (norms[at] * lengths[i]))
+            for i, (own, best) in enumerate(zip(asking["lists"].to_pylist(), asking["best"].to_pylist())):
+                rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(low[x], high[x]) for x in own)])
+                at = scan(rotated[i], columns, rows, keep, settings.epsilon, known=best)
+                qs.append(np.full(len(at), i))
+                found.append(at)
+                scores.append((original[at] * asked_for[i]).sum(1) / (norms[at] * lengths[i]))
         place = np.concatenate([np.zeros(0, np.int64), *qs])
         at = np.concatenate([np.zeros(0, np.int64), *found])
         return pa.table({"q": asking["q"].combine_chunks().take(pa.array(place)), "score": np.concatenate([np.zeros(0), *scores]), "ids": held["ids"].combine_chunks().take(pa.array(at))})
 
     # A cell: a shard of candidates with a block of the queries that visit it.
-    met = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(search, "q array<float>, score double, ids array<long>")
-    near = met.select("q", "score", F.explode("ids").alias("vec_id"))
-    by_score = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= keep).select("q", "score", "vec_id")
-    near = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))  # k + 1 at most
-    # Spark splits the rows of a vector that many queries share.
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-    out = queries.join(near, "q").select("query_id", F.posexplode(others).alias("pos", "c"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.minus")).alias("score"))
+    return queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(search, "q array<float>, score double, ids array<long>")

@@ -22,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import as_binary, map_arrow
+from keyspan.llm.segments import LOOKUP_BYTES, ROOM, SegmentCache
 
 # Classes of code points as they stand in a text.
 LETTER, DIGIT, OTHER, SHORT, LONG, BLANKS, LAST_SPACE, LAST_BLANK = range(8)
@@ -184,31 +186,45 @@ class Vocabulary:
         places = np.repeat(self.id_starts[ids] - (ends - lengths), lengths) + np.arange(total)
         return self.id_bytes[places].tobytes()
 
+    def decode_pieces(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray, total: int) -> bytes:
+        """Bytes of ids, each piece put at its own offset.
+
+        ``counts``: ids of each piece; ``offsets``: where each begins among ``total`` bytes. A piece
+        whose ids do not fill its slice is a fault, so no wrong id shifts what follows.
+        """
+        lengths = self.id_lengths[ids]
+        whole = np.concatenate([[0], np.cumsum(lengths)])
+        firsts = np.concatenate([[0], np.cumsum(counts)])
+        if not np.array_equal(np.diff(whole[firsts]), np.diff(np.append(offsets, total))):
+            raise ValueError("ids do not fill the slices that they were made of")
+        starts = np.repeat(offsets - whole[firsts[:-1]], counts) + whole[:-1]
+        out = np.empty(total, np.uint8)
+        within = np.arange(int(whole[-1])) - np.repeat(whole[:-1], lengths)
+        out[np.repeat(starts, lengths) + within] = self.id_bytes[np.repeat(self.id_starts[ids], lengths) + within]
+        return out.tobytes()
+
 
 _NONE = np.int64(1 << 40)
 
 
 class Merger:
-    """Ids of pieces, with a bounded cache."""
+    """Ids of pieces, remembered within a bound of bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, entries: int = 700_000):
-        self.vocabulary, self.entries = vocabulary, entries
-        self.known: dict[bytes, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary, room: int = ROOM):
+        self.vocabulary = vocabulary
+        self.cache = SegmentCache(self._merged, room)
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """For each piece its ids as little-endian unsigned 32-bit integers."""
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            fresh = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-            if len(self.known) + len(fresh) > self.entries:
-                self.known.clear()
-                fresh = list(set(pieces))
-            self._learn(fresh)
-            found = list(map(self.known.__getitem__, pieces))
-        return found
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        ranks, known = self.vocabulary.ranks, self.known
+        return self.cache.values(pieces)
+
+    def _merged(self, fresh: list[bytes]) -> list[bytes]:
+        known: dict[bytes, bytes] = {}
+        self._learn(fresh, known)
+        return [known[p] for p in fresh]
+
+    def _learn(self, fresh: list[bytes], known: dict[bytes, bytes]) -> None:
+        ranks = self.vocabulary.ranks
         by_length: dict[int, list[bytes]] = {}
         for piece in fresh:
             rank = ranks.get(piece)
@@ -297,8 +313,22 @@ def loaded(path: str) -> tuple[Vocabulary, Merger]:
     return _LOADED[path]
 
 
-def encode_batch(texts: list[bytes], merger: Merger) -> tuple[list[bytes], list[np.ndarray]]:
-    """ids (as bytes) of each text, and the byte offset of each of its pieces."""
+class Encoded(NamedTuple):
+    """A batch of texts, encoded: ids of each, and its pieces with their offsets among the batch's bytes."""
+
+    ids: list[bytes]
+    pieces: list[bytes]
+    offsets: np.ndarray
+    of_text: tuple[np.ndarray, np.ndarray]  # first and last piece (exclusive) of each text
+    ends: np.ndarray  # where each text ends
+
+    def piece_offsets(self, k: int) -> np.ndarray:
+        """Offsets of a text's pieces within it."""
+        a, b = self.of_text[0][k], self.of_text[1][k]
+        return self.offsets[a:b] - (self.ends[k - 1] if k else 0)
+
+
+def encode_batch(texts: list[bytes], merger: Merger) -> Encoded:
     joined = b"".join(texts)
     points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     widths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64)
@@ -309,44 +339,57 @@ def encode_batch(texts: list[bytes], merger: Merger) -> tuple[list[bytes], list[
     filled = starts[starts < ends]
     mask = token_starts(classes_in_place(points, ends[ends > 0]), filled)
     at = np.flatnonzero(mask)
-    cuts = np.append(byte_at[at], len(joined))
-    bounds = cuts.tolist()
+    offsets = byte_at[at]
+    bounds = np.append(offsets, len(joined)).tolist()
     ids = merger.ids([joined[a:b] for a, b in zip(bounds, bounds[1:])])
     of_text = np.searchsorted(at, starts), np.searchsorted(at, ends)
-    return [b"".join(ids[a:b]) for a, b in zip(*(x.tolist() for x in of_text))], [cuts[a:b] for a, b in zip(*of_text)]
+    return Encoded([b"".join(ids[a:b]) for a, b in zip(*(x.tolist() for x in of_text))], ids, offsets, of_text, text_ends)
+
+
+def decode_batch(made: Encoded, vocabulary: Vocabulary) -> list[bytes]:
+    """The texts of a batch, from their ids and the offsets of their pieces."""
+    ids = np.frombuffer(b"".join(made.ids), "<u4")
+    counts = np.array([len(p) // 4 for p in made.pieces], np.int64)
+    total = int(made.ends[-1]) if len(made.ends) else 0
+    raw = vocabulary.decode_pieces(ids, counts, made.offsets, total)
+    bounds = [0, *made.ends.tolist()]
+    return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def encode(df: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id column and ``ids``, the text's token ids as little-endian unsigned 32-bit integers."""
+    """id column, ``ids`` (the text's token ids) and ``offsets`` (where its pieces begin, in bytes), as little-endian unsigned 32-bit integers."""
 
     def make():
         _, merger = loaded(ranks)
 
         def work(batch: pa.RecordBatch) -> dict:
-            return {"id": batch.column(0), "ids": encode_batch([t or b"" for t in as_binary(batch.column(1)).to_pylist()], merger)[0]}
+            made = encode_batch([t or b"" for t in as_binary(batch.column(1)).to_pylist()], merger)
+            return {"id": batch.column(0), "ids": made.ids, "offsets": [made.piece_offsets(k).astype("<u4").tobytes() for k in range(len(made.ids))]}
 
         return work
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, make, "id long, ids binary", "text").withColumnRenamed("id", id_column)
+    return map_arrow(rows, make, "id long, ids binary, offsets binary", "text").withColumnRenamed("id", id_column)
 
 
-def round_trip_digests(df: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """n_tokens, the digest of the ids and the digest of the bytes decoded from them."""
+def round_trip_digests(df: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """n_tokens, the digest of the ids and the digest of the bytes decoded from them (with ``with_ids``: and the ids)."""
 
     def make():
         vocabulary, merger = loaded(ranks)
 
         def work(batch: pa.RecordBatch) -> dict:
-            encoded, _ = encode_batch([t or b"" for t in as_binary(batch.column(1)).to_pylist()], merger)
+            made = encode_batch([t or b"" for t in as_binary(batch.column(1)).to_pylist()], merger)
             return {
                 "id": batch.column(0),
-                "n_tokens": [len(x) // 4 for x in encoded],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in encoded],
-                "decoded_sha256": [hashlib.sha256(vocabulary.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in encoded],
+                "n_tokens": [len(x) // 4 for x in made.ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in made.ids],
+                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decode_batch(made, vocabulary)],
+                "ids": made.ids,
             }
 
         return work
 
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, make, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "text").withColumnRenamed("id", id_column)
+    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return map_arrow(rows, make, schema, "text", LOOKUP_BYTES * 4).withColumnRenamed("id", id_column)

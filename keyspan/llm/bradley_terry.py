@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import as_binary, map_arrow
+from keyspan.llm.common import as_binary, map_arrow, pieces
 
 
 @dataclass(frozen=True)
@@ -171,7 +170,10 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """id and score of every document (with ``keep``: the given columns and the score)."""
+    """id and score of every document (with ``keep``: ``own``, all its columns as one, and the score).
+
+    Texts are scored in slices of bounded size, whatever an Arrow batch holds.
+    """
     packed = tuple(np.asarray(v) for v in (model.weights, model.centre, model.spread)), model.threshold
 
     def score(texts: list[bytes | None]) -> np.ndarray:
@@ -186,11 +188,13 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
         make = lambda: lambda batch: {"id": batch.column(0), "score": score(as_binary(batch.column(1)).to_pylist())}
         return map_arrow(rows, make, "id long, score double", "text").withColumnRenamed("id", id_column)
 
-    @F.pandas_udf("double")
-    def score_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(score([t.encode() if t is not None else None for t in texts]), dtype="float64")
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array) -> pa.Array:
+        found = [score(as_binary(part.column(0)).to_pylist()) for part in pieces([pa.RecordBatch.from_arrays([texts], names=["text"])], "text")]
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
-    return docs.withColumn("score", score_of(F.col(text_column).cast("string")))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    return docs.select(own, score_of(F.col(f"`{text_column}`").cast("string")).alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

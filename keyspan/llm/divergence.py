@@ -5,17 +5,21 @@ words, from all documents of the corpus.  A document is compared with its
 language's reference by Jensen-Shannon distance (square root of the divergence, base
 2, so 0 to 1) on both histograms and rejected where one is too far.  Short texts
 scatter, so the limit on words widens with 1 / sqrt(n_words), and texts under
-``min_words`` or languages without a reference pass by the guard.  The base rules
-(too few words, too many repeated windows) come first.
+``min_words`` pass by the guard.  A language with less than ``min_share`` of the corpus has no
+reference of its own: its documents are held against the character classes of all
+documents, and not against words.  The base rules (too few words, too many repeated
+windows) come first.
 
 Histograms: characters of words as upper-case letters, other letters, digits,
 symbols `[#*$%&|<>]` and the rest; words as the ``common`` commonest of the language
-and the rest.  A text is split once; what the verdict needs of it are few numbers,
-which are written before references and verdicts are made of them.  A reference is kept for languages with ``min_share`` of
-all documents, so there are 1 / min_share of them at most, and they may be broadcast.
+and the rest.  A text is split once for the commonest words and once to be measured; what
+the verdict needs of it are few numbers, which are written (beside the document's columns,
+where those are wanted) before references and verdicts are made of them.  A reference
+is kept for languages with ``min_share`` of all documents, so there are 1 / min_share of
+them at most, and they may be broadcast.
 
-Windows are compared by their 64-bit XXH64 (a clash of two different windows in one
-document, about 1 in 10**10 for a million words, would count as a repeat).
+Windows are compared by their 64-bit XXH64; where windows of a document share a hash but
+not their words, that document's are compared by the words themselves.
 
 Results for edge cases: a null or empty text has zero counts and fails the base rule;
 null languages are a language of their own; repeated rows give repeated rows (and
@@ -25,6 +29,7 @@ than doc_id, text and lang are carried along only with ``keep``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,22 +73,35 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
-def repeat_words(words: Column) -> Column:
+def repeat_words(words: Column, window_hash: Callable[..., Column] = F.xxhash64) -> Column:
     """Words that stand in a 3-word window found twice or more."""
 
-    def covered(hashes: Column) -> Column:
-        ordered = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    heads = F.slice(words, 1, F.size(words) - 2)
+    spelled = lambda i: F.concat_ws(" ", words[i], words[i + 1], words[i + 2])
 
-        def places(s: Column) -> Column:
-            again = F.filter(s, lambda v, j: ((j > 0) & (F.get(s, j - 1)["x"] == v["x"])) | F.coalesce(F.get(s, j + 1)["x"] == v["x"], F.lit(False)))
-            return F.sort_array(F.transform(again, lambda v: v["i"]))
+    def sorted_windows(keys: Column) -> Column:
+        return F.sort_array(F.transform(keys, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
+    def total(again: Column) -> Column:
+        """Words of the windows (x, i) in ``again``."""
         start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(-3).alias("last"))
         step = lambda a, q: F.struct((a["c"] + F.least(F.lit(3), q - a["last"])).cast("long").alias("c"), q.alias("last"))
-        whole = F.aggregate(_let(ordered, places), start, step, lambda a: a["c"])
+        return F.aggregate(F.sort_array(F.transform(again, lambda v: v["i"])), start, step, lambda a: a["c"])
+
+    def repeated(s: Column) -> Column:
+        return F.filter(s, lambda v, j: ((j > 0) & (F.get(s, j - 1)["x"] == v["x"])) | F.coalesce(F.get(s, j + 1)["x"] == v["x"], F.lit(False)))
+
+    def checked(again: Column) -> Column:
+        """Neighbours under one hash have to be one window."""
+        clash = F.exists(F.transform(again, lambda v, j: (j > 0) & (F.get(again, j - 1)["x"] == v["x"]) & (spelled(F.get(again, j - 1)["i"]) != spelled(v["i"]))), lambda x: F.coalesce(x, F.lit(False)))
+        exact = _let(sorted_windows(F.transform(heads, lambda _, i: spelled(i))), lambda s: total(repeated(s)))
+        return F.when(clash, exact).otherwise(total(again))
+
+    def covered(hashes: Column) -> Column:
+        whole = _let(_let(sorted_windows(hashes), repeated), checked)
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(whole)
 
-    hashes = F.transform(F.slice(words, 1, F.size(words) - 2), lambda x, i: F.xxhash64(x, words[i + 1], words[i + 2]))
+    hashes = F.transform(heads, lambda x, i: window_hash(x, words[i + 1], words[i + 2]))
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(hashes, covered))
 
 
@@ -106,7 +124,7 @@ def common_words(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return words.join(larger, "ref_lang", "left_semi")
 
 
-def _measures(text: Column, common: Column, repeats: bool) -> Column:
+def _measures(text: Column, common: Column) -> Column:
     """All that is counted in a text, from one list of its words."""
 
     def marks(rest: Column) -> Column:
@@ -118,7 +136,7 @@ def _measures(text: Column, common: Column, repeats: bool) -> Column:
     def of(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            (repeat_words(words) if repeats else F.lit(0).cast("long")).alias("n_repeat_words"),
+            repeat_words(words).alias("n_repeat_words"),
             _let(F.array_join(words, ""), characters).alias("c"),
             F.transform(common, lambda w: (F.size(words) - F.size(F.array_remove(words, w))).cast("long")).alias("common"),
         )
@@ -126,31 +144,33 @@ def _measures(text: Column, common: Column, repeats: bool) -> Column:
     return _let(_words(text), of)
 
 
-def measured(df: DataFrame, words: DataFrame, repeats: bool = True, keep: bool = False) -> DataFrame:
+def measured(df: DataFrame, words: DataFrame, keep: bool = False) -> DataFrame:
     """One row of counts for each document, with its id or (``keep``) all its columns as ``own``.
 
     ``words`` has at most 1 / min_share rows and is broadcast.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)) if keep else F.struct("doc_id")
-    lines = _duplicate_lines(F.col("text")) if repeats else F.lit(0).cast("long")
+    lines = _duplicate_lines(F.col("text"))
     rows = df.select(own.alias("own"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("ref_lang"), text.alias("text")).join(F.broadcast(words), "ref_lang", "left")
-    rows = rows.select("own", "ref_lang", "common_words", lines.alias("n_dup_lines"), _measures(F.col("text"), F.col("common_words"), repeats).alias("m"))
+    rows = rows.select("own", "ref_lang", "common_words", lines.alias("n_dup_lines"), _measures(F.col("text"), F.col("common_words")).alias("m"))
     c = F.col("m.c")
     classes = F.array(*(x.cast("long") for x in (c["upper"], c["all"] - c["marks"]["all"] - c["upper"], c["marks"]["digits"], c["marks"]["symbols"], c["marks"]["all"] - c["marks"]["digits"] - c["marks"]["symbols"])))
     return rows.select("own", "ref_lang", "common_words", F.col("m.n_words").alias("n_words"), c["all"].cast("long").alias("word_chars"), c["marks"]["symbols"].cast("long").alias("n_symbols"), "n_dup_lines", F.col("m.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), F.col("m.common").alias("common"))
 
 
 def references(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """ref_lang, common_share and class_share (arrays) of each language with common words.
+    """ref_lang, common_share and class_share (arrays) of each language with common words; null as language: class_share of all.
 
     Shares are means over the language's documents, so that a long one counts as any
     other; too short documents, and those that one common word fills by more than
     ``witness_share``, say nothing of the language.
     """
-    seen = counts.where(F.col("common").isNotNull() & (F.col("n_words") >= rules.min_words) & (F.array_max("common") <= rules.witness_share * F.col("n_words")) & (F.col("word_chars") > 0))
-    means = seen.groupBy("ref_lang").agg(F.max(F.size("common")).alias("size"), *(F.avg(F.get("common", F.lit(k)) / F.col("n_words")).alias(f"w{k}") for k in range(rules.common)), *(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
-    return means.select("ref_lang", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.col("size")).alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share"))
+    seen = counts.where((F.col("n_words") >= rules.min_words) & F.coalesce(F.array_max("common") <= rules.witness_share * F.col("n_words"), F.lit(True)) & (F.col("word_chars") > 0))
+    classes = lambda df: df.agg(*(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
+    whole = classes(seen).select(F.lit(None).cast("string").alias("ref_lang"), F.lit(None).cast("array<double>").alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share"))
+    means = seen.where(F.col("common").isNotNull()).groupBy("ref_lang").agg(F.max(F.size("common")).alias("size"), *(F.avg(F.get("common", F.lit(k)) / F.col("n_words")).alias(f"w{k}") for k in range(rules.common)), *(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
+    return means.select("ref_lang", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.col("size")).alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share")).unionByName(whole)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -168,7 +188,9 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def verdicts(counts: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Distances, base_failed and kept beside the counts. ``refs`` is bounded as ``words`` is."""
-    rows = counts.join(F.broadcast(refs), "ref_lang", "left")
+    rows = counts.join(F.broadcast(refs.where("ref_lang is not null")), "ref_lang", "left")
+    every = refs.where("ref_lang is null").select(F.col("class_share").alias("all_class_share"))  # one row
+    rows = rows.crossJoin(F.broadcast(every)).withColumn("class_share", F.coalesce("class_share", F.when(F.col("all_class_share")[0].isNotNull(), F.col("all_class_share"))))
     n, chars = F.col("n_words"), F.col("word_chars")
     tested = n >= rules.min_words
     rows = rows.withColumn("char_distance", F.when(tested & F.col("class_share").isNotNull() & (chars > 0), js_distance(F.transform("classes", lambda x: x / chars), F.col("class_share"))))
@@ -184,11 +206,11 @@ def quality_rules(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     counts = written(measured(df, words), "counts")
     out = verdicts(counts, references(counts, rules), rules)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return out.select("own.doc_id", *made, F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return out.select(F.col("own.doc_id"), *made, F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def kept_documents(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` that the rules keep, with its columns."""
     words = written(common_words(df, rules), "words")
-    refs = written(references(measured(df, words, repeats=False), rules), "references")
-    return verdicts(measured(df, words, keep=True), refs, rules).where("kept").select("own.*")
+    counts = written(measured(df, words, keep=True), "measured")
+    return verdicts(counts, references(counts, rules), rules).where("kept").select("own.*")

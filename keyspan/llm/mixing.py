@@ -16,7 +16,8 @@ none is hot.
 Results for edge cases: null and empty texts are documents as any other; a null
 source is a source of its own; repeated rows draw equal counts; a null id is hashed as ''; a
 weight of 0 drops the source; an empty table gives an empty result; other columns
-are carried along (``__copy`` and ``__key`` are replaced).
+are carried along as they are, whatever their names; the columns added may be named, and a
+name that the documents have already is refused.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyspan.llm.common import written
+
 #: Columns of this module in between; named so as not to clash.
 _SOURCE, _RATE, _COUNT, _COPY, _KEY = "__source", "__rate", "__count", "__copy", "__key"
 
@@ -59,7 +62,7 @@ def source_rates(df: DataFrame, weights: dict[str, float], rest: float = 1.0, ep
     ``weights``: relative target share of each named source; ``rest``: of each other one.
     ``epoch``: expected size of the output over that of the input.
     """
-    counted = df.groupBy(F.col(source_column).cast("string").alias(_SOURCE)).agg(F.count("*").alias("__docs"))
+    counted = df.groupBy(F.col(f"`{source_column}`").cast("string").alias(_SOURCE)).agg(F.count("*").alias("__docs"))
     named = F.create_map(*(F.lit(x) for kv in weights.items() for x in (str(kv[0]), float(kv[1])))) if weights else None
     weight = F.coalesce(named[F.col(_SOURCE)], F.lit(float(rest))) if weights else F.lit(float(rest))
     counted = counted.withColumn("__weight", weight)
@@ -69,15 +72,19 @@ def source_rates(df: DataFrame, weights: dict[str, float], rest: float = 1.0, ep
     return counted.crossJoin(F.broadcast(sums)).select(_SOURCE, "__docs", "__all", rate.alias(_RATE))
 
 
-def mixed(df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: float = 1.0, seed: str = "mix-1", id_column: str = "doc_id", source_column: str = "source", max_sources: int = 1000, shuffled: bool = True) -> DataFrame:
-    """The documents, each as often as it drew, with __copy and __key; in order of __key."""
-    from keyspan.llm.common import written
+def mixed(df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: float = 1.0, seed: str = "mix-1", id_column: str = "doc_id", source_column: str = "source", max_sources: int = 1000, shuffled: bool = True, copy_name: str | None = None, key_name: str | None = None) -> DataFrame:
+    """The documents, each as often as it drew, in the order of their keys: a hash of seed, id and copy.
 
+    ``copy_name`` and ``key_name`` name columns for the copy's number, from 1, and the key.
+    """
+    clash = {copy_name, key_name} & set(df.columns)
+    if clash:
+        raise ValueError(f"the documents have columns {sorted(clash)}")
     rates = written(source_rates(df, weights, rest, epoch, source_column), "rates")
     large = F.col("__docs") * max_sources >= F.col("__all")
     # The document's own columns travel as one, so that no name of theirs can clash.
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__own")
-    rows = df.select(own, F.col(source_column).cast("string").alias("__of"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("__id"))
+    rows = df.select(own, F.col(f"`{source_column}`").cast("string").alias("__of"), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("__id"))
     same = F.col("__of").eqNullSafe(F.col(_SOURCE))
     rated = rows.join(F.broadcast(rates.where(large).select(_SOURCE, _RATE)), same, "left").select("__own", "__of", "__id", _RATE)
     rare = rates.where(~large).select(_SOURCE, F.col(_RATE).alias("__small"))
@@ -94,4 +101,5 @@ def mixed(df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: fl
     out = out.select("__own", _COPY, F.md5(F.concat_ws(":", F.lit(seed), "__id", F.col(_COPY).cast("string")).cast("binary")).alias(_KEY))
     if shuffled:
         out = out.repartitionByRange(_KEY).sortWithinPartitions(_KEY)
-    return out.select(*(F.col("__own")[c].alias(c) for c in df.columns if c not in (_COPY, _KEY)), _COPY, _KEY)
+    added = [F.col(made).alias(name) for made, name in ((_COPY, copy_name), (_KEY, key_name)) if name]
+    return out.select(*(F.col("__own").getField(c).alias(c) for c in df.columns), *added)

@@ -13,11 +13,11 @@ from keyspan.llm.common import delete, finished, read_table
 
 
 #: Target shares of the output: named sources, and 1.0 for each other one.
-MIX_WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 3.0, "src3": 0.5, "src4": 0.0}
+MIX_WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 3.0, "src3": 0.5, "src4": 1.5}
 
 
 def op1_ann_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return finished(spark, "nearest", lambda: ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0))
 
 
 def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.quality_rules(read_table(spark, sf_dir, "documents"))
+    return finished(spark, "rules", lambda: divergence.quality_rules(read_table(spark, sf_dir, "documents")))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=2)
+    return finished(spark, "classes", lambda: simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=2))
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return mixing.mixed(docs, MIX_WEIGHTS).withColumnsRenamed({"__copy": "copy_no", "__key": "shuffle_key"})
+    return mixing.mixed(docs, MIX_WEIGHTS, copy_name="copy_no", key_name="shuffle_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

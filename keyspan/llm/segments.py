@@ -97,6 +97,8 @@ def parts_of(text: str, added: list[str]) -> list[str]:
 
 def byte_level_segments(text: str) -> list[str]:
     """Segments whose encodings, concatenated, are the encoding of a text without added strings."""
+    if text[:1] == " " and text.isascii() and text[1:].isalpha():
+        return [text]  # a blank and a word
     return [text] if _SEPARATORS.search(text) else BYTE_LEVEL_SEGMENT.findall(text)
 
 

@@ -58,6 +58,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
         stops = (ends - 1).tolist()
         pieces = [joined[a:b] for a, b in zip(starts, stops[shingle - 1 :])]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit word whose bits are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _SLICE):
         counts += np.unpackbits(hashes[k : k + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

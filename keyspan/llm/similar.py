@@ -1,14 +1,23 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles.
-
-Candidates are texts that share a band of MinHash values: 24 bands of 5 values each,
-so that a pair with a similarity of 0.8 meets in at least one band with probability
-1 - (1 - 0.8 ** 5) ** 24 = 0.99993, and more similar pairs more often.  Every pair that
-meets is then verified on the shingles of its whole texts; nothing is linked unseen.
-
-Buckets with the same members are compared once.  Within a bucket shingles are counted
-by an inverted index, so the work is the number of shingles that its members really
-share; links leave a bucket as stars, one row a member at most.  A bucket is held in
-one task, at 24 bytes a shingle.
+"""Near-duplicate texts: SimHash links, and a second signature with a check for what they miss.
+
+Texts are compared by their sets of word shingles.  Two ways lead to a link:
+
+* 64-bit SimHashes of the sets that differ in two bits or fewer, by anchor-point covering
+  (``simhash.fingerprint_links``): copies and the closest variants.
+* A Jaccard similarity of 0.8 or more.  SimHashes of such pairs differ in some nine bits
+  of 64, and the covering that would find them puts a text at hundreds of anchors, so
+  candidates are texts that share a band of MinHash values: 24 bands of 5 values each, in which a
+  pair with a similarity of 0.8 meets with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.99993.
+  Every pair that meets is verified on the shingles of its whole texts.
+
+Bands are looked at in two steps; in the second only buckets whose texts are not yet
+linked to each other are compared, so a large group of copies is not compared
+24 times.  A bucket of many texts, or of many shingles, is dealt to blocks.  Within a
+block the components are exact: texts are compared with all others, one at a time, until
+all components but one are exhausted.  Last, where a bucket of several blocks still holds more
+than one component, each text outside its largest one is compared with all blocks.  Links
+leave a block as stars, one row a text at most, and a task holds one block (24 bytes a
+shingle).
 
 Shingles and texts go by 64-bit hashes: two of a million texts clash with a probability
 of about 3 in 10^8.  Null texts, empty ones and texts without words have no shingles
@@ -22,15 +31,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import as_binary, map_arrow, written
 from keyspan.llm.components import components
+from keyspan.llm.simhash import fingerprint_links, majority
 
 SEED = 42
 SHINGLE = 5
 BANDS, VALUES = 24, 5
+#: Texts, and shingles, that a block holds about.
+CROWD, BLOCK_SHINGLES = 1024, 4 << 20
 #: Shingles whose hashes are permuted at once.
 _SLICE = 1 << 11
 _RANDOM = np.random.default_rng(SEED)
@@ -63,73 +75,112 @@ def buckets(hashes: np.ndarray) -> list[int]:
     return np.array(values, np.uint64).view(np.int64).tolist()
 
 
-def _placed(texts: DataFrame) -> DataFrame:
+def _sketched(texts: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            found = as_binary(batch.column(1)).to_pylist()
-            return {"key": batch.column(0), "buckets": [buckets(shingles(t or b"")) for t in found]}
+            found = [shingles(t or b"") for t in as_binary(batch.column(1)).to_pylist()]
+            fps = np.array([majority(h) if len(h) else 0 for h in found], np.uint64)
+            return {"key": batch.column(0), "size": [len(h) for h in found], "fp": fps.view(np.int64), "buckets": [buckets(h) for h in found]}
 
         return work
 
-    return map_arrow(texts, make, "key long, buckets array<long>", "text")
+    return map_arrow(texts, make, "key long, size long, fp long, buckets array<long>", "text")
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """Columns buckets, key and text to a row for each bucket, with the shingles' hashes."""
+    """Columns places, key and text to a row for each place, with the shingles' hashes."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             where, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets = [shingles(t or b"").tobytes() for t in as_binary(batch.column(2)).to_pylist()]
-            at = [k for k, w in enumerate(where) for _ in w]
-            return {"bucket": [b for w in where for b in w], "key": [keys[k] for k in at], "shingles": [sets[k] for k in at]}
+            at = [(k, p) for k, w in enumerate(where) for p in w]
+            return {"bucket": [p["bucket"] for _, p in at], "block": [p["block"] for _, p in at], "key": [keys[k] for k, _ in at], "label": [p["label"] for _, p in at], "asks": [p["asks"] for _, p in at], "shingles": [sets[k] for k, _ in at]}
 
         return work
 
-    return map_arrow(texts, make, "bucket long, key long, shingles binary", "text")
+    return map_arrow(texts, make, "bucket long, block int, key long, label long, asks boolean, shingles binary", "text")
+
+
+class Shared:
+    """How many shingles a text of a block has in common with each text of it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.hashes = flat[order]
+
+    def counts(self, one: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.hashes, one), np.searchsorted(self.hashes, one, "right")
+        total = high - low
+        # All places of all runs, without a loop.
+        places = np.repeat(low - (np.cumsum(total) - total), total) + np.arange(int(total.sum()))
+        return np.bincount(self.owner[places], minlength=len(self.sizes))
+
+    def similar(self, one: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+        """Texts whose similarity to the set ``one`` is at least the fraction ``similar``; empty sets are copies."""
+        over, under = similar
+        common = self.counts(one)
+        return np.flatnonzero(under * common >= over * (len(one) + self.sizes - common))
 
 
 def stars(sets: list[np.ndarray], similar: tuple[int, int]) -> list[tuple[int, int]]:
-    """(member, least member of its group) for members that pairs of at least ``similar`` (a fraction) link."""
-    over, under = similar
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, ids = np.unique(flat, return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), sizes)[order]
-    starts = np.searchsorted(ids[order], np.arange(len(flat) and ids.max() + 2))
-    ends = np.cumsum(sizes)
-    label = list(range(len(sets)))
-
-    def root(k: int) -> int:
-        while label[k] != k:
-            label[k] = label[label[k]]
-            k = label[k]
-        return k
-
-    for i in range(1, len(sets)):
-        mine = ids[ends[i] - sizes[i] : ends[i]]
-        runs = [owner[a:b] for a, b in zip(starts[mine].tolist(), starts[mine + 1].tolist())] if len(mine) else [owner[:0]]
-        common = np.bincount(np.concatenate(runs), minlength=len(sets))[:i]
-        for j in np.flatnonzero(under * common >= over * (sizes[i] + sizes[:i] - common)).tolist():
-            a, b = root(i), root(j)
-            label[max(a, b)] = min(a, b)
-    return [(k, root(k)) for k in range(len(sets)) if root(k) != k]
+    """(member, least member of its group) for members that pairs of at least ``similar`` (a fraction) link.
+
+    A member is asked for all its neighbours at once. A link between two groups is known
+    once one of its ends was asked, so it is enough that all groups but one are asked whole: members
+    of the largest one first, and of the rest as soon as they are fewer.
+    """
+    n, shared = len(sets), Shared(sets)
+    label, asked, closed = np.arange(n), np.zeros(n, bool), np.zeros(n, bool)
+    rounds = 0
+    while True:
+        open_ = np.flatnonzero(~closed)
+        if not len(open_):
+            break
+        names, count = np.unique(label[open_], return_counts=True)
+        largest = names[count.argmax()]
+        inside = open_[(label[open_] == largest) & ~asked[open_]]
+        outside = open_[(label[open_] != largest) & ~asked[open_]]
+        if not len(outside):
+            break
+        if not len(inside):
+            closed[label == largest] = True
+            continue
+        one = int(inside[0] if rounds < 16 or len(inside) <= len(outside) else outside[0])
+        rounds += 1
+        asked[one] = True
+        near = shared.similar(sets[one], similar)
+        joined = np.unique(label[near])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return [(k, int(label[k])) for k in range(n) if label[k] != k]
+
+
+_LINKS = "a long, b long"
+
+
+def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _links(similar: tuple[int, int]):
+    """Links within each block; rows come by bucket and block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, keys, sets = None, [], []
 
         def out() -> pa.RecordBatch:
             found = stars(sets, similar) if len(sets) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([keys[a] for a, _ in found], pa.int64()), "b": pa.array([keys[b] for _, b in found], pa.int64())})
+            return _linked([(keys[a], keys[b]) for a, b in found])
 
         for batch in batches:
-            for bucket, key, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if bucket != current:
+            for bucket, block, key, body in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "key", "shingles"))):
+                if (bucket, block) != current:
                     yield out()
-                    current, keys, sets = bucket, [], []
+                    current, keys, sets = (bucket, block), [], []
                 keys.append(key)
                 sets.append(np.frombuffer(body, np.uint64))
         yield out()
@@ -137,34 +188,96 @@ def _links(similar: tuple[int, int]):
     return run
 
 
-def links(texts: DataFrame, similar: tuple[int, int] = (4, 5)) -> DataFrame:
-    """a, b: keys of verified pairs that join the same texts as all pairs that meet in a band do.
+def _answers(similar: tuple[int, int]):
+    """Links of asking texts with a block's texts under another label; rows come by bucket and block, asking ones last."""
 
-    ``texts``: columns key (the same for the same text) and text; rows may repeat.
-    """
-    placed = _placed(texts.select("key", "text")).groupBy("key").agg(F.first("buckets").alias("buckets"))
-    placed = written(placed.select("key", F.explode("buckets").alias("bucket")), "buckets")
-    members = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all"))
-    once = members.where("n > 1").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket")
-    wanted = written(placed.join(once, "bucket").groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "wanted")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, keys, labels, sets, shared = None, [], [], [], None
+        for batch in batches:
+            found = []
+            for bucket, block, key, label, asks, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, block) != current:
+                    current, keys, labels, sets, shared = (bucket, block), [], [], [], None
+                one = np.frombuffer(body, np.uint64)
+                if not asks:
+                    keys.append(key)
+                    labels.append(label)
+                    sets.append(one)
+                elif sets:
+                    shared = shared or Shared(sets)
+                    found += [(key, keys[k]) for k in shared.similar(one, similar).tolist() if labels[k] != label]
+            yield _linked(found)
+
+    return run
+
+
+def _bucketed(sketches: DataFrame, labels: DataFrame, first: int, last: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Texts' places in the bands from ``first`` to ``last``, and the buckets whose texts are not all linked, once for the same texts."""
+    placed = sketches.join(labels, sketches.key == labels.node, "left").select("key", "size", F.coalesce("component", "key").alias("label"), F.explode(F.slice("buckets", first + 1, last - first)).alias("bucket"))
+    members = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all"), F.min("label").alias("x"), F.max("label").alias("y"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / crowd), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    return placed, members.where("x <> y").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket"), F.first(blocks).alias("blocks"))
+
+
+def _sets(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Shingles of each text at each of its places (key, place), by bucket and block."""
+    wanted = written(places.groupBy("key").agg(F.collect_list("place").alias("places")), "wanted")  # at most one place a band, or its blocks
     # Copies are combined before the join, so that a hot text is one row in it.
     first = texts.groupBy("key").agg(F.min("rid").alias("rid")).join(wanted, "key")
-    whole = texts.select("rid", "key", "text").join(first.select("rid", "buckets"), "rid").select("buckets", "key", "text")
-    sets = _shingled(whole).repartition("bucket").sortWithinPartitions("bucket", "key")
-    return sets.mapInArrow(_links(similar), "a long, b long").distinct()
+    whole = texts.select("rid", "key", "text").join(first.select("rid", "places"), "rid").select("places", "key", "text")
+    return _shingled(whole).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks", "key")
+
+
+def _place(block: Column, asks: bool) -> Column:
+    return F.struct("bucket", block.cast("int").alias("block"), "label", F.lit(asks).alias("asks"))
 
 
-def firsts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of texts that are linked by a similarity of 0.8 or more.
+def groups(texts: DataFrame, similar: tuple[int, int] = (4, 5), crowd: int = CROWD, steps: tuple[int, ...] = (4, BANDS)) -> DataFrame:
+    """node, component: the keys that links join, each with the least of its group.
+
+    ``texts``: columns rid (a row's own number), key (the same for the same text) and text; rows may repeat.
+    """
+    spark = texts.sparkSession
+    sketches = written(_sketched(texts.select("key", "text")).groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "fp", "buckets"))), "sketches")
+    by_bits = written(sketches.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    of = lambda side: by_bits.select(F.col("fp").alias(side), F.col("least").alias(f"key_{side}"))
+    near = fingerprint_links(by_bits.select("fp"), 2).join(of("a"), "a").join(of("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    same = sketches.join(by_bits, "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    found = near.union(same)
+    labels = spark.createDataFrame([], "node long, component long")
+    first = 0
+    for last in steps:
+        placed, open_ = _bucketed(sketches, labels, first, last, crowd)
+        at = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks"))
+        places = placed.join(open_, "bucket").select("key", _place(at, False).alias("place"))
+        found = written(found.union(_sets(texts, places).mapInArrow(_links(similar), _LINKS)).distinct(), "links")
+        labels = components(found)
+        first = last
+    placed, open_ = _bucketed(sketches, labels, 0, BANDS, crowd)
+    crowded = written(placed.join(open_.where("blocks > 1"), "bucket"), "crowded")
+    if crowded.isEmpty():
+        return labels
+    sizes = crowded.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    at = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks"))
+    held = crowded.select("key", _place(at, False).alias("place"))
+    asking = crowded.join(largest, "bucket").where("label <> largest").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = _sets(texts, held.union(asking.select("key", _place(F.col("at"), True).alias("place")))).mapInArrow(_answers(similar), _LINKS)
+    return components(written(found.union(rest).distinct(), "links"))
+
+
+def firsts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row of each group of texts that links join.
 
     It is the row with the least id, nulls last; among equal ids, that with the least
-    hash of its text. Ids may repeat or be null, columns may have any name.
+    hash of its text. Ids may repeat or be null, columns may have any name; an empty
+    table gives an empty one.
     """
-    text = F.col(text_column).cast("string")
-    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    text = F.col(f"`{text_column}`").cast("string")
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("rid"))
     rows = written(keyed, "rows")
     texts = rows.select("rid", "key", F.col("row").getField(text_column).cast("string").alias("text"))
-    group = components(links(texts))
+    group = groups(texts, crowd=crowd)
     own = F.col("row").getField(id_column)
     # Copies meet by key before anything is joined, so a hot text is one row.
     best = rows.select("key", F.struct(own.isNull().alias("none"), own.alias("id"), "key", "rid").alias("best")).groupBy("key").agg(F.min("best").alias("best"))

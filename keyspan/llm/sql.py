@@ -38,9 +38,16 @@ larger AS (SELECT lang FROM d GROUP BY lang HAVING count(*) >= 0.001 * (SELECT c
 counted AS (SELECT lang, word, count(*) AS n FROM (SELECT rid, lang, unnest(list_distinct(ws)) AS word FROM w) WHERE lang IN (FROM larger) GROUP BY ALL),
 top AS (SELECT lang, word, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted) WHERE place <= 20),
 uses AS (SELECT rid, lang, place, len(list_filter(ws, lambda x: x = word)) AS c, n_words FROM f JOIN top USING (lang)),
-witness AS (SELECT rid FROM uses WHERE n_words >= 50 GROUP BY rid HAVING max(c) <= 0.2 * max(n_words)),
+witness AS (
+  SELECT rid FROM uses WHERE n_words >= 50 GROUP BY rid HAVING max(c) <= 0.2 * max(n_words)
+  UNION ALL SELECT rid FROM f WHERE n_words >= 50 AND lang NOT IN (SELECT lang FROM top)
+),
 ref_words AS (SELECT lang, place, avg(c / n_words) AS y FROM uses WHERE rid IN (FROM witness) GROUP BY ALL),
-ref_classes AS (SELECT lang, place, avg(classes[place] / word_chars) AS y FROM (SELECT lang, classes, word_chars, unnest([1, 2, 3, 4, 5]) AS place FROM f WHERE rid IN (FROM witness) AND word_chars > 0) GROUP BY ALL),
+shares AS (SELECT lang, place, classes[place] / word_chars AS y FROM (SELECT lang, classes, word_chars, unnest([1, 2, 3, 4, 5]) AS place FROM f WHERE rid IN (FROM witness) AND word_chars > 0)),
+ref_classes AS (
+  SELECT lang, place, avg(y) AS y FROM shares WHERE lang IN (SELECT lang FROM top) GROUP BY ALL
+  UNION ALL SELECT rare.lang, place, avg(y) FROM shares, (SELECT DISTINCT lang FROM f WHERE lang NOT IN (SELECT lang FROM ref_words)) rare GROUP BY ALL
+),
 pairs AS (
   SELECT rid, 'w' AS kind, c / n_words AS x, y FROM uses JOIN ref_words USING (lang, place) WHERE n_words >= 50
   UNION ALL SELECT rid, 'c', classes[place] / word_chars, y FROM f JOIN ref_classes USING (lang) WHERE n_words >= 50
@@ -61,7 +68,7 @@ FROM joined
 
 OP10 = r"""
 WITH RECURSIVE s AS (
-  SELECT source, count(*) AS docs, CASE source WHEN 'src0' THEN 2.0 WHEN 'src1' THEN 4.0 WHEN 'src2' THEN 3.0 WHEN 'src3' THEN 0.5 WHEN 'src4' THEN 0.0 ELSE 1.0 END::DOUBLE AS weight FROM documents GROUP BY source
+  SELECT source, count(*) AS docs, CASE source WHEN 'src0' THEN 2.0 WHEN 'src1' THEN 4.0 WHEN 'src2' THEN 3.0 WHEN 'src3' THEN 0.5 WHEN 'src4' THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM documents GROUP BY source
 ), r AS (
   SELECT source, (SELECT sum(docs) FROM s)::DOUBLE * weight / ((SELECT sum(weight) FROM s) * docs) AS rate FROM s
 ), p AS (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from keyspan.llm import ann, bradley_terry, divergence, html_extract, mixing, queries, simhash, sql
 from keyspan.llm.components import components
+from tests.llm.test_similar import kept_ids
 from tests.oracle import connection, rows_of_spark, rows_of_sql
 
 SF = "/root/testdata/sf0.01"
@@ -139,6 +140,74 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def _runs(lengths, window):
+    """Brute force: maximal stretches of places whose window holds text, with their highest window."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    out, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j] > 0:
+            j += 1
+        if j > i:
+            out.append((i, j, max(sums[i:j])))
+        i = max(j, i + 1)
+    return out
+
+
+def test_curve_against_brute_force():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = [float(x) for x in draw.choice([0, 0, 0, 5, 40, 300], draw.integers(0, 30))]
+        window = int(draw.integers(1, 5))
+        assert html_extract.runs(lengths, window) == _runs(lengths, window)
+        surge = float(draw.choice([1, 80, 320]))
+        kept = html_extract.kept_between(lengths, surge, window)
+        assert kept == [x > 0 and any(a <= i < b and peak >= surge for a, b, peak in _runs(lengths, window)) for i, x in enumerate(lengths)]
+
+
+def test_the_curve_decides_and_each_list_only_helps(spark, monkeypatch):
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(120).collect()]
+    whole = [html_extract.main_text(p) for p in pages]
+    all_lines = ["\n".join(x.text for x in html_extract.lines(p) if not x.landmark) for p in pages]
+    assert all(a != b for a, b in zip(whole, all_lines))  # without the curve adverts stay
+    right = lambda texts: sum(a == b for a, b in zip(texts, whole)) / len(whole)
+    unmarked = [re.sub(r"(</?)article\b", r"\1div", p) for p in pages]
+    assert right(html_extract.main_text(p, words=frozenset()) for p in pages) > 0.9
+    assert right(html_extract.main_text(p) for p in unmarked) > 0.9
+    assert right(html_extract.main_text(p, words=frozenset()) for p in unmarked) > 0.9
+    monkeypatch.setattr(html_extract, "LANDMARKS", frozenset())
+    assert right(html_extract.main_text(p) for p in pages) > 0.9
+
+
+def test_no_name_empties_an_article():
+    for inside in ('<div class="tags-and-social-history"><p>A real paragraph</p></div>', '<section id="header-files"><p>A real paragraph</p></section>', '<div class="comments">A real paragraph</div>'):
+        assert html_extract.main_text(f"<nav>n</nav><article>{inside}</article><footer>f</footer>") == "A real paragraph"
+
+
+def test_pages_with_parts():
+    long = lambda w: " ".join([w] * 60)
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><section><p>{long('a')}</section><div class=ad>Buy now</div><section><p>end</section><section class=comments><p>So true</section></article><aside>{long('x')}</aside><div class=comments><p>{long('c')}</div>"
+    assert html_extract.main_text(page) == f"Title\n{long('a')}\nend"
+    bare = f"<div><ul><li><a href=x>{long('m')}</a></ul></div><div><h1>Title</h1></div><div><p>{long('a')}</p></div><div><p>short</p></div><div><p>{long('b')}</p></div><div><p>(c) x</p></div>"
+    assert html_extract.main_text(bare) == f"Title\n{long('a')}\nshort\n{long('b')}"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<p>x", "<a href=x>", '<div class="ad">y', "<i><p><b>", "<article>"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        page = piece * n + "</p>" * n + "</i>" * n + "</div>" * n
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 20 * max(seconds(20_000), 0.05)
+
+
 def test_surge_and_dive():
     assert html_extract.kept_between([5, 0, 0, 0, 60, 3, 70, 0, 0, 0, 4], 80) == [False] * 4 + [True] * 3 + [False] * 4
 
@@ -314,7 +383,12 @@ def test_mix_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "", "a"), (2, "x", "zero")] * 50, "doc_id long, text string, source string").withColumn("__docs", F.lit("clash")).withColumn("copy", F.lit(1))
     out = mixing.mixed(df, {"zero": 0.0})
     assert out.where("source = 'zero'").count() == 0 and out.where("source is null").count() > 0
-    assert out.columns == [*df.columns, "__copy", "__key"]
+    assert out.columns == df.columns
+    clash = df.withColumns({"__copy": F.lit(7), "__key": F.lit(8), "a.b": F.lit(9), "__own": F.lit(1), "__rate": F.lit(2), "__id": F.lit(3)})
+    named = mixing.mixed(clash, {}, copy_name="copy_no", key_name="key")
+    assert named.columns == [*clash.columns, "copy_no", "key"] and {(r["__copy"], r["__key"], r["a.b"]) for r in named.collect()} == {(7, 8, 9)}
+    with pytest.raises(ValueError, match="__copy"):
+        mixing.mixed(clash, {}, copy_name="__copy")
     assert mixing.mixed(df.where("false"), {}).count() == 0
     rare = mixing.mixed(df, {}, max_sources=1)
     assert sorted(map(repr, rare.collect())) == sorted(map(repr, mixing.mixed(df, {}).collect()))
@@ -330,6 +404,64 @@ def test_components_of_a_long_path(spark):
     assert {found[i] for i in range(n + 1)} == {0} and found[2000] == 1999 and 1000 not in found
 
 
+def _drawn(rows):
+    """How often each document is drawn, by an own inversion of the distribution."""
+    import hashlib
+    import math
+
+    docs = Counter(r["source"] for r in rows)
+    weight = {s: queries.MIX_WEIGHTS.get(s, 1.0) for s in docs}
+    out = Counter()
+    for r in rows:
+        rate = len(rows) * weight[r["source"]] / (sum(weight.values()) * docs[r["source"]])
+        u = (int(hashlib.md5(f"mix-1:{r['doc_id']}:1".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+        n, p = 0, math.exp(-rate)
+        c = p
+        while u >= c:
+            n += 1
+            p *= rate / n
+            c += p
+        out[r["doc_id"]] += n
+    return +out
+
+
+def test_stages_carry_any_columns_and_rows(spark, tmp_path):
+    """Clashing names, null and repeated ids, null and empty texts through all five stages."""
+    draw = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda: " ".join(draw.choice(words, 120))
+    same = text()
+    rows = [(None, text()), (None, text()), (7, same), (7, same), (8, same), (9, None), (10, ""), *((i, text()) for i in range(20, 60))]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k % 3}", 5) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    odd = {"score": 99.0, "__copy": 1, "__key": 2, "a.b": 3, "own": 4, "row": 5, "rid": 6, "key": 7, "bucket": 8, "kept": 9, "place": 10}
+    docs = docs.withColumns({k: F.lit(v) for k, v in odd.items()})
+    spark.createDataFrame([(i, i % 2) for i in range(20, 60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+        kept = now.collect()
+        assert all(r[k] == v for r in kept for k, v in odd.items()), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        now = spark.createDataFrame(kept, docs.schema)
+        if name == "quality rules":
+            assert Counter(r["doc_id"] for r in kept) == Counter(i for i, t in rows if t)
+        if name == "quality classifier":
+            now, kept = docs.where("text <> ''"), None  # the next stage sees all the odd rows
+        if name == "near duplicates":
+            assert Counter(r["doc_id"] for r in kept) == Counter([None, None, 7, *range(20, 60)])
+    out = corpus_pipeline.byte_level_bpe(spark, now.unionByName(docs.where("doc_id = 9")), str(tmp_path)).collect()
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out) and any(r["n_tokens"] == 0 for r in out)
+
+
+def test_pipeline_leaves_no_scratch(spark, sf_dir):
+    from keyspan.sources.store import children, shared_dir
+
+    before = set(children(spark, shared_dir(spark)))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and len(set(children(spark, shared_dir(spark))) - before) == 1
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     by_stage = {}
@@ -345,12 +477,11 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     kept = {r["doc_id"] for r in divergence.quality_rules(whole).where("kept").collect()}
     assert {r["doc_id"] for r in by_stage["quality rules"]} == kept
     one = [r for r in by_stage["near duplicates"]]
-    fps = {r["doc_id"]: _fingerprint(r["text"], 5) for r in by_stage["quality classifier"]}
-    root = _components(list(fps.values()), 2)
-    least = {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    assert sorted(r["doc_id"] for r in one) == sorted(least.values())
+    assert sorted(r["doc_id"] for r in one) == kept_ids([(r["doc_id"], r["text"]) for r in by_stage["quality classifier"]])
+    model = bradley_terry.fitted(spark.createDataFrame(by_stage["quality rules"], whole.schema), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    x = np.stack([bradley_terry.features((r["text"] or "").encode()).astype("<f4") for r in by_stage["quality rules"]]).astype(float)
+    assert {r["doc_id"] for r in by_stage["quality classifier"]} == {r["doc_id"] for r, s in zip(by_stage["quality rules"], model.scores(x)) if s >= 0.5}
+    assert Counter(r["doc_id"] for r in by_stage["source mix"]) == _drawn(one)
     assert Counter(r["doc_id"] for r in by_stage["byte-level BPE"]) == Counter(r["doc_id"] for r in by_stage["source mix"])
     assert {r["doc_id"] for r in by_stage["source mix"]} <= {r["doc_id"] for r in one}
     assert corpus_pipeline.run(spark, sf_dir).count() == len(by_stage["byte-level BPE"])

@@ -32,11 +32,24 @@ def tik():
 def test_bpe_equals_the_library(tik):
     vocabulary, merger = bpe.loaded(P.path("byte_bpe_50k.tiktoken"))
     texts = [*odd_texts(3000), "ab" * 3000, "é" * 500, "=" * 1000]
-    encoded, offsets = bpe.encode_batch([t.encode() for t in texts], merger)
-    for t, ids, at in zip(texts, encoded, offsets):
-        assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(t), t
-        assert vocabulary.decode(np.frombuffer(ids, "<u4")) == t.encode()
-        assert len(at) == 0 or (np.diff(at) > 0).all()
+    made = bpe.encode_batch([t.encode() for t in texts], merger)
+    decoded = bpe.decode_batch(made, vocabulary)
+    for k, t in enumerate(texts):
+        ids = np.frombuffer(made.ids[k], "<u4")
+        assert ids.tolist() == tik.encode_ordinary(t), t
+        assert vocabulary.decode(ids) == decoded[k] == t.encode()
+        at = made.piece_offsets(k)
+        assert len(at) == 0 or at[0] == 0 and (np.diff(at) > 0).all()
+    broken = made._replace(ids=[made.ids[0], *made.ids[1:-1], made.ids[-1][:-4] + b"\0\0\0\0"])
+    with pytest.raises(ValueError, match="slices"):
+        bpe.decode_batch(broken, vocabulary)
+
+
+def test_merges_with_a_small_cache(tik):
+    merger = bpe.Merger(bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken")), 30 * ENTRY_BYTES)
+    for t in odd_texts(200):
+        assert np.frombuffer(bpe.encode_batch([t.encode()], merger).ids[0], "<u4").tolist() == tik.encode_ordinary(t), t
+    assert len(merger.cache.known) <= 60
 
 
 def test_scanner_is_the_same_in_any_blocks():
@@ -172,7 +185,10 @@ def test_odd_tables_of_counts_and_bpe(spark):
     for out in (token_count.token_counts(df, P.path("word_bpe_49k.json")), bpe.round_trip_digests(df, P.path("byte_bpe_50k.tiktoken"))):
         assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out.collect()) == [(0, 2), (1, 0), (2, 0), (2, 0)]
         assert out.where("false").count() == 0
-    assert bpe.encode(df, P.path("byte_bpe_50k.tiktoken")).where("doc_id is null").first()["ids"] is not None
+    row = bpe.encode(df, P.path("byte_bpe_50k.tiktoken")).where("doc_id is null").first()
+    assert len(row["ids"]) == 8 and np.frombuffer(row["offsets"], "<u4").tolist() == [0, 1]
+    with_ids = bpe.round_trip_digests(df, P.path("byte_bpe_50k.tiktoken"), with_ids=True).collect()
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in with_ids)
 
 
 def test_escapes_come_back():
