@@ -81,7 +81,10 @@ def try_json(text: Column, schema: T.StructType) -> Column:
         single = F.coalesce(F.size(F.try_variant_get(read["array"], "$", "array<variant>")) == 1, F.lit(False)) & v.isNotNull()
         is_record = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
         alone = F.coalesce(F.schema_of_variant(read["alone"]).startswith("OBJECT"), F.lit(False))
-        faults = [(~single & ~alone | single & ~is_record, error("InvalidText", "json", F.lit("not one JSON object"))), (~single, error("InvalidText", "json", F.lit("trailing text")))]
+        faults = [
+            (~single & ~alone | single & ~is_record, error("InvalidText", "json", F.lit("not one JSON object"))),
+            (~single, error("InvalidText", "json", F.lit("trailing text"))),
+        ]
         fields = []
         for f in schema.fields:
             item = F.try_variant_get(v, f"$.{f.name}", "variant")
@@ -158,7 +161,9 @@ class _Pairs(list):
 
 
 def _found(value: object) -> str:
-    return {bool: "bool", int: "int", float: "float", str: "string", type(None): "null", list: "array", dict: "object", _Pairs: "object"}.get(type(value), type(value).__name__)
+    return {
+        bool: "bool", int: "int", float: "float", str: "string", type(None): "null", list: "array", dict: "object", _Pairs: "object",
+    }.get(type(value), type(value).__name__)
 
 
 def _fields(name: str, fields: Mapping[str, object], value: object, path: tuple) -> dict:
@@ -276,7 +281,12 @@ def decode_toml(text: str, shape: object) -> object:
     return decoded(shape, value)
 
 
-DECODE_ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("detail", T.StringType()), T.StructField("document_offset", T.LongType()), T.StructField("document_len", T.LongType())])
+DECODE_ERROR = T.StructType(
+    [
+        T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("detail", T.StringType()),
+        T.StructField("document_offset", T.LongType()), T.StructField("document_len", T.LongType()),
+    ]
+)
 
 
 def decode_rows(df: DataFrame, keys: list[str], text: str, shape: object, format: str = "json", name: str = "decoded") -> DataFrame:
@@ -298,7 +308,13 @@ def decode_rows(df: DataFrame, keys: list[str], text: str, shape: object, format
             return {"ok": read(value, shape), "err": None}
         except Fault as e:
             place = None if e.place is None else len(value[: e.place].encode())
-            return {"ok": None, "err": {"kind": e.kind, "path": ".".join(p for p in e.path if isinstance(p, str)), "detail": e.detail, "document_offset": place, "document_len": len(value.encode())}}
+            return {
+                "ok": None,
+                "err": {
+                    "kind": e.kind, "path": ".".join(p for p in e.path if isinstance(p, str)), "detail": e.detail, "document_offset": place,
+                    "document_len": len(value.encode()),
+                }
+            }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,14 +25,24 @@ def _identifiers(pre: Column) -> Column:
     """tag 0: a number; tag 1: a word."""
     parts = F.when(pre == "", F.array().cast("array<string>")).otherwise(F.split(pre, r"\.", -1))
     number = lambda p: p.rlike(r"\A[0-9]+\z")
-    return F.transform(parts, lambda p: F.struct(F.when(number(p), 0).otherwise(1).alias("tag"), F.coalesce(F.when(number(p), p.try_cast("long")), F.lit(0).cast("long")).alias("num"), F.when(number(p), "").otherwise(p).alias("alpha")))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            F.when(number(p), 0).otherwise(1).alias("tag"),
+            F.coalesce(F.when(number(p), p.try_cast("long")), F.lit(0).cast("long")).alias("num"),
+            F.when(number(p), "").otherwise(p).alias("alpha"),
+        ),
+    )
 
 
 def parse(text: Column) -> Column:
     """The version, or null where the text is none. Missing parts read 0."""
     part = lambda k: F.regexp_extract(text, PATTERN, k)
     number = lambda k: F.when(part(k) == "", F.lit(0).cast("long")).otherwise(part(k).try_cast("long"))
-    whole = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), F.struct((part(4) == "").cast("int").alias("is_release"), _identifiers(part(4)).alias("ids")).alias("pre"), part(5).alias("build"))
+    whole = F.struct(
+        number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"),
+        F.struct((part(4) == "").cast("int").alias("is_release"), _identifiers(part(4)).alias("ids")).alias("pre"), part(5).alias("build"),
+    )
     return F.when(text.rlike(PATTERN), whole)
 
 
@@ -57,7 +67,10 @@ class Bound:
     def column(self) -> Column:
         one = [F.struct(F.lit(tag).alias("tag"), F.lit(num).cast("long").alias("num"), F.lit(alpha).alias("alpha")) for tag, num, alpha in self.pre[1]]
         pre = F.struct(F.lit(self.pre[0]).alias("is_release"), F.array(*one).cast("array<struct<tag:int,num:bigint,alpha:string>>").alias("ids"))
-        return F.struct(F.lit(self.major).cast("long").alias("major"), F.lit(self.minor).cast("long").alias("minor"), F.lit(self.patch).cast("long").alias("patch"), pre.alias("pre"))
+        return F.struct(
+            F.lit(self.major).cast("long").alias("major"), F.lit(self.minor).cast("long").alias("minor"),
+            F.lit(self.patch).cast("long").alias("patch"), pre.alias("pre"),
+        )
 
 
 @dataclass(frozen=True)
@@ -177,7 +190,13 @@ def requirement_sets(df: DataFrame, text: str, name: str = "sets") -> DataFrame:
             found = parse_requirement(value)
         except (ValueError, AttributeError):
             return None
-        return [{"low": _as_row(i.low), "low_in": i.low_in, "high": _as_row(i.high), "high_in": i.high_in, "lines": [dict(zip(("major", "minor", "patch"), line)) for line in sorted(i.lines)]} for i in found]
+        return [
+            {
+                "low": _as_row(i.low), "low_in": i.low_in, "high": _as_row(i.high), "high_in": i.high_in,
+                "lines": [dict(zip(("major", "minor", "patch"), line)) for line in sorted(i.lines)]
+            }
+            for i in found
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,10 +33,15 @@ def arr_literal(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array("p_size", F.lit(7), "p_size").alias("xs"))
 
 
-@query("SELECT vec_id, embedding[3] AS third, CASE WHEN vec_id % 70 < 64 THEN embedding[vec_id % 70 + 1] END AS some, CASE WHEN vec_id % 70 >= 64 THEN 'IndexOutOfBounds' END AS failure FROM embeddings")
+@query(
+    "SELECT vec_id, embedding[3] AS third, CASE WHEN vec_id % 70 < 64 THEN embedding[vec_id % 70 + 1] END AS some, CASE WHEN vec_id % 70 >= 64 "
+    "THEN 'IndexOutOfBounds' END AS failure FROM embeddings"
+)
 def arr_index(t: Tables) -> DataFrame:
     r = A.try_at(F.col("embedding"), (F.col("vec_id") % 70).cast("int"))
-    return t.embeddings.select("vec_id", A.at(F.col("embedding"), F.lit(2)).alias("third"), r.alias("r")).select("vec_id", "third", F.col("r.ok").alias("some"), F.col("r.err.code").alias("failure"))
+    return t.embeddings.select("vec_id", A.at(F.col("embedding"), F.lit(2)).alias("third"), r.alias("r")).select(
+        "vec_id", "third", F.col("r.ok").alias("some"), F.col("r.err.code").alias("failure"),
+    )
 
 
 @query("SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n FROM part")
@@ -64,7 +69,10 @@ def agg_count_by_key(t: Tables) -> DataFrame:
     return counted(t.events, "event_type")
 
 
-@query("SELECT p_partkey, list_last(string_split(p_name, ' ')) AS tail, array_to_string(list_slice(string_split(p_name, ' '), 1, len(string_split(p_name, ' ')) - 1), ' ') AS rest FROM part")
+@query(
+    "SELECT p_partkey, list_last(string_split(p_name, ' ')) AS tail, array_to_string(list_slice(string_split(p_name, ' '), 1, "
+    "len(string_split(p_name, ' ')) - 1), ' ') AS rest FROM part"
+)
 def arr_split_last(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", A.split_last(words()).alias("s")).select("p_partkey", F.col("s.last").alias("tail"), join(F.col("s.rest"), " ").alias("rest"))
 
@@ -125,7 +133,10 @@ def arr_first_last(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", A.first(words()).alias("head"), A.last(words()).alias("tail"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20")
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, "
+    "l_partkey, l_suppkey LIMIT 20"
+)
 def topk_take(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return maps.prefix(rows, 20, F.expr("-l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -139,3 +150,12 @@ def str_join(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_name, ' '))), ' ') AS s FROM part")
 def set_from_array(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", join(A.to_set(F.concat(words(), words())), " ").alias("s"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(i * 3 + 1 AS BIGINT) AS value FROM (VALUES (0), (1), (524288), (999999)) AS v(i)")
+def arr_build_million(t: Tables) -> DataFrame:
+    """A million elements as one array value, built by a map, then indexed."""
+    xs = A.mapped(A.span(F.lit(0).cast("long"), F.lit(1_000_000).cast("long")), lambda x: x * 3 + 1)
+    at = t.spark.createDataFrame([(0,), (1,), (524_288,), (999_999,)], "i long")
+    built = t.spark.range(1).select(xs.alias("xs"))
+    return built.crossJoin(F.broadcast(at)).select("i", A.at(F.col("xs"), F.col("i").cast("int")).alias("value"))  # one row beside four

@@ -30,14 +30,20 @@ def json_decode(t: Tables) -> DataFrame:
     return t.events.select("event_id", strict(decode.try_json(F.col("props"), PROPS)).alias("r")).select("event_id", F.col("r.k").alias("k"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'k: missing' WHEN 2 THEN 'k: wrong type' WHEN 3 THEN 'trailing text' ELSE 'not one JSON object' END AS failure FROM events")
+@query(
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 "
+    "THEN 'k: missing' WHEN 2 THEN 'k: wrong type' WHEN 3 THEN 'trailing text' ELSE 'not one JSON object' END AS failure FROM events"
+)
 def json_try_decode(t: Tables) -> DataFrame:
     k = F.col("event_id") % 5
     text = F.when(k == 0, F.col("props")).when(k == 1, '{"other": 1}').when(k == 2, '{"k": "42"}').when(k == 3, F.concat("props", F.lit(" x"))).otherwise('{"k": 1, "k": 2}')
     return t.events.select("event_id", decode.try_json(text, PROPS).alias("r")).select("event_id", F.col("r.ok.k").alias("k"), F.col("r.err.payload").alias("failure"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind, event_id % 4 <> 0 AS good FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind, event_id % "
+    "4 <> 0 AS good FROM events"
+)
 def toml_decode(t: Tables) -> DataFrame:
     body = F.concat(F.lit("user_id = "), F.col("user_id").cast("string"), F.lit('\nkind = "'), F.col("event_type"), F.lit('"\nextra = [1, 2]\n'))
     text = F.when(F.col("event_id") % 4 == 0, F.lit("user_id = \n")).otherwise(body)
@@ -66,13 +72,19 @@ def src_tree_text(t: Tables) -> DataFrame:
     return read.select(F.explode(lines(F.col("body"))).alias("line"))
 
 
-@query("SELECT 'gone' AS name, NULL AS text, 'MissingRegistryArtifact' AS err UNION ALL SELECT 'good', r_name, NULL FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'torn', NULL, 'FetchIntegrity'")
+@query(
+    "SELECT 'gone' AS name, NULL AS text, 'MissingRegistryArtifact' AS err UNION ALL SELECT 'good', r_name, NULL FROM region WHERE r_regionkey = 0 "
+    "UNION ALL SELECT 'torn', NULL, 'FetchIntegrity'"
+)
 def src_fetch_pinned(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "origin")
     name = t.region.where("r_regionkey = 0").first()["r_name"]
     t.spark.createDataFrame([(name,)], "value string").coalesce(1).write.option("lineSep", "|").text(root)
     pin = hashlib.sha256(f"{name}|".encode()).hexdigest()
-    manifest = t.spark.createDataFrame([("good", f"{root}/part-00000*", pin), ("torn", f"{root}/part-00000*", "0" * 64), ("gone", f"{root}/none", "1" * 64)], "name string, url string, sha256 string")
+    manifest = t.spark.createDataFrame(
+        [("good", f"{root}/part-00000*", pin), ("torn", f"{root}/part-00000*", "0" * 64), ("gone", f"{root}/none", "1" * 64)],
+        "name string, url string, sha256 string",
+    )
     files = t.spark.read.format("binaryFile").load(root).select("path").first()["path"]
     manifest = manifest.withColumn("url", F.when(F.col("url").endswith("*"), files).otherwise(F.col("url")))
     out = blobs.fetch(t.spark, manifest)
@@ -118,7 +130,10 @@ def tree_union(t: Tables) -> DataFrame:
 def memo_reuse(t: Tables) -> DataFrame:
     """The same demand twice: the second is read from the cache."""
     memo = Memo(t.spark, scratch_path(t.spark, "memo"))
-    demand = lambda: memo.demand(recipe("count_by", recipe("scan", table="events"), key="event_type"), [f"{t.sf_dir}/events.parquet"], lambda: t.events.groupBy("event_type").agg(F.count("*").alias("n")))
+    demand = lambda: memo.demand(
+        recipe("count_by", recipe("scan", table="events"), key="event_type"), [f"{t.sf_dir}/events.parquet"],
+        lambda: t.events.groupBy("event_type").agg(F.count("*").alias("n")),
+    )
     demand()
     return demand().withColumn("hits", F.lit(memo.hits)).withColumn("misses", F.lit(memo.misses))
 
@@ -152,9 +167,18 @@ def graph_reach(t: Tables) -> DataFrame:
 def index_ingest(t: Tables) -> DataFrame:
     """Rows written as newline-delimited JSON, read under the declared schema, and counted."""
     path = scratch_path(t.spark, "index")
-    dep = F.struct(F.lit("needed").alias("name"), F.lit("^1").alias("req"), F.array().cast("array<string>").alias("features"), F.lit(False).alias("optional"), F.lit(True).alias("default_features"), F.lit("normal").alias("kind"))
-    deps = F.when(F.col("p_partkey") % 3 > 0, F.array_repeat(dep, (F.col("p_partkey") % 3).cast("int"))).otherwise(F.array().cast("array<struct<name:string,req:string,features:array<string>,optional:boolean,default_features:boolean,kind:string>>"))
-    rows = t.part.select(F.concat(F.lit("pkg"), F.col("p_size").cast("string")).alias("name"), F.concat(F.lit("1.0."), F.col("p_partkey").cast("string")).alias("vers"), deps.alias("deps"), (F.col("p_partkey") % 9 == 0).alias("yanked"))
+    dep = F.struct(
+        F.lit("needed").alias("name"), F.lit("^1").alias("req"), F.array().cast("array<string>").alias("features"),
+        F.lit(False).alias("optional"), F.lit(True).alias("default_features"), F.lit("normal").alias("kind"),
+    )
+    deps = F.when(F.col("p_partkey") % 3 > 0, F.array_repeat(dep, (F.col("p_partkey") % 3).cast("int"))).otherwise(
+        F.array().cast("array<struct<name:string,req:string,features:array<string>,optional:boolean,default_features:boolean,kind:string>>")
+    )
+    rows = t.part.select(
+        F.concat(F.lit("pkg"), F.col("p_size").cast("string")).alias("name"),
+        F.concat(F.lit("1.0."), F.col("p_partkey").cast("string")).alias("vers"), deps.alias("deps"),
+        (F.col("p_partkey") % 9 == 0).alias("yanked"),
+    )
     rows.write.json(path)
     return index.counts(index.read_index(t.spark, path))
 

@@ -96,18 +96,28 @@ def set_intersect(t: Tables) -> DataFrame:
     return M.intersect(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT k, side FROM (SELECT k, CASE WHEN min(l) = 1 THEN 'left' ELSE 'right' END AS side, count(DISTINCT l) AS c FROM (SELECT c_nationkey AS k, 1 AS l FROM customer WHERE c_nationkey < 15 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY k) WHERE c = 1")
+@query(
+    "SELECT k, side FROM (SELECT k, CASE WHEN min(l) = 1 THEN 'left' ELSE 'right' END AS side, count(DISTINCT l) AS c FROM (SELECT c_nationkey AS "
+    "k, 1 AS l FROM customer WHERE c_nationkey < 15 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY k) WHERE c = 1"
+)
 def set_symdiff(t: Tables) -> DataFrame:
     return M.symmetric_difference(t.customer.where("c_nationkey < 15").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT n_nationkey, coalesce(m, 0) AS matches, CASE WHEN m = 1 THEN s END AS s_suppkey FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS m, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey")
+@query(
+    "SELECT n_nationkey, coalesce(m, 0) AS matches, CASE WHEN m = 1 THEN s END AS s_suppkey FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS "
+    "m, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey"
+)
 def map_resolve_unique(t: Tables) -> DataFrame:
     offers = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
     return M.resolve_unique(t.nation.select("n_nationkey"), offers, ["n_nationkey"], ["s_suppkey"])
 
 
-@query("SELECT o_orderkey, coalesce(k, 0) AS offers, CASE WHEN k IS NULL THEN 'NoOfferOfKind' WHEN best < o_totalprice THEN 'TooSmall' ELSE 'Matched' END AS verdict FROM orders LEFT JOIN (SELECT c_custkey, max(c_acctbal * 30) AS best, count(*) AS k FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1) ON o_custkey = c_custkey")
+@query(
+    "SELECT o_orderkey, coalesce(k, 0) AS offers, CASE WHEN k IS NULL THEN 'NoOfferOfKind' WHEN best < o_totalprice THEN 'TooSmall' ELSE 'Matched' "
+    "END AS verdict FROM orders LEFT JOIN (SELECT c_custkey, max(c_acctbal * 30) AS best, count(*) AS k FROM customer WHERE c_custkey % 4 <> 0 "
+    "GROUP BY 1) ON o_custkey = c_custkey"
+)
 def match_requirements(t: Tables) -> DataFrame:
     needs = t.orders.select("o_orderkey", F.col("o_custkey").alias("kind"), "o_totalprice")
     offers = t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("kind"), (F.col("c_acctbal") * 30).alias("room"))
@@ -119,3 +129,10 @@ def range_join(t: Tables) -> DataFrame:
     """Events in the ranges that their value lies in; the ranges overlap."""
     ranges = t.nation.select("n_nationkey", (F.col("n_nationkey") * 3).cast("double").alias("low"), (F.col("n_nationkey") * 3 + 5).cast("double").alias("high"))
     return M.range_join(t.events.select("event_id", "value"), ranges, "value", "low", "high", 5.0).select("event_id", "n_nationkey")
+
+
+@query("SELECT 200000 AS n, CAST(sum(r * r % 1000) AS BIGINT) AS total FROM range(200000) AS x(r)")
+def map_accumulate(t: Tables) -> DataFrame:
+    """A map of 200,000 rows, its keys checked, and a fold over its values."""
+    rows = t.spark.range(200_000).select(F.col("id").alias("k"), (F.col("id") * F.col("id") % 1000).alias("v"))
+    return M.literal(rows, ["k"]).agg(F.count("*").cast("int").alias("n"), F.sum("v").alias("total"))

@@ -11,11 +11,19 @@ from keyspan.operators import graph
 from keyspan.plans.checks import Checks
 from keyspan.plans.memo import Memo, recipe
 from keyspan.queries.registry import Tables, query
-from keyspan.sources import blobs, lockfile, sinks, trees
+from keyspan.sources import blobs, lockfile, manifest, process, sinks, trees
 from keyspan.sources.store import scratch_path
 
 #: The short and the long form of a dependency.
-DEPENDENCY = decode.Choice("Dependency", {"Short": "String", "Detailed": decode.Record("Detailed", {"version": "String", "optional": decode.Option("Bool"), "tags": decode.Option(decode.Sequence("Int"))})})
+DEPENDENCY = decode.Choice(
+    "Dependency",
+    {
+        "Short": "String",
+        "Detailed": decode.Record(
+            "Detailed", {"version": "String", "optional": decode.Option("Bool"), "tags": decode.Option(decode.Sequence("Int"))},
+        ),
+    },
+)
 
 _TEXT = """CASE event_id % 6 WHEN 0 THEN '"1.' || user_id || '"' WHEN 1 THEN '{"version": "' || user_id || '", "optional": true, "extra": {}}' WHEN 2 THEN '{"version": "x", "tags": [' || user_id || ', 2]}'
  WHEN 3 THEN '[1]' WHEN 4 THEN '{"optional": false}' ELSE '{"version": "x", "tags": [1, "' || user_id || '"]}' END"""
@@ -33,12 +41,21 @@ def enum_decode(t: Tables) -> DataFrame:
     out = decode.decode_rows(rows, ["event_id"], "text", DEPENDENCY)
     ok, err = F.col("decoded.ok"), F.col("decoded.err")
     return out.select(
-        "event_id", ok["tag"].cast("int").alias("tag"), F.coalesce(ok["Short"]["text"], ok["Detailed"]["version"]).alias("version"), F.coalesce(ok["Detailed"]["optional"], F.lit(False)).alias("optional"),
-        F.aggregate(ok["Detailed"]["tags"], F.lit(0).cast("long"), lambda a, x: a + x).alias("tags"), err["kind"].alias("kind"), err["path"].alias("path"), err["document_offset"].alias("at"), err["document_len"].alias("length"),
+        "event_id", ok["tag"].cast("int").alias("tag"), F.coalesce(
+            ok["Short"]["text"], ok["Detailed"]["version"],
+        ).alias("version"), F.coalesce(ok["Detailed"]["optional"], F.lit(False)).alias("optional"),
+        F.aggregate(ok["Detailed"]["tags"], F.lit(0).cast("long"), lambda a, x: a + x).alias(
+            "tags"
+        ), err["kind"].alias("kind"), err["path"].alias("path"), err["document_offset"].alias("at"), err["document_len"].alias("length"),
     )
 
 
-_ORDER = T.StructType([T.StructField("who", T.StructType([T.StructField("key", T.LongType(), False), T.StructField("tag", T.StringType())]), False), T.StructField("xs", T.ArrayType(T.LongType()), False)])
+_ORDER = T.StructType(
+    [
+        T.StructField("who", T.StructType([T.StructField("key", T.LongType(), False), T.StructField("tag", T.StringType())]), False),
+        T.StructField("xs", T.ArrayType(T.LongType()), False),
+    ]
+)
 
 
 @query(
@@ -48,7 +65,9 @@ _ORDER = T.StructType([T.StructField("who", T.StructType([T.StructField("key", T
 def json_decode_nested(t: Tables) -> DataFrame:
     """Records in records and arrays, without leaving Catalyst; white space around a document is none of it."""
     k, key = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
-    who = F.when(k == 0, F.concat(F.lit('{"key": '), key, F.lit(', "tag": "'), F.col("o_orderstatus"), F.lit('"}'))).when(k == 2, F.lit('{"tag": "x"}')).otherwise(F.concat(F.lit('{"key": '), key, F.lit("}")))
+    who = F.when(
+        k == 0, F.concat(F.lit('{"key": '), key, F.lit(', "tag": "'), F.col("o_orderstatus"), F.lit('"}')),
+    ).when(k == 2, F.lit('{"tag": "x"}')).otherwise(F.concat(F.lit('{"key": '), key, F.lit("}")))
     xs = F.when(k == 3, F.lit('[1, "2"]')).otherwise(F.concat(F.lit("["), key, F.lit(", 1]")))
     text = F.concat(F.lit(' {"who": '), who, F.lit(', "xs": '), xs, F.lit("}"), F.when(k == 4, F.lit(",{}")).otherwise(F.lit("\n")))
     r = t.orders.select("o_orderkey", decode.try_json(text, _ORDER).alias("r"))
@@ -96,7 +115,10 @@ def lock_build_order(t: Tables) -> DataFrame:
     return lockfile.build_order(lockfile.packages(locks, "n_regionkey"), "n_regionkey")
 
 
-@query("SELECT * FROM (VALUES (1, 'first', 0, 1), (2, 'same', 1, 1), (3, 'new name in the folder', 1, 2), (4, 'absent file appears', 1, 3), (5, 'other file', 2, 3)) AS v(step, what, hits, misses)")
+@query(
+    "SELECT * FROM (VALUES (1, 'first', 0, 1), (2, 'same', 1, 1), (3, 'new name in the folder', 1, 2), (4, 'absent file appears', 1, 3), (5, "
+    "'other file', 2, 3)) AS v(step, what, hits, misses)"
+)
 def memo_receipt(t: Tables) -> DataFrame:
     """Hits and misses as a folder's listing, an absent file and a file that nobody read change."""
     root = scratch_path(t.spark, "world")
@@ -124,23 +146,35 @@ def memo_receipt(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(steps, "step int, what string, hits int, misses int")
 
 
-@query("SELECT 'r' || n_regionkey || '/n' || n_nationkey AS path, 'file' AS kind FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'dir' FROM nation UNION ALL SELECT 'r0/empty', 'dir'")
+@query(
+    "SELECT 'r' || n_regionkey || '/n' || n_nationkey AS path, 'file' AS kind FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'dir' FROM "
+    "nation UNION ALL SELECT 'r0/empty', 'dir'"
+)
 def tree_walk(t: Tables) -> DataFrame:
     """Files, folders that they imply, and an empty one put in by its path."""
     name = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"))
     none = F.lit(None).cast("string").alias("target")
     files = t.nation.select(name.alias("path"), F.lit("file").alias("kind"), F.col("n_name").cast("binary").alias("content"), F.lit(False).alias("executable"), none)
-    empty = t.spark.range(1).select(F.lit("r0/empty").alias("path"), F.lit("dir").alias("kind"), F.lit(None).cast("binary").alias("content"), F.lit(False).alias("executable"), none)
+    empty = t.spark.range(1).select(
+        F.lit("r0/empty").alias("path"), F.lit("dir").alias("kind"), F.lit(None).cast("binary").alias("content"),
+        F.lit(False).alias("executable"), none,
+    )
     return trees.walk(trees.insert_path(files, empty)).select("path", "kind")
 
 
-@query("SELECT 'n' || n_nationkey AS path, CASE WHEN n_nationkey % 3 = 1 THEN 'Disagreement' WHEN n_nationkey % 3 = 0 THEN 'Duplicate' ELSE 'NotADirectory' END AS conflict FROM nation")
+@query(
+    "SELECT 'n' || n_nationkey AS path, CASE WHEN n_nationkey % 3 = 1 THEN 'Disagreement' WHEN n_nationkey % 3 = 0 THEN 'Duplicate' ELSE "
+    "'NotADirectory' END AS conflict FROM nation"
+)
 def tree_conflicts(t: Tables) -> DataFrame:
     """Why two trees are not a disjoint union: equal leaves, unequal ones, a file where the other has a folder."""
     key = F.col("n_nationkey").cast("string")
     a = t.nation.select(F.concat(F.lit("n"), key).alias("path"), F.lit("file").alias("kind"), F.lit("x").alias("content"))
     third = F.col("n_nationkey") % 3
-    b = t.nation.select(F.concat(F.lit("n"), key, F.when(third == 2, "/below").otherwise("")).alias("path"), F.lit("file").alias("kind"), F.when(third == 1, "y").otherwise("x").alias("content"))
+    b = t.nation.select(
+        F.concat(F.lit("n"), key, F.when(third == 2, "/below").otherwise("")).alias("path"), F.lit("file").alias("kind"),
+        F.when(third == 1, "y").otherwise("x").alias("content"),
+    )
     return trees.conflicts(a, b, disjoint=True)
 
 
@@ -150,9 +184,14 @@ def tree_project(t: Tables) -> DataFrame:
     return trees.project(t.nation.select(path.alias("path")), "r1")
 
 
-@query("SELECT n_name AS name, CASE WHEN n_regionkey < 3 THEN 'https://x/' || n_name END AS url, CASE WHEN n_regionkey >= 3 THEN 'MissingRegistryArtifact' END AS failure FROM nation")
+@query(
+    "SELECT n_name AS name, CASE WHEN n_regionkey < 3 THEN 'https://x/' || n_name END AS url, CASE WHEN n_regionkey >= 3 THEN "
+    "'MissingRegistryArtifact' END AS failure FROM nation"
+)
 def registry_url(t: Tables) -> DataFrame:
-    manifest = t.nation.where("n_regionkey < 3").select(F.col("n_name").alias("name"), F.concat(F.lit("https://x/"), "n_name").alias("url"), F.sha2("n_name", 256).alias("sha256"))
+    manifest = t.nation.where("n_regionkey < 3").select(
+        F.col("n_name").alias("name"), F.concat(F.lit("https://x/"), "n_name").alias("url"), F.sha2("n_name", 256).alias("sha256"),
+    )
     pins = blobs.pinned_url(manifest, t.nation.select(F.col("n_name").alias("name")))
     return pins.select("name", F.col("pin.ok.url").alias("url"), F.col("pin.err.code").alias("failure"))
 
@@ -163,7 +202,10 @@ def blob_slice(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", blobs.slice_of(F.col("n_name").cast("binary"), 2, 4).cast("string").alias("part"))
 
 
-@query("SELECT * FROM (VALUES ('cut off', 'NotReached', ''), ('no such test', 'UnknownRun', ''), ('same', 'NotReached', ''), ('touched', 'Reached', 'h3,h3x'), ('unfollowed', 'UnknownRun', '')) AS v(test, verdict, changed)")
+@query(
+    "SELECT * FROM (VALUES ('cut off', 'NotReached', ''), ('no such test', 'UnknownRun', ''), ('same', 'NotReached', ''), ('touched', 'Reached', "
+    "'h3,h3x'), ('unfollowed', 'UnknownRun', '')) AS v(test, verdict, changed)"
+)
 def test_selection(t: Tables) -> DataFrame:
     """Which tests a change of one atom's bytes reaches."""
     atoms = "node int, hash string, unknown string"
@@ -180,14 +222,20 @@ def test_selection(t: Tables) -> DataFrame:
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","region":{"key":' || n_regionkey || ',"none":null},"xs":[' || n_nationkey || ',null]}' AS line FROM nation""")
 def sink_canonical(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = t.nation.select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("key"), none.alias("none")).alias("region"), F.array(F.col("n_nationkey"), F.lit(None).cast("int")).alias("xs"))
+    rows = t.nation.select(
+        "n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("key"), none.alias("none")).alias("region"),
+        F.array(F.col("n_nationkey"), F.lit(None).cast("int")).alias("xs"),
+    )
     return sinks.canonical_text(rows)
 
 
 _SIZES = "SELECT DISTINCT p_size % 10 AS k FROM part"
 
 
-@query(f"SELECT 'a' AS package, '1.' || max(k) || '.0' AS version FROM ({_SIZES}) WHERE k + 3 <= (SELECT max(k) FROM ({_SIZES})) UNION ALL SELECT 'b', '1.' || max(k) || '.0' FROM ({_SIZES})")
+@query(
+    f"SELECT 'a' AS package, '1.' || max(k) || '.0' AS version FROM ({_SIZES}) WHERE k + 3 <= (SELECT max(k) FROM ({_SIZES})) UNION ALL SELECT 'b', "
+    f"'1.' || max(k) || '.0' FROM ({_SIZES})"
+)
 def solver_select(t: Tables) -> DataFrame:
     """a 1.k.0 needs b 1.(k+3).0 or later, so the newest of a have no partner and are given up."""
     sizes = [r["k"] for r in t.part.select((F.col("p_size") % 10).alias("k")).distinct().collect()]  # ten at most
@@ -216,3 +264,34 @@ def check_vocabulary(t: Tables) -> DataFrame:
     with checks.jobs_at_most("jobs", 2):
         rows.count()
     return checks.rows()
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 4 THEN n_name END AS said, CASE WHEN n_regionkey = 4 THEN 'ProcessFailure' END AS failure FROM nation")
+def exec_rows(t: Tables) -> DataFrame:
+    """A program for each row: what it says, or that it failed."""
+    good = F.array(F.lit("/bin/echo"), F.lit("-n"), F.col("n_name"))
+    rows = t.nation.select("n_nationkey", F.when(F.col("n_regionkey") < 4, good).otherwise(F.array(F.lit("/bin/false"))).alias("argv"))
+    out = process.run_rows(rows, ["n_nationkey"], "argv", allow=True)
+    return out.select("n_nationkey", F.col("outcome.ok.stdout").cast("string").alias("said"), F.col("outcome.err.code").alias("failure"))
+
+
+_EDITION = "CASE WHEN n_nationkey % 2 = 0 THEN '2021' ELSE '2015' END"
+_ARGUMENTS = f"'--crate-name pkg_' || n_nationkey || ' --edition ' || {_EDITION} || ' --crate-type ' || kind || ' ' || root || ' --out-dir .' || CASE WHEN n_nationkey >= 5 THEN ' --extern pkg_' || (n_nationkey - 5) || '=libpkg_' || (n_nationkey - 5) || '.rlib' ELSE '' END"
+
+
+@query(
+    f"SELECT n_nationkey, {_ARGUMENTS} AS arguments FROM nation, (VALUES ('lib', 'src/lib.rs'), ('bin', 'src/main.rs')) AS u(kind, root) WHERE kind "
+    f"= 'lib' OR n_regionkey = 0"
+)
+def unit_plan(t: Tables) -> DataFrame:
+    """Manifests and file lists of packages, each of which links the fifth before it, as compiler arguments."""
+    name = F.concat(F.lit("pkg-"), F.col("n_nationkey").cast("string"))
+    edition = F.when(F.col("n_nationkey") % 2 == 0, F.lit('edition = "2021"\n')).otherwise("")
+    text = F.concat(F.lit('[package]\nname = "'), name, F.lit('"\nversion = "1.0.0"\n'), edition)
+    manifests = manifest.read_manifests(t.nation.select("n_nationkey", text.alias("text")), "n_nationkey", "text")
+    paths = F.when(
+        F.col("n_regionkey") == 0, F.array(F.lit("src/lib.rs"), F.lit("src/main.rs")),
+    ).otherwise(F.array(F.lit("src/lib.rs"), F.lit("src/other.rs"), F.lit("lib.rs")))
+    found = manifest.units(manifests, t.nation.select("n_nationkey", F.explode(paths).alias("path")), "n_nationkey")
+    needs = F.when(F.col("n_nationkey") >= 5, F.array(F.concat(F.lit("pkg-"), (F.col("n_nationkey") - 5).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return found.select("n_nationkey", F.array_join(manifest.arguments(found, needs), " ").alias("arguments"))

@@ -32,7 +32,10 @@ def let_destructure(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", made.alias("r")).select("o_orderkey", "r.twice", "r.both")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS size, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_size < 25 THEN -1 WHEN p_size = 25 THEN 0 ELSE 1 END AS INTEGER) AS o FROM part")
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS size, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_size < 25 "
+    "THEN -1 WHEN p_size = 25 THEN 0 ELSE 1 END AS INTEGER) AS o FROM part"
+)
 def cmp_absent(t: Tables) -> DataFrame:
     """Absence inside a record comes after every value."""
     size = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
@@ -42,7 +45,9 @@ def cmp_absent(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders")
 def proj_tuple(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("_0"), F.col("o_orderstatus").alias("_1")).alias("t")).select("o_orderkey", F.col("t._0").alias("a"), F.col("t._1").alias("b"))
+    return t.orders.select(
+        "o_orderkey", F.struct(F.col("o_custkey").alias("_0"), F.col("o_orderstatus").alias("_1")).alias("t"),
+    ).select("o_orderkey", F.col("t._0").alias("a"), F.col("t._1").alias("b"))
 
 
 @query("SELECT c_custkey, 'X-' || c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
@@ -56,10 +61,16 @@ def proj_field(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", make_record(brand=F.col("p_brand"), size=F.col("p_size")).alias("r")).select("p_partkey", F.col("r").getField("brand").alias("brand"))
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS tag, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_orderstatus END AS code FROM orders")
+@query(
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS tag, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END "
+    "AS price, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_orderstatus END AS code FROM orders"
+)
 def enum_construct(t: Tables) -> DataFrame:
     e = t.orders.select("o_orderkey", _state(F.col("o_orderstatus"), F.col("o_totalprice")).alias("e"))
-    return e.select("o_orderkey", F.col("e.tag").alias("tag"), STATE.payload(F.col("e"), "Filled")["price"].alias("price"), STATE.payload(F.col("e"), "Other")["code"].alias("code"))
+    return e.select(
+        "o_orderkey", F.col("e.tag").alias("tag"), STATE.payload(F.col("e"), "Filled")["price"].alias("price"),
+        STATE.payload(F.col("e"), "Other")["code"].alias("code"),
+    )
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity * 2 + 1) * 2 + 1 AS twice FROM lineitem")
@@ -85,7 +96,12 @@ def ctl_match(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'S' WHEN p_size < 30 AND p_brand LIKE '%1' THEN 'M1' WHEN p_size < 30 THEN 'M' ELSE 'L' END AS grade FROM part")
 def ctl_match_guard(t: Tables) -> DataFrame:
     size = F.col("p_size")
-    return t.part.select("p_partkey", ordered_match([(size < 10, F.lit("S")), ((size < 30) & F.col("p_brand").endswith("1"), F.lit("M1")), (size < 30, F.lit("M"))], F.lit("L")).alias("grade"))
+    return t.part.select(
+        "p_partkey",
+        ordered_match(
+            [(size < 10, F.lit("S")), ((size < 30) & F.col("p_brand").endswith("1"), F.lit("M1")), (size < 30, F.lit("M"))], F.lit("L"),
+        ).alias("grade"),
+    )
 
 
 @query("SELECT event_id, event_type FROM events WHERE (value > 50 OR event_type = 'click') AND NOT (user_id % 2 = 0)")
@@ -99,7 +115,10 @@ def math_int(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (a + b).alias("s"), (a - b).alias("d"), (a * b).alias("p"))
 
 
-@query("SELECT event_id, CASE WHEN d <> 0 THEN sign(a) * (abs(a) // d) END AS q, CASE WHEN d = 0 THEN 'DivisionByZero' END AS failure FROM (SELECT event_id, event_id - 500 AS a, user_id % 5 AS d FROM events)")
+@query(
+    "SELECT event_id, CASE WHEN d <> 0 THEN sign(a) * (abs(a) // d) END AS q, CASE WHEN d = 0 THEN 'DivisionByZero' END AS failure FROM (SELECT "
+    "event_id, event_id - 500 AS a, user_id % 5 AS d FROM events)"
+)
 def math_div(t: Tables) -> DataFrame:
     """Quotients towards zero, of negative dividends too."""
     r = arith.try_div(F.col("event_id") - 500, F.col("user_id") % 5)

@@ -55,14 +55,20 @@ def stream_split_min_by(t: Tables) -> DataFrame:
     return _events(t, "value", "event_type").split_min_by("event_type").select("event_type", "event_id", "value")
 
 
-@query("SELECT (SELECT event_id FROM events WHERE value > 20 ORDER BY value, event_id LIMIT 1) AS low, (SELECT event_id FROM events WHERE value < 80 ORDER BY value DESC, event_id DESC LIMIT 1) AS high")
+@query(
+    "SELECT (SELECT event_id FROM events WHERE value > 20 ORDER BY value, event_id LIMIT 1) AS low, (SELECT event_id FROM events WHERE value < 80 "
+    "ORDER BY value DESC, event_id DESC LIMIT 1) AS high"
+)
 def stream_find_min_max(t: Tables) -> DataFrame:
     s = _events(t, "value")
     one = lambda df, name: df.select(F.col("found.event_id").alias(name))
     return one(s.find_min(F.col("value") > 20), "low").crossJoin(one(s.find_max(F.col("value") < 80), "high"))  # one row each
 
 
-@query("SELECT (SELECT event_id FROM events ORDER BY CASE WHEN value > 50 THEN value END NULLS LAST, event_id LIMIT 1) AS low, (SELECT event_id FROM events ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id DESC LIMIT 1) AS high")
+@query(
+    "SELECT (SELECT event_id FROM events ORDER BY CASE WHEN value > 50 THEN value END NULLS LAST, event_id LIMIT 1) AS low, (SELECT event_id FROM "
+    "events ORDER BY CASE WHEN value > 50 THEN value END DESC NULLS FIRST, event_id DESC LIMIT 1) AS high"
+)
 def stream_find_absent(t: Tables) -> DataFrame:
     """Absent values are the greatest, never the least."""
     s = _events(t, "value").map(value=F.when(F.col("value") > 50, F.col("value")))
@@ -80,4 +86,7 @@ def stream_contains(t: Tables) -> DataFrame:
 @query("SELECT count(*) AS n, bool_or(value > 99) AS found, bool_and(value > 0) AS whole FROM events")
 def stream_count(t: Tables) -> DataFrame:
     s = _events(t, "value")
-    return s.df.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("value") > 99), F.lit(False)).alias("found"), F.coalesce(F.bool_and(F.col("value") > 0), F.lit(True)).alias("whole"))
+    return s.df.agg(
+        F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("value") > 99), F.lit(False)).alias("found"),
+        F.coalesce(F.bool_and(F.col("value") > 0), F.lit(True)).alias("whole"),
+    )

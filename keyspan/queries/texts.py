@@ -26,16 +26,27 @@ def str_contains(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.contains(F.col("text"), F.lit("the.")).alias("found"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '. ') THEN substr(text, 1, instr(text, '. ') - 1) END AS head, CASE WHEN contains(text, '. ') THEN length(substr(text, instr(text, '. ') + 2)) END AS after, CASE WHEN NOT contains(text, '. ') THEN 'MissingDelimiter' END AS failure FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN contains(text, '. ') THEN substr(text, 1, instr(text, '. ') - 1) END AS head, CASE WHEN contains(text, '. ') THEN "
+    "length(substr(text, instr(text, '. ') + 2)) END AS after, CASE WHEN NOT contains(text, '. ') THEN 'MissingDelimiter' END AS failure FROM "
+    "documents"
+)
 def str_split_once(t: Tables) -> DataFrame:
     r = t.documents.select("doc_id", S.split_once(F.col("text"), ". ").alias("r"))
     return r.select("doc_id", F.col("r.ok.before").alias("head"), F.length("r.ok.after").cast("long").alias("after"), F.col("r.err.code").alias("failure"))
 
 
-@query("SELECT event_id, CASE WHEN regexp_full_match(s, '-?[0-9]+') THEN TRY_CAST(s AS BIGINT) END AS n, CASE WHEN NOT regexp_full_match(s, '-?[0-9]+') THEN 'InvalidInteger' WHEN TRY_CAST(s AS BIGINT) IS NULL THEN 'IntegerOverflow' END AS failure FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '-' || user_id WHEN 1 THEN ' 42' WHEN 2 THEN '9223372036854775808' WHEN 3 THEN '007' ELSE event_type END AS s FROM events)")
+@query(
+    "SELECT event_id, CASE WHEN regexp_full_match(s, '-?[0-9]+') THEN TRY_CAST(s AS BIGINT) END AS n, CASE WHEN NOT regexp_full_match(s, "
+    "'-?[0-9]+') THEN 'InvalidInteger' WHEN TRY_CAST(s AS BIGINT) IS NULL THEN 'IntegerOverflow' END AS failure FROM (SELECT event_id, CASE "
+    "event_id % 5 WHEN 0 THEN '-' || user_id WHEN 1 THEN ' 42' WHEN 2 THEN '9223372036854775808' WHEN 3 THEN '007' ELSE event_type END AS s FROM "
+    "events)"
+)
 def str_parse_int(t: Tables) -> DataFrame:
     k = F.col("event_id") % 5
-    s = F.when(k == 0, F.concat(F.lit("-"), F.col("user_id").cast("string"))).when(k == 1, " 42").when(k == 2, "9223372036854775808").when(k == 3, "007").otherwise(F.col("event_type"))
+    s = F.when(
+        k == 0, F.concat(F.lit("-"), F.col("user_id").cast("string")),
+    ).when(k == 1, " 42").when(k == 2, "9223372036854775808").when(k == 3, "007").otherwise(F.col("event_type"))
     return t.events.select("event_id", S.parse_int(s).alias("r")).select("event_id", F.col("r.ok").alias("n"), F.col("r.err.code").alias("failure"))
 
 
@@ -45,7 +56,10 @@ def str_is_numeric(t: Tables) -> DataFrame:
     return t.events.select("event_id", S.is_numeric(F.when(k == 0, "007").when(k == 1, "-3").otherwise("5\n")).alias("numeric"))
 
 
-@query(r"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) END AS BIGINT) AS n, string_split(text, chr(10))[1] AS head FROM documents")
+@query(
+    r"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) END AS BIGINT) AS n, "
+    r"string_split(text, chr(10))[1] AS head FROM documents"
+)
 def str_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.lines(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0)).alias("head"))
 
@@ -87,7 +101,10 @@ _HAS = f"(contains({_NAME}, '.') AND {_LAST} > 1 AND {_LAST} < length({_NAME}))"
 )
 def path_parts(t: Tables) -> DataFrame:
     u = F.col("url")
-    return t.pages.select("page_id", F.size(paths.segments(u)).cast("long").alias("segments"), paths.file_name(u).alias("name"), paths.extension(u).alias("extension"), paths.stem(u).alias("stem"), paths.parent(u).alias("parent"))
+    return t.pages.select(
+        "page_id", F.size(paths.segments(u)).cast("long").alias("segments"), paths.file_name(u).alias("name"),
+        paths.extension(u).alias("extension"), paths.stem(u).alias("stem"), paths.parent(u).alias("parent"),
+    )
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -102,11 +119,16 @@ def opt_is_some(t: Tables) -> DataFrame:
     return joined.select("doc_id", results.is_some(F.col("quality")).alias("some"), results.is_none(F.col("quality")).alias("none"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN o_totalprice END AS price, CASE WHEN o_totalprice < 1000 THEN 'Raised' END AS failure, CASE WHEN o_totalprice < 1000 THEN 'order ' || o_orderkey END AS payload FROM orders")
+@query(
+    "SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN o_totalprice END AS price, CASE WHEN o_totalprice < 1000 THEN 'Raised' END AS failure, "
+    "CASE WHEN o_totalprice < 1000 THEN 'order ' || o_orderkey END AS payload FROM orders"
+)
 def fail_try(t: Tables) -> DataFrame:
     note = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
     r = results.result(F.col("o_totalprice"), (F.col("o_totalprice") < 1000, results.error("Raised", "price", note)))
-    return t.orders.select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.ok").alias("price"), F.col("r.err.code").alias("failure"), F.col("r.err.payload").alias("payload"))
+    return t.orders.select("o_orderkey", r.alias("r")).select(
+        "o_orderkey", F.col("r.ok").alias("price"), F.col("r.err.code").alias("failure"), F.col("r.err.payload").alias("payload"),
+    )
 
 
 @query("SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 1000 // (user_id % 3) ELSE -1 END AS q FROM events")
@@ -132,14 +154,24 @@ def _versions(t: Tables) -> DataFrame:
 _PARTS = f"SELECT p_partkey, p_size % 3 AS major, p_partkey % 12 AS minor, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 7 END AS patch, p_partkey % 4 AS k, {_VERSION} AS text FROM part"
 
 
-@query(f"SELECT p_partkey, text, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(patch AS BIGINT) AS patch, k > 1 AS release, CASE k WHEN 0 THEN 'alpha.' || (p_partkey % 11) WHEN 1 THEN 'rc' ELSE '' END AS pre, CASE WHEN p_partkey % 6 = 0 THEN 'b1' ELSE '' END AS build FROM ({_PARTS})")
+@query(
+    f"SELECT p_partkey, text, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(patch AS BIGINT) AS patch, k > 1 AS release, "
+    f"CASE k WHEN 0 THEN 'alpha.' || (p_partkey % 11) WHEN 1 THEN 'rc' ELSE '' END AS pre, CASE WHEN p_partkey % 6 = 0 THEN 'b1' ELSE '' END AS "
+    f"build FROM ({_PARTS})"
+)
 def semver_parse(t: Tables) -> DataFrame:
     v = _versions(t).withColumn("v", semver.parse(F.col("text")))
     pre = F.array_join(F.transform("v.pre.ids", lambda i: F.when(i["tag"] == 0, i["num"].cast("string")).otherwise(i["alpha"])), ".")
-    return v.select("p_partkey", "text", F.col("v.major").alias("major"), F.col("v.minor").alias("minor"), F.col("v.patch").alias("patch"), (F.col("v.pre.is_release") == 1).alias("release"), pre.alias("pre"), F.col("v.build").alias("build"))
+    return v.select(
+        "p_partkey", "text", F.col("v.major").alias("major"), F.col("v.minor").alias("minor"), F.col("v.patch").alias("patch"),
+        (F.col("v.pre.is_release") == 1).alias("release"), pre.alias("pre"), F.col("v.build").alias("build"),
+    )
 
 
-@query(f"SELECT text, row_number() OVER (ORDER BY major, minor, patch, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, a, text) - 1 AS pos FROM (SELECT DISTINCT text, major, minor, patch, k, CASE WHEN k = 0 THEN p_partkey % 11 ELSE 0 END AS a FROM ({_PARTS}))")
+@query(
+    f"SELECT text, row_number() OVER (ORDER BY major, minor, patch, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, a, text) - 1 AS pos FROM (SELECT "
+    f"DISTINCT text, major, minor, patch, k, CASE WHEN k = 0 THEN p_partkey % 11 ELSE 0 END AS a FROM ({_PARTS}))"
+)
 def semver_sort(t: Tables) -> DataFrame:
     """Every distinct version with its position."""
     v = _versions(t).select("text").distinct().withColumn("p", semver.precedence(semver.parse(F.col("text"))))

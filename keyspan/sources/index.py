@@ -17,9 +17,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def dependency_rows(index: DataFrame) -> DataFrame:
     """One row for each dependency of each version."""
-    return index.select("name", "vers", F.posexplode("deps").alias("pos", "dep")).select("name", "vers", "pos", F.col("dep.name").alias("needs"), F.col("dep.req").alias("req"), F.col("dep.optional").alias("optional"), F.col("dep.kind").alias("kind"))
+    return index.select("name", "vers", F.posexplode("deps").alias("pos", "dep")).select(
+        "name", "vers", "pos", F.col("dep.name").alias("needs"), F.col("dep.req").alias("req"), F.col("dep.optional").alias("optional"),
+        F.col("dep.kind").alias("kind"),
+    )
 
 
 def counts(index: DataFrame) -> DataFrame:
     """Rows, yanked rows and dependencies of each package."""
-    return index.groupBy("name").agg(F.count("*").alias("rows"), F.count_if(F.coalesce("yanked", F.lit(False))).alias("yanked"), F.sum(F.coalesce(F.size("deps"), F.lit(0)).cast("long")).alias("deps"))
+    return index.groupBy("name").agg(
+        F.count("*").alias("rows"), F.count_if(F.coalesce("yanked", F.lit(False))).alias("yanked"),
+        F.sum(F.coalesce(F.size("deps"), F.lit(0)).cast("long")).alias("deps"),
+    )

@@ -25,7 +25,10 @@ def packages(locks: DataFrame, key: str) -> DataFrame:
     """One row for each package of the locks that decode; ``pin`` is what a fetch of it has to match."""
     rows = locks.select(key, F.posexplode("decoded.ok.package").alias("pos", "p"))
     pin = F.when(F.col("p.checksum").isNotNull(), F.concat(F.lit("sha256:"), F.col("p.checksum")))
-    return rows.select(key, "pos", "p.name", "p.version", F.col("p.source").isNotNull().alias("vendored"), pin.alias("pin"), F.coalesce("p.dependencies", F.array().cast("array<string>")).alias("dependencies"))
+    return rows.select(
+        key, "pos", "p.name", "p.version", F.col("p.source").isNotNull().alias("vendored"), pin.alias("pin"),
+        F.coalesce("p.dependencies", F.array().cast("array<string>")).alias("dependencies"),
+    )
 
 
 def dependencies(rows: DataFrame, key: str) -> DataFrame:
@@ -37,13 +40,21 @@ def dependencies(rows: DataFrame, key: str) -> DataFrame:
     """
     entries = rows.select(key, "name", "version", F.explode("dependencies").alias("entry"))
     space = F.instr("entry", " ")
-    entries = entries.withColumns({"need": F.when(space > 0, F.substring("entry", F.lit(1), space - 1)).otherwise(F.col("entry")), "at": F.when(space > 0, F.substring("entry", space + 1, F.length("entry")))})
+    entries = entries.withColumns(
+        {
+            "need": F.when(space > 0, F.substring("entry", F.lit(1), space - 1)).otherwise(F.col("entry")),
+            "at": F.when(space > 0, F.substring("entry", space + 1, F.length("entry"))),
+        }
+    )
     known = rows.select(key, F.col("name").alias("need"), F.col("version").alias("known"))
     exact = entries.where("at is not null").join(known.withColumn("at", F.col("known")).distinct(), [key, "need", "at"], "left")
     exact = exact.select(key, "name", "version", "entry", "need", F.col("known").alias("need_version"), F.col("known").isNotNull().cast("long").alias("matches"))
     by_name = known.groupBy(key, "need").agg(F.count("*").alias("matches"), F.min("known").alias("known"))
     bare = entries.where("at is null").join(by_name, [key, "need"], "left")
-    bare = bare.select(key, "name", "version", "entry", "need", F.when(F.col("matches") == 1, F.col("known")).alias("need_version"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
+    bare = bare.select(
+        key, "name", "version", "entry", "need", F.when(F.col("matches") == 1, F.col("known")).alias("need_version"),
+        F.coalesce("matches", F.lit(0)).cast("long").alias("matches"),
+    )
     return exact.unionByName(bare)
 
 

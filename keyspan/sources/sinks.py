@@ -22,7 +22,19 @@ def _canonical(value: Column, kind: T.DataType) -> Column:
         inner = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _canonical(x, kind.elementType)), ","), F.lit("]"))
     elif isinstance(kind, T.MapType):
         pairs = F.sort_array(F.map_entries(value))
-        inner = F.concat(F.lit("["), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("["), _canonical(p["key"], kind.keyType), F.lit(","), _canonical(p["value"], kind.valueType), F.lit("]"))), ","), F.lit("]"))
+        inner = F.concat(
+            F.lit("["),
+            F.array_join(
+                F.transform(
+                    pairs,
+                    lambda p: F.concat(
+                        F.lit("["), _canonical(p["key"], kind.keyType), F.lit(","), _canonical(p["value"], kind.valueType), F.lit("]"),
+                    ),
+                ),
+                ",",
+            ),
+            F.lit("]"),
+        )
     else:
         # {"v":...} gives the value's own JSON between its fifth character and its last.
         inner = F.regexp_replace(F.substring(F.to_json(F.struct(value.alias("v"))), 6, (1 << 31) - 1), r"\}\z", "")
@@ -42,7 +54,9 @@ def digest(df: DataFrame) -> str:
     """SHA-256 over the sorted digests of the canonical lines, in two steps: no task holds all rows."""
     lines = canonical_text(df).select(F.sha2("line", 256).alias("d"))
     counted = lines.groupBy("d").count()
-    parts = counted.groupBy(F.substring("d", 1, 3).alias("part")).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(" ", "d", "count")))), 256).alias("digest"))
+    parts = counted.groupBy(F.substring("d", 1, 3).alias("part")).agg(
+        F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(" ", "d", "count")))), 256).alias("digest")
+    )
     rows = parts.orderBy("part").collect()  # 4,096 at most
     return hashlib.sha256("\n".join(f"{r['part']} {r['digest']}" for r in rows).encode()).hexdigest()
 

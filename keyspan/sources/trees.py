@@ -28,8 +28,12 @@ def tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(root)
     prefix = qualified(spark, root).rstrip("/") + "/"
-    path = F.when(F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 1 << 30)).otherwise(F.raise_error(F.concat(F.lit(f"not below {prefix}: "), F.col("path"))))
-    return files.select(path.alias("path"), F.col("length").cast("long").alias("length"), "content").select("path", parent(F.col("path")).alias("parent"), file_name(F.col("path")).alias("name"), "length", "content")
+    path = F.when(
+        F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 1 << 30),
+    ).otherwise(F.raise_error(F.concat(F.lit(f"not below {prefix}: "), F.col("path"))))
+    return files.select(path.alias("path"), F.col("length").cast("long").alias("length"), "content").select(
+        "path", parent(F.col("path")).alias("parent"), file_name(F.col("path")).alias("name"), "length", "content",
+    )
 
 
 def glob(files: DataFrame, pattern: str) -> DataFrame:
@@ -55,7 +59,13 @@ def read_text(files: DataFrame, path: str) -> DataFrame:
     found = found.crossJoin(F.broadcast(below))  # one row each
     missing = F.col("content").isNull()
     ok = F.try_validate_utf8(F.col("content").cast("string"))
-    return found.select("path", result(ok, (missing & F.col("is_folder"), error("TreeEntryNotAFile", "text", F.col("path"))), (missing, error("MissingTreeEntry", "text", F.col("path"))), (ok.isNull(), error("InvalidText", "text", F.col("path")))).alias("text"))
+    return found.select(
+        "path",
+        result(
+            ok, (missing & F.col("is_folder"), error("TreeEntryNotAFile", "text", F.col("path"))),
+            (missing, error("MissingTreeEntry", "text", F.col("path"))), (ok.isNull(), error("InvalidText", "text", F.col("path"))),
+        ).alias("text"),
+    )
 
 
 # Tree values.
@@ -80,7 +90,10 @@ def _folders_of(paths: DataFrame) -> DataFrame:
 def walk(entries: DataFrame) -> DataFrame:
     """All entries, implied folders too, depth first: a folder before its children, names in order."""
     implied = _folders_of(entries.select("path")).join(entries.select("path"), "path", "left_anti")
-    empty = [F.lit("dir").alias("kind") if c == "kind" else F.lit(False).alias(c) if c == "executable" else F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in entries.columns if c != "path"]
+    empty = [
+        F.lit("dir").alias("kind") if c == "kind" else F.lit(False).alias(c) if c == "executable"
+        else F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in entries.columns if c != "path"
+    ]
     whole = entries.unionByName(implied.select("path", *empty))
     return whole.orderBy(_segments(F.col("path")))
 
@@ -142,9 +155,14 @@ def observed(files: DataFrame, reads: DataFrame) -> DataFrame:
     ``reads``: path and kind, ``content`` (a file's bytes) or ``listing`` (the names right
     in a folder). A file or folder that is not there has a null digest.
     """
-    contents = files.join(reads.where("kind = 'content'").select("path"), "path", "left_semi").select("path", F.lit("content").alias("kind"), F.sha2("content", 256).alias("digest"))
+    contents = files.join(reads.where("kind = 'content'").select("path"), "path", "left_semi").select(
+        "path", F.lit("content").alias("kind"), F.sha2("content", 256).alias("digest"),
+    )
     parts = _segments(F.col("path"))
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), F.get(parts, n).alias("name")))
+    above = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), F.get(parts, n).alias("name")),
+    )
     names = files.select(F.explode(above).alias("s")).select(F.col("s.folder").alias("path"), F.col("s.name").alias("name")).distinct()
     wanted = names.join(reads.where("kind = 'listing'").select("path"), "path", "left_semi")
     # The names in one folder: what one listing holds.

@@ -18,7 +18,7 @@ from keyspan.operators.keyed import DuplicateKey, KeyedStream
 from keyspan.plans import order
 from keyspan.plans.checks import Checks
 from keyspan.plans.memo import Memo, recipe, source_digest
-from keyspan.sources import blobs, lockfile, sinks, trees
+from keyspan.sources import blobs, lockfile, process, sinks, trees
 from keyspan.sources.store import complete, exists, finished, scope, scratch_path, shared_dir, written
 from keyspan.streaming import incremental
 
@@ -61,7 +61,10 @@ def test_fold_stops(spark):
 @pytest.mark.parametrize("parts,adaptive", [(4, "true"), (16, "true"), (64, "false")])
 def test_positions_of_many_wide_rows(spark, parts, adaptive):
     n = 1_000_000
-    df = spark.range(n).select((F.col("id") * 7_919 % 1_000_003).alias("k"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("x" * 40)).alias("text"), F.lit(1).alias("a"))
+    df = spark.range(n).select(
+        (F.col("id") * 7_919 % 1_000_003).alias("k"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("x" * 40)).alias("text"),
+        F.lit(1).alias("a"),
+    )
     try:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
@@ -92,7 +95,12 @@ SCHEMA = T.StructType([T.StructField("name", T.StringType(), False), T.StructFie
 
 @pytest.mark.parametrize(
     "text,payload",
-    [('{"name":"a"},{}', "trailing text"), ('{"name":"a"}\n', None), ('\t {"name":"a"} \r\n', None), ('{"name":"a"}],[2', "trailing text"), ('{"name":"a"},"y":{}', "trailing text"), ('{"name":"a"}}', "trailing text"), ("[]", "not one JSON object"), ("", "not one JSON object"), (None, "not one JSON object"), ('{"name":"a","name":"b"}', "not one JSON object")],
+    [
+        ('{"name":"a"},{}', "trailing text"), ('{"name":"a"}\n', None), ('\t {"name":"a"} \r\n', None),
+        ('{"name":"a"}],[2', "trailing text"), ('{"name":"a"},"y":{}', "trailing text"), ('{"name":"a"}}', "trailing text"),
+        ("[]", "not one JSON object"), ("", "not one JSON object"), (None, "not one JSON object"),
+        ('{"name":"a","name":"b"}', "not one JSON object"),
+    ],
 )
 def test_json_ends_where_the_document_does(spark, text, payload):
     r = one(spark, decode.try_json(F.lit(text).cast("string"), SCHEMA))
@@ -102,7 +110,10 @@ def test_json_ends_where_the_document_does(spark, text, payload):
 def test_nested_json_in_catalyst(spark):
     inner = T.StructType([T.StructField("k", T.LongType(), False)])
     schema = T.StructType([T.StructField("xs", T.ArrayType(inner), False), T.StructField("o", inner, True)])
-    cases = {'{"xs": [{"k": 1}, {"k": 2}]}': None, '{"xs": [{"k": "1"}]}': "xs: wrong element", '{"xs": [null]}': "xs: wrong element", '{"xs": {}}': "xs: wrong type", '{"xs": [], "o": {}}': "o.k: missing", '{"xs": [], "o": null}': None, '{"o": null}': "xs: missing"}
+    cases = {
+        '{"xs": [{"k": 1}, {"k": 2}]}': None, '{"xs": [{"k": "1"}]}': "xs: wrong element", '{"xs": [null]}': "xs: wrong element",
+        '{"xs": {}}': "xs: wrong type", '{"xs": [], "o": {}}': "o.k: missing", '{"xs": [], "o": null}': None, '{"o": null}': "xs: missing",
+    }
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", decode.try_json(F.col("t"), schema).alias("r")).collect()
     assert {r["t"]: r["r"]["err"] and r["r"]["err"]["payload"] for r in rows} == cases
     assert [x["k"] for x in rows[0]["r"]["ok"]["xs"]] == [1, 2]
@@ -177,7 +188,10 @@ def test_build_orders(spark):
     assert all(len(tomllib.loads(texts[k])["package"]) == len(v) for k, v in locks.items())
 
 
-@pytest.mark.parametrize("packages,matches", [([("a", "1", ["none"])], 0), ([("a", "1", ["b"]), ("b", "1", []), ("b", "2", [])], 2), ([("a", "1", ["b 3"]), ("b", "1", [])], 0)])
+@pytest.mark.parametrize(
+    "packages,matches",
+    [([("a", "1", ["none"])], 0), ([("a", "1", ["b"]), ("b", "1", []), ("b", "2", [])], 2), ([("a", "1", ["b 3"]), ("b", "1", [])], 0)],
+)
 def test_unresolvable_dependencies(spark, packages, matches):
     rows = lockfile.packages(lockfile.read_locks(spark.createDataFrame([(1, _lock(packages))], "lock int, text string"), "lock", "text"), "lock")
     with pytest.raises(lockfile.UnresolvableDependency, match=f"{matches} matches"):
@@ -193,7 +207,10 @@ def test_broken_locks_are_errors(spark):
 
 
 VERSIONS = ["0.0.0", "0.0.1", "0.2.5", "0.3.0", "1.0.0-alpha", "1.0.0-rc.1", "1.0.0", "1.2.0", "1.2.9", "1.3.0-beta", "1.3.0", "2.0.0-rc", "2.0.0", "2.1"]
-REQUIREMENTS = ["*", "<=1.2", ">1.2", "<1.2", ">=1.2", "^0", "^0.0", "^0.2", "^1", "1", "=1.2", "=1", "~1", "~1.2", "^1.0.0-rc.1", ">=1.0.0-alpha, <2.0.0-rc", "=1.0.0-alpha", "<=1.0.0-rc.1"]
+REQUIREMENTS = [
+    "*", "<=1.2", ">1.2", "<1.2", ">=1.2", "^0", "^0.0", "^0.2", "^1", "1", "=1.2", "=1", "~1", "~1.2", "^1.0.0-rc.1",
+    ">=1.0.0-alpha, <2.0.0-rc", "=1.0.0-alpha", "<=1.0.0-rc.1",
+]
 
 
 def test_requirements_read_missing_numbers_as_zero(spark):
@@ -208,7 +225,10 @@ def test_version_set_columns_do_as_lists_do(spark):
     rows = list(itertools.product(VERSIONS, REQUIREMENTS, REQUIREMENTS[::4]))
     df = spark.createDataFrame(rows, "v string, a string, b string")
     df = semver.requirement_sets(semver.requirement_sets(df, "a", "x"), "b", "y").withColumn("p", semver.parse(F.col("v")))
-    out = df.select("v", "a", "b", semver.set_contains(F.col("x"), F.col("p")).alias("one"), semver.set_contains(semver.set_meet(F.col("x"), F.col("y")), F.col("p")).alias("both")).collect()
+    out = df.select(
+        "v", "a", "b", semver.set_contains(F.col("x"), F.col("p")).alias("one"),
+        semver.set_contains(semver.set_meet(F.col("x"), F.col("y")), F.col("p")).alias("both"),
+    ).collect()
     read = semver.parse_requirement
     for r in out:
         assert r["one"] == solver.admits(read(r["a"]), solver.bound(r["v"])), r
@@ -242,7 +262,10 @@ def test_solver_against_all_selections():
             needs = [(m, text) for n, v in choice.items() for m, text in index[n][v].items()]
             return all(m in choice and solver.admits(read(text), solver.bound(choice[m])) for m, text in needs)
 
-        exists_one = any(good(dict(zip(some, vs))) for k in range(1, 5) for some in itertools.combinations(names, k) if "a" in some for vs in itertools.product(*(index[n] for n in some)))
+        exists_one = any(
+            good(dict(zip(some, vs))) for k in range(1, 5) for some in itertools.combinations(names, k)
+            if "a" in some for vs in itertools.product(*(index[n] for n in some))
+        )
         try:
             found = solver.solve(index, wanted)
             assert good(found)
@@ -282,7 +305,10 @@ def test_tree_values(spark):
     assert trees.union(a, b).count() == 4
     with pytest.raises(DuplicateKey, match="d/x \\(Duplicate\\)"):
         trees.disjoint_union(a, b)
-    for other, conflict in ((("d/x", "file", b"2", None), "Disagreement"), (("link", "symlink", None, "d"), "Disagreement"), (("link/below", "file", b"", None), "NotADirectory"), (("d", "file", b"", None), "NotADirectory")):
+    for other, conflict in (
+        (("d/x", "file", b"2", None), "Disagreement"), (("link", "symlink", None, "d"), "Disagreement"),
+        (("link/below", "file", b"", None), "NotADirectory"), (("d", "file", b"", None), "NotADirectory"),
+    ):
         with pytest.raises(DuplicateKey, match=conflict):
             trees.union(a, _entries(spark, other))
     assert trees.insert_path(a, _entries(spark, ("new/deep/z", "file", b"", None))).count() == 4
@@ -320,7 +346,10 @@ def test_fetch_after_a_torn_write_and_with_origins(spark, tmp_path):
 
     os.makedirs(local, exist_ok=True)
     assert exists(spark, kept) and not complete(spark, kept) and not torn.exists()
-    pins = spark.createDataFrame([("x", [f"{tmp_path}/none", f"{tmp_path}/bad", f"{tmp_path}/good"], pin), ("y", [f"{tmp_path}/bad"], "0" * 64)], "name string, url array<string>, sha256 string")
+    pins = spark.createDataFrame(
+        [("x", [f"{tmp_path}/none", f"{tmp_path}/bad", f"{tmp_path}/good"], pin), ("y", [f"{tmp_path}/bad"], "0" * 64)],
+        "name string, url array<string>, sha256 string",
+    )
     found = {r["name"]: (r["content"] and bytes(r["content"]), r["err"]) for r in blobs.fetch(spark, pins).collect()}
     assert found == {"x": (b"body", None), "y": (None, "FetchIntegrity")} and complete(spark, kept)
 
@@ -439,3 +468,17 @@ def test_scratch_goes_with_its_scope(spark):
         return df
 
     assert finished(spark, "outer", make).count() == 5 and not exists(spark, inner[0])
+
+
+def test_programs_run_only_where_allowed(spark):
+    rows = [
+        (1, ["/bin/cat"], "in"), (2, ["/bin/sh", "-c", "echo x >&2; exit 3"], None), (3, ["/no/such"], ""), (4, None, None),
+        (5, ["/bin/sleep", "9"], ""), (6, ["/usr/bin/env"], ""),
+    ]
+    df = spark.createDataFrame(rows, "k int, argv array<string>, body string")
+    with pytest.raises(PermissionError):
+        process.run_rows(df, ["k"], "argv")
+    found = {r["k"]: r["outcome"] for r in process.run_rows(df, ["k"], "argv", "body", {"A": "b"}, 1.0, allow=True).collect()}
+    assert bytes(found[1]["ok"]["stdout"]) == b"in" and bytes(found[6]["ok"]["stdout"]) == b"A=b\n"
+    assert (found[2]["err"]["exit"], found[2]["err"]["stderr"]) == (3, "x\n")
+    assert all(found[k]["err"]["code"] == "ProcessFailure" and found[k]["err"]["exit"] is None for k in (3, 4, 5))

@@ -22,7 +22,13 @@ def test_matches_sql(spark, sf_dir, con, name):
         assert found[1]
 
 
-@pytest.mark.parametrize("name", ["stream_split_min", "lock_build_order", "semver_admission", "range_join", "tree_conflicts", "map_values_compact", "agg_fold_concat", "sort_by_key", "set_symdiff", "map_resolve_unique", "semver_sort"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "stream_split_min", "lock_build_order", "semver_admission", "range_join", "tree_conflicts", "map_values_compact", "agg_fold_concat",
+        "sort_by_key", "set_symdiff", "map_resolve_unique", "semver_sort",
+    ],
+)
 @pytest.mark.parametrize("partitions,codegen", [("1", "true"), ("7", "false")])
 def test_same_under_other_plans(spark, sf_dir, name, partitions, codegen):
     expected = rows_of_spark(catalog.QUERIES[name](spark, sf_dir))

@@ -62,7 +62,13 @@ def test_arrays(spark):
         one(spark, arrays.at(xs, F.lit(2)))
 
 
-@pytest.mark.parametrize("text,value,code", [("42", 42, None), ("-42", -42, None), ("007", 7, None), (" 42", None, "InvalidInteger"), ("", None, "InvalidInteger"), ("forty-two", None, "InvalidInteger"), ("9223372036854775808", None, "IntegerOverflow"), ("5\n", None, "InvalidInteger")])
+@pytest.mark.parametrize(
+    "text,value,code",
+    [
+        ("42", 42, None), ("-42", -42, None), ("007", 7, None), (" 42", None, "InvalidInteger"), ("", None, "InvalidInteger"),
+        ("forty-two", None, "InvalidInteger"), ("9223372036854775808", None, "IntegerOverflow"), ("5\n", None, "InvalidInteger"),
+    ],
+)
 def test_parse_int(spark, text, value, code):
     r = one(spark, S.parse_int(F.lit(text)))
     assert (r["ok"], r["err"] and r["err"]["code"]) == (value, code)
@@ -128,7 +134,15 @@ def test_positions_are_dense(spark):
 SCHEMA = T.StructType([T.StructField("name", T.StringType(), False), T.StructField("n", T.LongType(), True)])
 
 
-@pytest.mark.parametrize("text,payload", [('{"name": "a", "n": 1, "more": []}', None), ('{"name": "a"}', None), ('{"name": "a", "n": null}', None), ('{"n": 1}', "name: missing"), ('{"name": 42}', "name: wrong type"), ('{"name": "a"} x', "trailing text"), ('{"name": "a"} {}', "trailing text"), ('{"name": "a", "name": "b"}', "not one JSON object"), ("[]", "not one JSON object"), ("", "not one JSON object")])
+@pytest.mark.parametrize(
+    "text,payload",
+    [
+        ('{"name": "a", "n": 1, "more": []}', None), ('{"name": "a"}', None), ('{"name": "a", "n": null}', None),
+        ('{"n": 1}', "name: missing"), ('{"name": 42}', "name: wrong type"), ('{"name": "a"} x', "trailing text"),
+        ('{"name": "a"} {}', "trailing text"), ('{"name": "a", "name": "b"}', "not one JSON object"), ("[]", "not one JSON object"),
+        ("", "not one JSON object"),
+    ],
+)
 def test_json_decode(spark, text, payload):
     r = one(spark, decode.try_json(F.lit(text), SCHEMA))
     assert (r["err"] and r["err"]["payload"]) == payload
@@ -146,7 +160,11 @@ def test_semver(spark):
     df = spark.createDataFrame([(v,) for v in reversed(versions)], "v string")
     assert [r["v"] for r in df.orderBy(semver.precedence(semver.parse(F.col("v")))).collect()] == versions
     assert one(spark, semver.parse(F.lit("1.x"))) is None
-    cases = {"^1.2.3": ["1.2.3", "1.2.9", "1.9.0"], "~1.2": ["1.2.0", "1.2.3", "1.2.9"], "=1.2": ["1.2.0", "1.2.3", "1.2.9"], ">=1.2, <1.9": ["1.2.0", "1.2.3", "1.2.9"], "^0.2": ["0.2.5"], "<=0.2.5": ["0.2.5"], "*": ["0.2.5", "1.2.0", "1.2.3", "1.2.9", "1.9.0", "2.0.0"]}
+    cases = {
+        "^1.2.3": ["1.2.3", "1.2.9", "1.9.0"], "~1.2": ["1.2.0", "1.2.3", "1.2.9"], "=1.2": ["1.2.0", "1.2.3", "1.2.9"],
+        ">=1.2, <1.9": ["1.2.0", "1.2.3", "1.2.9"], "^0.2": ["0.2.5"], "<=0.2.5": ["0.2.5"],
+        "*": ["0.2.5", "1.2.0", "1.2.3", "1.2.9", "1.9.0", "2.0.0"],
+    }
     df = spark.createDataFrame([(v,) for v in cases["*"]], "v string")
     for text, expected in cases.items():
         wanted = semver.parse_requirement(text)
