@@ -291,7 +291,13 @@ def _visited(asks: DataFrame, placed: DataFrame, index: Index, settings: Setting
                             at.append(i)
                             shard.append(s)
                             own.append(of_head.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.list_(pa.int32())), part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64()))], names=["shard", "lists", "q", "best"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard, pa.int32()), pa.array(own, pa.list_(pa.int32())), part.column(0).take(pa.array(at, pa.int64())),
+                        part.column(1).take(pa.array(at, pa.int64())),
+                    ],
+                    names=["shard", "lists", "q", "best"],
+                )
 
     wanted = written(asks.mapInArrow(visits, "shard int, lists array<int>, q array<float>, best double"), "visits")
     # Queries of a shard are dealt to blocks, too; a crowded list's shards have equal numbers.
@@ -328,7 +334,12 @@ def _visited(asks: DataFrame, placed: DataFrame, index: Index, settings: Setting
                 scores.append((original[at] * asked_for[i]).sum(1) / (norms[at] * lengths[i]))
         place = np.concatenate([np.zeros(0, np.int64), *qs])
         at = np.concatenate([np.zeros(0, np.int64), *found])
-        return pa.table({"q": asking["q"].combine_chunks().take(pa.array(place)), "score": np.concatenate([np.zeros(0), *scores]), "ids": held["ids"].combine_chunks().take(pa.array(at))})
+        return pa.table(
+            {
+                "q": asking["q"].combine_chunks().take(pa.array(place)), "score": np.concatenate([np.zeros(0), *scores]),
+                "ids": held["ids"].combine_chunks().take(pa.array(at)),
+            }
+        )
 
     # A cell: a shard of candidates with a block of the queries that visit it.
     return queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(search, "q array<float>, score double, ids array<long>")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import as_binary, map_arrow
-from keyspan.llm.segments import LOOKUP_BYTES, ROOM, SegmentCache
+from keyspan.llm.segments import ROOM, SegmentCache
 
 # Classes of code points as they stand in a text.
 LETTER, DIGIT, OTHER, SHORT, LONG, BLANKS, LAST_SPACE, LAST_BLANK = range(8)
@@ -212,7 +212,7 @@ class Merger:
 
     def __init__(self, vocabulary: Vocabulary, room: int = ROOM):
         self.vocabulary = vocabulary
-        self.cache = SegmentCache(self._merged, room)
+        self.cache = SegmentCache(self._merged, room, 1 << 16)  # merged many at a time
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """For each piece its ids as little-endian unsigned 32-bit integers."""
@@ -392,4 +392,4 @@ def round_trip_digests(df: DataFrame, ranks: str, id_column: str = "doc_id", tex
 
     rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
-    return map_arrow(rows, make, schema, "text", LOOKUP_BYTES * 4).withColumnRenamed("id", id_column)
+    return map_arrow(rows, make, schema, "text").withColumnRenamed("id", id_column)

@@ -109,6 +109,14 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.threshold - strength, -700, 700)))
 
 
+def pairs(good: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The better and the worse row of each pair: both lists are gone through in shuffled rounds, so rows take part alike."""
+    better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    draw, n = np.random.default_rng(settings.seed), min(settings.pairs, len(better) * len(worse))
+    rounds = lambda rows: np.concatenate([draw.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
+    return rounds(better), rounds(worse)
+
+
 def fit(x: np.ndarray, good: np.ndarray, settings: Settings = Settings()) -> Model:
     """Weights from pairs, and the quantile threshold. ``good``: 0 or 1 for each row of x."""
     better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
@@ -117,11 +125,8 @@ def fit(x: np.ndarray, good: np.ndarray, settings: Settings = Settings()) -> Mod
     centre, spread = x.mean(0), x.std(0)
     spread = np.where(spread > 1e-9, spread, 1.0)
     z = ((x - centre) / spread).clip(-8, 8)
-    draw = np.random.default_rng(settings.seed)
-    # Every row takes part about equally often: both lists are gone through in shuffled rounds.
-    n = min(settings.pairs, len(better) * len(worse))
-    rounds = lambda rows: np.concatenate([draw.permutation(rows) for _ in range(-(-n // len(rows)))])[:n]
-    d = z[rounds(better)] - z[rounds(worse)]
+    first, second = pairs(good, settings)
+    d, n = z[first] - z[second], len(first)
     w = np.zeros(WIDTH)
     for _ in range(settings.steps):
         p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # of the wrong preference
@@ -200,4 +205,6 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fitted(docs, labels, settings, id_column, text_column)
-    return scored(docs, model, id_column, text_column).select(id_column, held_out(id_column).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model, id_column, text_column).select(
+        id_column, held_out(id_column).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

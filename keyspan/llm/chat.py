@@ -175,7 +175,10 @@ def format_turns(df: DataFrame, expansion: Expansion | None = None) -> DataFrame
         parts = F.lit(None).cast(PART_SCHEMA)
         order = F.col("text").cast("string")
     text = F.lit(None).cast("string") if "parts" in df.columns else F.col("text").cast("string")
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), parts.alias("parts"), order.alias("order"))
+    rows = df.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"), text.alias("text"), parts.alias("parts"), order.alias("order"),
+    )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "order").drop("order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +190,10 @@ def format_turns(df: DataFrame, expansion: Expansion | None = None) -> DataFrame
                 position = position + 1 if conv == current else 0
                 current = conv
                 made = render_turn(role, typed if typed is not None else [{"type": "text", "text": plain}], expansion)
-                for key, value in (("conv_id", conv), ("turn", turn), ("position", position), ("formatted", "".join(made.text)), ("loss", [{"start": a, "end": b} for a, b in made.loss]), ("attachments", made.attachments)):
+                for key, value in (
+                    ("conv_id", conv), ("turn", turn), ("position", position), ("formatted", "".join(made.text)),
+                    ("loss", [{"start": a, "end": b} for a, b in made.loss]), ("attachments", made.attachments)
+                ):
                     out[key].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
 
@@ -242,4 +248,6 @@ def conversation_digests(rendered: DataFrame) -> DataFrame:
         if state is not None:
             yield closed([state])
 
-    return rendered.select("conv_id", "position", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rendered.select("conv_id", "position", "formatted", "loss").mapInArrow(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )

@@ -93,7 +93,10 @@ def repeat_words(words: Column, window_hash: Callable[..., Column] = F.xxhash64)
 
     def checked(again: Column) -> Column:
         """Neighbours under one hash have to be one window."""
-        clash = F.exists(F.transform(again, lambda v, j: (j > 0) & (F.get(again, j - 1)["x"] == v["x"]) & (spelled(F.get(again, j - 1)["i"]) != spelled(v["i"]))), lambda x: F.coalesce(x, F.lit(False)))
+        clash = F.exists(
+            F.transform(again, lambda v, j: (j > 0) & (F.get(again, j - 1)["x"] == v["x"]) & (spelled(F.get(again, j - 1)["i"]) != spelled(v["i"]))),
+            lambda x: F.coalesce(x, F.lit(False)),
+        )
         exact = _let(sorted_windows(F.transform(heads, lambda _, i: spelled(i))), lambda s: total(repeated(s)))
         return F.when(clash, exact).otherwise(total(again))
 
@@ -128,10 +131,16 @@ def _measures(text: Column, common: Column) -> Column:
     """All that is counted in a text, from one list of its words."""
 
     def marks(rest: Column) -> Column:
-        return F.struct(F.length(rest).alias("all"), (F.length(rest) - F.length(_without(rest, SYMBOLS))).alias("symbols"), F.length(F.regexp_replace(rest, "[^0-9]+", "")).alias("digits"))
+        return F.struct(
+            F.length(rest).alias("all"), (F.length(rest) - F.length(_without(rest, SYMBOLS))).alias("symbols"),
+            F.length(F.regexp_replace(rest, "[^0-9]+", "")).alias("digits"),
+        )
 
     def characters(solid: Column) -> Column:
-        return F.struct(F.length(solid).alias("all"), F.length(F.regexp_replace(solid, "[^\\p{Lu}]+", "")).alias("upper"), _let(F.regexp_replace(solid, "\\p{L}+", ""), marks).alias("marks"))
+        return F.struct(
+            F.length(solid).alias("all"), F.length(F.regexp_replace(solid, "[^\\p{Lu}]+", "")).alias("upper"),
+            _let(F.regexp_replace(solid, "\\p{L}+", ""), marks).alias("marks"),
+        )
 
     def of(words: Column) -> Column:
         return F.struct(
@@ -155,8 +164,14 @@ def measured(df: DataFrame, words: DataFrame, keep: bool = False) -> DataFrame:
     rows = df.select(own.alias("own"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("ref_lang"), text.alias("text")).join(F.broadcast(words), "ref_lang", "left")
     rows = rows.select("own", "ref_lang", "common_words", lines.alias("n_dup_lines"), _measures(F.col("text"), F.col("common_words")).alias("m"))
     c = F.col("m.c")
-    classes = F.array(*(x.cast("long") for x in (c["upper"], c["all"] - c["marks"]["all"] - c["upper"], c["marks"]["digits"], c["marks"]["symbols"], c["marks"]["all"] - c["marks"]["digits"] - c["marks"]["symbols"])))
-    return rows.select("own", "ref_lang", "common_words", F.col("m.n_words").alias("n_words"), c["all"].cast("long").alias("word_chars"), c["marks"]["symbols"].cast("long").alias("n_symbols"), "n_dup_lines", F.col("m.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), F.col("m.common").alias("common"))
+    classes = F.array(
+        *(x.cast("long") for x in (c["upper"], c["all"] - c["marks"]["all"] - c["upper"], c["marks"]["digits"], c["marks"]["symbols"], c["marks"]["all"] - c["marks"]["digits"] - c["marks"]["symbols"]))
+    )
+    return rows.select(
+        "own", "ref_lang", "common_words", F.col("m.n_words").alias("n_words"), c["all"].cast("long").alias("word_chars"),
+        c["marks"]["symbols"].cast("long").alias("n_symbols"), "n_dup_lines", F.col("m.n_repeat_words").alias("n_repeat_words"),
+        classes.alias("classes"), F.col("m.common").alias("common"),
+    )
 
 
 def references(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -166,11 +181,24 @@ def references(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     other; too short documents, and those that one common word fills by more than
     ``witness_share``, say nothing of the language.
     """
-    seen = counts.where((F.col("n_words") >= rules.min_words) & F.coalesce(F.array_max("common") <= rules.witness_share * F.col("n_words"), F.lit(True)) & (F.col("word_chars") > 0))
+    seen = counts.where(
+        (F.col("n_words") >= rules.min_words) & F.coalesce(F.array_max("common") <= rules.witness_share * F.col("n_words"), F.lit(True))
+        & (F.col("word_chars") > 0)
+    )
     classes = lambda df: df.agg(*(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
-    whole = classes(seen).select(F.lit(None).cast("string").alias("ref_lang"), F.lit(None).cast("array<double>").alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share"))
-    means = seen.where(F.col("common").isNotNull()).groupBy("ref_lang").agg(F.max(F.size("common")).alias("size"), *(F.avg(F.get("common", F.lit(k)) / F.col("n_words")).alias(f"w{k}") for k in range(rules.common)), *(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5)))
-    return means.select("ref_lang", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.col("size")).alias("common_share"), F.array(*(f"c{k}" for k in range(5))).alias("class_share")).unionByName(whole)
+    whole = classes(seen).select(
+        F.lit(None).cast("string").alias("ref_lang"), F.lit(None).cast("array<double>").alias("common_share"),
+        F.array(*(f"c{k}" for k in range(5))).alias("class_share")
+    )
+    means = seen.where(F.col("common").isNotNull()).groupBy("ref_lang").agg(
+        F.max(F.size("common")).alias("size"),
+        *(F.avg(F.get("common", F.lit(k)) / F.col("n_words")).alias(f"w{k}") for k in range(rules.common)),
+        *(F.avg(F.col("classes")[k] / F.col("word_chars")).alias(f"c{k}") for k in range(5))
+    )
+    return means.select(
+        "ref_lang", F.slice(F.array(*(f"w{k}" for k in range(rules.common))), F.lit(1), F.col("size")).alias("common_share"),
+        F.array(*(f"c{k}" for k in range(5))).alias("class_share")
+    ).unionByName(whole)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -193,9 +221,17 @@ def verdicts(counts: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> Data
     rows = rows.crossJoin(F.broadcast(every)).withColumn("class_share", F.coalesce("class_share", F.when(F.col("all_class_share")[0].isNotNull(), F.col("all_class_share"))))
     n, chars = F.col("n_words"), F.col("word_chars")
     tested = n >= rules.min_words
-    rows = rows.withColumn("char_distance", F.when(tested & F.col("class_share").isNotNull() & (chars > 0), js_distance(F.transform("classes", lambda x: x / chars), F.col("class_share"))))
+    rows = rows.withColumn(
+        "char_distance",
+        F.when(
+            tested & F.col("class_share").isNotNull() & (chars > 0),
+            js_distance(F.transform("classes", lambda x: x / chars), F.col("class_share")),
+        ),
+    )
     rows = rows.withColumn("word_distance", F.when(tested & F.col("common_share").isNotNull(), js_distance(F.transform("common", lambda x: x / n), F.col("common_share"))))
-    far = F.coalesce(F.col("char_distance") > rules.char_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.word_limit + rules.word_scatter / F.sqrt("n_words"), F.lit(False))
+    far = F.coalesce(F.col("char_distance") > rules.char_limit, F.lit(False)) | F.coalesce(
+        F.col("word_distance") > rules.word_limit + rules.word_scatter / F.sqrt("n_words"), F.lit(False),
+    )
     failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
     return rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
 

@@ -56,7 +56,9 @@ _TOKEN = re.compile(
 
 # Element names of HTML, and words of class, id and role that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
+)
 #: Blocks that hold one line of a part; any other block is a part of the page.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot pre blockquote figcaption caption hr address summary".split())
 HEADINGS = frozenset("h1 h2 h3".split())

@@ -72,7 +72,10 @@ def source_rates(df: DataFrame, weights: dict[str, float], rest: float = 1.0, ep
     return counted.crossJoin(F.broadcast(sums)).select(_SOURCE, "__docs", "__all", rate.alias(_RATE))
 
 
-def mixed(df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: float = 1.0, seed: str = "mix-1", id_column: str = "doc_id", source_column: str = "source", max_sources: int = 1000, shuffled: bool = True, copy_name: str | None = None, key_name: str | None = None) -> DataFrame:
+def mixed(
+    df: DataFrame, weights: dict[str, float], rest: float = 1.0, epoch: float = 1.0, seed: str = "mix-1", id_column: str = "doc_id",
+    source_column: str = "source", max_sources: int = 1000, shuffled: bool = True, copy_name: str | None = None, key_name: str | None = None,
+) -> DataFrame:
     """The documents, each as often as it drew, in the order of their keys: a hash of seed, id and copy.
 
     ``copy_name`` and ``key_name`` name columns for the copy's number, from 1, and the key.

@@ -30,7 +30,10 @@ def op3_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "turn", "role", "text"]
-    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id long, turn long, role string, text string",
+    )
     rows = read_table(spark, sf_dir, "conversations").select(columns).union(extra)
     return chat.conversation_digests(chat.format_turns(rows))
 
@@ -66,6 +69,9 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ann_adaptive_scan, op2_bradley_terry, op3_html_line_blocks, op4_chat_parts, op5_token_counts, op6_divergence_rules, op7_byte_bpe, op8_token_files, op9_simhash, op10_poisson_mix)
+    for f in (
+        op1_ann_adaptive_scan, op2_bradley_terry, op3_html_line_blocks, op4_chat_parts, op5_token_counts, op6_divergence_rules,
+        op7_byte_bpe, op8_token_files, op9_simhash, op10_poisson_mix,
+    )
 }
 SQL: dict[str, str] = {"op4_chat_parts": sql.OP4, "op6_divergence_rules": sql.OP6, "op10_poisson_mix": sql.OP10}

@@ -39,8 +39,8 @@ class SegmentCache:
     segments come up again.
     """
 
-    def __init__(self, encode, room: int = ROOM):
-        self.encode, self.room, self.known, self.held = encode, room, {}, 0
+    def __init__(self, encode, room: int = ROOM, at_once: int = 4096):
+        self.encode, self.room, self.at_once, self.known, self.held = encode, room, at_once, {}, 0
 
     def _remember(self, made: dict) -> None:
         new = {s: v for s, v in made.items() if len(s) <= LONGEST}
@@ -57,8 +57,8 @@ class SegmentCache:
         if None in found:
             fresh = list({s for s, v in zip(segments, found) if v is None})
             made: dict = {}
-            for k in range(0, len(fresh), 4096):
-                part = fresh[k : k + 4096]
+            for k in range(0, len(fresh), self.at_once):
+                part = fresh[k : k + self.at_once]
                 made.update(zip(part, self.encode(part), strict=True))
             found = [made[s] if v is None else v for s, v in zip(segments, found)]
             self._remember(made)

@@ -216,7 +216,10 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2, crowd: int = CROW
     links = found.where("not crowded").select("a", "b")
     if threshold < 2:  # points within one bit would join members two bits apart
         return links.union(_exact_crowds(found, threshold))
-    points = F.concat(F.array(F.col("a")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+    points = F.concat(
+        F.array(F.col("a")),
+        F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))),
+    )
     ball = found.where("crowded").select("a").distinct().select("a", F.explode(points).alias("point"))
     least = ball.groupBy("point").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most")
     # Every member of a point meets its least one: 65 rows a member, and no pairs.

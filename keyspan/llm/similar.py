@@ -95,7 +95,10 @@ def _shingled(texts: DataFrame) -> DataFrame:
             where, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets = [shingles(t or b"").tobytes() for t in as_binary(batch.column(2)).to_pylist()]
             at = [(k, p) for k, w in enumerate(where) for p in w]
-            return {"bucket": [p["bucket"] for _, p in at], "block": [p["block"] for _, p in at], "key": [keys[k] for k, _ in at], "label": [p["label"] for _, p in at], "asks": [p["asks"] for _, p in at], "shingles": [sets[k] for k, _ in at]}
+            return {
+                "bucket": [p["bucket"] for _, p in at], "block": [p["block"] for _, p in at], "key": [keys[k] for k, _ in at],
+                "label": [p["label"] for _, p in at], "asks": [p["asks"] for _, p in at], "shingles": [sets[k] for k, _ in at]
+            }
 
         return work
 
@@ -213,8 +216,13 @@ def _answers(similar: tuple[int, int]):
 
 def _bucketed(sketches: DataFrame, labels: DataFrame, first: int, last: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Texts' places in the bands from ``first`` to ``last``, and the buckets whose texts are not all linked, once for the same texts."""
-    placed = sketches.join(labels, sketches.key == labels.node, "left").select("key", "size", F.coalesce("component", "key").alias("label"), F.explode(F.slice("buckets", first + 1, last - first)).alias("bucket"))
-    members = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all"), F.min("label").alias("x"), F.max("label").alias("y"))
+    placed = sketches.join(labels, sketches.key == labels.node, "left").select(
+        "key", "size", F.coalesce("component", "key").alias("label"), F.explode(F.slice("buckets", first + 1, last - first)).alias("bucket"),
+    )
+    members = placed.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"),
+        F.bit_xor(F.xxhash64("key")).alias("all"), F.min("label").alias("x"), F.max("label").alias("y"),
+    )
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / crowd), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     return placed, members.where("x <> y").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket"), F.first(blocks).alias("blocks"))
 
@@ -274,7 +282,10 @@ def firsts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     table gives an empty one.
     """
     text = F.col(f"`{text_column}`").cast("string")
-    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    keyed = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
+        F.monotonically_increasing_id().alias("rid"),
+    )
     rows = written(keyed, "rows")
     texts = rows.select("rid", "key", F.col("row").getField(text_column).cast("string").alias("text"))
     group = groups(texts, crowd=crowd)

@@ -157,7 +157,10 @@ def spliced_count(encoder: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap
     return total + left.size - first
 
 
-def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def token_counts(
+    df: DataFrame, vocabulary: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK_CHARS,
+    overlap: int = OVERLAP_CHARS,
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every text, without special tokens added."""
 
     def make():

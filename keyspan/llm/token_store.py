@@ -220,7 +220,13 @@ def _blocks(by_rank: np.ndarray, kind: str):
         def block(docs: list, parts: list) -> pa.RecordBatch:
             counts = np.array([len(p) // width for p in parts], np.int64)
             ranks = rank_of[np.frombuffer(b"".join(parts), kind)]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([block_bytes(docs, counts, ranks)], pa.binary())], names=["part", "block", "n_ids", "bytes"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([int(counts.sum())], pa.int64()),
+                    pa.array([block_bytes(docs, counts, ranks)], pa.binary()),
+                ],
+                names=["part", "block", "n_ids", "bytes"],
+            )
 
         docs: list = []
         parts: list = []
@@ -272,11 +278,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 n = len(docs)
                 bounds = [0, *(4 * ends).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(docs, pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array([ids[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                    [
+                        pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int64()),
+                        pa.array(docs, pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()),
+                        pa.array([ids[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())
+                    ],
                     names=["part", "block", "seq", "id", "before_in_block", "n_tokens", "ids"],
                 )
 
-    return spark.read.parquet(f"{path}/blocks").select("part", "block", "bytes").mapInArrow(run, "part int, block long, seq long, id long, before_in_block long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{path}/blocks").select("part", "block", "bytes").mapInArrow(
+        run, "part int, block long, seq long, id long, before_in_block long, n_tokens long, ids binary",
+    )
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -291,14 +303,18 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     before_part = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("before_part"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("block")) - F.col("n_ids")
-    return blocks.select("part", "block", inside.alias("inside")).join(before_part, "part").select("part", "block", (F.col("inside") + F.col("before_part")).alias("before_block"))
+    return blocks.select("part", "block", inside.alias("inside")).join(before_part, "part").select(
+        "part", "block", (F.col("inside") + F.col("before_part")).alias("before_block"),
+    )
 
 
 def stored_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
     """id, start, n_tokens and ids_crc32 of every document, from the files."""
     raw = read_tokens(spark, path)
     checked = raw.select("part", "block", "id", "before_in_block", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return checked.join(block_starts(spark, path), ["part", "block"]).select(F.col("id").alias(id_column), (F.col("before_block") + F.col("before_in_block")).alias("start"), "n_tokens", "ids_crc32")
+    return checked.join(block_starts(spark, path), ["part", "block"]).select(
+        F.col("id").alias(id_column), (F.col("before_block") + F.col("before_in_block")).alias("start"), "n_tokens", "ids_crc32",
+    )
 
 
 def token_file_path(spark: SparkSession) -> str:

@@ -104,7 +104,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_classifier_of_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "word " * 50_000)], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("good", F.lit(1))
+    docs = spark.createDataFrame(
+        [(1, None), (2, ""), (2, ""), (None, "word " * 50_000)], "doc_id long, text string",
+    ).withColumn("score", F.lit("clash")).withColumn("good", F.lit(1))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int")
     rows = bradley_terry.quality(docs, labels).collect()
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
@@ -125,8 +127,14 @@ def test_pairs_rank_by_strength():
 # op3
 
 PAGES = [
-    ("<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One.<p>Two&nbsp; \n three<br>four</article><footer>f</footer>", "Head & line\nOne.\nTwo three four"),
-    ("<div id=menu><ul><li><a>a</a><li><a>b</a></ul></div><div class=content><p>" + "long text " * 12 + "<div class='ad-box'>buy</div><p>end</div><div id=comments><p>" + "I think so too " * 12 + "</div>", ("long text " * 12).strip() + "\nend"),
+    (
+        "<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One.<p>Two&nbsp; \n "
+        "three<br>four</article><footer>f</footer>", "Head & line\nOne.\nTwo three four",
+    ),
+    (
+        "<div id=menu><ul><li><a>a</a><li><a>b</a></ul></div><div class=content><p>" + "long text " * 12 + "<div class='ad-box'>buy</div><p>end</div><div id=comments><p>" + "I think so too " * 12 + "</div>",
+        ("long text " * 12).strip() + "\nend",
+    ),
     ("<article><p>x<script>var a='</p><p>no';</script>y<!-- <p>no --><aside>no</aside><form>no</form></article>", "xy"),
     ("<p>&lt;b&gt; is <b>bold</b>, 1 < 2 &#233;</p>", "<b> is bold, 1 < 2 é"),
     ("", ""),
@@ -182,7 +190,10 @@ def test_the_curve_decides_and_each_list_only_helps(spark, monkeypatch):
 
 
 def test_no_name_empties_an_article():
-    for inside in ('<div class="tags-and-social-history"><p>A real paragraph</p></div>', '<section id="header-files"><p>A real paragraph</p></section>', '<div class="comments">A real paragraph</div>'):
+    for inside in (
+        '<div class="tags-and-social-history"><p>A real paragraph</p></div>',
+        '<section id="header-files"><p>A real paragraph</p></section>', '<div class="comments">A real paragraph</div>',
+    ):
         assert html_extract.main_text(f"<nav>n</nav><article>{inside}</article><footer>f</footer>") == "A real paragraph"
 
 
@@ -226,7 +237,9 @@ def test_pages_query_keeps_the_articles(spark):
 
 
 def test_pages_of_odd_tables(spark):
-    df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>" + "a b " * 100_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))
+    df = spark.createDataFrame(
+        [(1, None, None), (1, None, None), (None, "u", "<p>" + "a b " * 100_000)], "page_id long, url string, html string",
+    ).withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in html_extract.extract(df).collect()) == [(0, 399_999), (1, 0), (1, 0)]
     assert html_extract.extract(df.where("false")).count() == 0
 
@@ -251,7 +264,10 @@ def test_counts_against_brute_force(spark):
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         r = rows[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for w in words for c in w), len(lines) - len(set(lines)), _repeat_words(words)), t
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for w in words for c in w), len(lines) - len(set(lines)),
+            _repeat_words(words),
+        ), t
         assert r["base_failed"] == (len(words) < 50 or 100 * _repeat_words(words) > 50 * len(words))
     assert divergence.quality_rules(df.where("false")).count() == 0
     assert divergence.kept_documents(df).columns == df.columns
@@ -347,7 +363,9 @@ def test_every_word_is_near_an_anchor():
 
 
 def test_near_duplicates_of_odd_tables(spark):
-    df = spark.createDataFrame([(3, None), (2, ""), (9, " \n"), (4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (5, "z " * 100_000)], "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("component", F.lit(2))
+    df = spark.createDataFrame(
+        [(3, None), (2, ""), (9, " \n"), (4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (5, "z " * 100_000)], "doc_id long, text string",
+    ).withColumn("fp", F.lit(1)).withColumn("component", F.lit(2))
     rows = simhash.near_duplicates(df).collect()
     by = sorted(((r["doc_id"] or -1), r["component_id"]) for r in rows)
     assert [b for b in by if b[0] in (2, 3, 9)] == [(2, 2), (3, 2), (9, 2)]
@@ -380,7 +398,9 @@ def test_draws_invert_the_distribution(spark):
 
 
 def test_mix_of_odd_tables(spark):
-    df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "", "a"), (2, "x", "zero")] * 50, "doc_id long, text string, source string").withColumn("__docs", F.lit("clash")).withColumn("copy", F.lit(1))
+    df = spark.createDataFrame(
+        [(1, None, None), (1, None, None), (None, "", "a"), (2, "x", "zero")] * 50, "doc_id long, text string, source string",
+    ).withColumn("__docs", F.lit("clash")).withColumn("copy", F.lit(1))
     out = mixing.mixed(df, {"zero": 0.0})
     assert out.where("source = 'zero'").count() == 0 and out.where("source is null").count() > 0
     assert out.columns == df.columns

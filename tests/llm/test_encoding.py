@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from keyspan.llm import bpe, chat, queries, token_count, token_store
 from keyspan.llm.segments import ENTRY_BYTES, LONGEST, SegmentCache, blank_segments, byte_level_segments, tokenizer
 
-ODD = list("aab  'strevld.,!1²½ \n\n\t\x0b\x85\xa0 é中文字😀ß'̈İ٣'''×÷") + ["'re", "'ve", "'s", " '", "<|endoftext|>", "<|startoftext|>", "x" * 70, "\x1c", "!!", " |", "foo,", "bar\n", "İ"]
+ODD = list("aab  'strevld.,!1²½ \n\n\t\x0b\x85\xa0 é中文字😀ß'̈İ٣'''×÷") + [
+    "'re", "'ve", "'s", " '", "<|endoftext|>", "<|startoftext|>", "x" * 70, "\x1c", "!!", " |", "foo,", "bar\n", "İ",
+]
 
 
 def odd_texts(n, longest=60, seed=5):
@@ -232,7 +234,10 @@ def test_typed_parts_become_placeholders(spark):
     assert text.count("<|image|>") == 1
     with pytest.raises(ValueError, match="unknown part type"):
         chat.render_turn("user", [{"type": "video"}])
-    df = spark.createDataFrame([(1, 0, "user", [tuple(p.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")) for p in parts])], f"conv_id long, turn long, role string, parts {chat.PART_SCHEMA}")
+    df = spark.createDataFrame(
+        [(1, 0, "user", [tuple(p.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")) for p in parts])],
+        f"conv_id long, turn long, role string, parts {chat.PART_SCHEMA}",
+    )
     row = chat.format_turns(df).first()
     assert [a["ref"] for a in row["attachments"]] == ["a.png", "b.wav", "c.pdf"]
     assert row["loss"] == []
