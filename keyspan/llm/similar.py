@@ -214,17 +214,23 @@ def _answers(similar: tuple[int, int]):
     return run
 
 
-def _bucketed(sketches: DataFrame, labels: DataFrame, first: int, last: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Texts' places in the bands from ``first`` to ``last``, and the buckets whose texts are not all linked, once for the same texts."""
-    placed = sketches.join(labels, sketches.key == labels.node, "left").select(
-        "key", "size", F.coalesce("component", "key").alias("label"), F.explode(F.slice("buckets", first + 1, last - first)).alias("bucket"),
-    )
-    members = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"),
-        F.bit_xor(F.xxhash64("key")).alias("all"), F.min("label").alias("x"), F.max("label").alias("y"),
-    )
+def _shared_buckets(sketches: DataFrame, crowd: int) -> DataFrame:
+    """key, band, bucket and the bucket's number of blocks, where a bucket has several texts."""
+    placed = sketches.select("key", "size", F.posexplode("buckets").alias("band", "bucket"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / crowd), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    return placed, members.where("x <> y").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket"), F.first(blocks).alias("blocks"))
+    several = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    return placed.select("key", "band", "bucket").join(several.select("bucket", blocks.alias("blocks")), "bucket")
+
+
+def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The places in buckets whose texts are not all linked, with labels; buckets of the same texts once."""
+    labelled = placed.join(labels, placed.key == labels.node, "left").select("key", "bucket", "blocks", F.coalesce("component", "key").alias("label"))
+    members = labelled.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all"),
+        F.min("label").alias("x"), F.max("label").alias("y"),
+    )
+    once = members.where("x <> y").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return labelled.join(once, "bucket", "left_semi")
 
 
 def _sets(texts: DataFrame, places: DataFrame) -> DataFrame:
@@ -252,22 +258,20 @@ def groups(texts: DataFrame, similar: tuple[int, int] = (4, 5), crowd: int = CRO
     near = fingerprint_links(by_bits.select("fp"), 2).join(of("a"), "a").join(of("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     same = sketches.join(by_bits, "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     found = near.union(same)
+    shared = written(_shared_buckets(sketches, crowd), "shared")
+    at = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks"))
     labels = spark.createDataFrame([], "node long, component long")
     first = 0
     for last in steps:
-        placed, open_ = _bucketed(sketches, labels, first, last, crowd)
-        at = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks"))
-        places = placed.join(open_, "bucket").select("key", _place(at, False).alias("place"))
+        places = _open(shared.where(F.col("band").between(first, last - 1)), labels).select("key", _place(at, False).alias("place"))
         found = written(found.union(_sets(texts, places).mapInArrow(_links(similar), _LINKS)).distinct(), "links")
         labels = components(found)
         first = last
-    placed, open_ = _bucketed(sketches, labels, 0, BANDS, crowd)
-    crowded = written(placed.join(open_.where("blocks > 1"), "bucket"), "crowded")
+    crowded = written(_open(shared.where("blocks > 1"), labels), "crowded")
     if crowded.isEmpty():
         return labels
     sizes = crowded.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    at = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks"))
     held = crowded.select("key", _place(at, False).alias("place"))
     asking = crowded.join(largest, "bucket").where("label <> largest").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = _sets(texts, held.union(asking.select("key", _place(F.col("at"), True).alias("place")))).mapInArrow(_answers(similar), _LINKS)
