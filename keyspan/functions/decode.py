@@ -36,17 +36,13 @@ def _kind(t: T.DataType) -> str:
     return name
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _faults(item: Column, kind: T.DataType, path: str, required: bool) -> list[tuple[Column, str]]:
-    """(test, message) of all that may be wrong with a VARIANT, outer faults first."""
+def _faults(root: Column, at: str, kind: T.DataType, path: str, required: bool) -> list[tuple[Column, str]]:
+    """(test, message) of all that may be wrong with the VARIANT at a place of ``root``, outer faults first."""
+    item = F.try_variant_get(root, at, "variant")
     named = F.schema_of_variant(item)
     present = item.isNotNull() & (named != "VOID")
     found: list[tuple[Column, str]] = []
@@ -54,13 +50,13 @@ def _faults(item: Column, kind: T.DataType, path: str, required: bool) -> list[t
         is_record = present & named.startswith("OBJECT")
         found.append((present & ~named.startswith("OBJECT"), f"{path}: wrong type"))
         for f in kind.fields:
-            inner = F.try_variant_get(item, f"$.{f.name}", "variant")
-            found += [(is_record & F.coalesce(test, F.lit(False)), message) for test, message in _faults(inner, f.dataType, f"{path}.{f.name}", not f.nullable)]
+            inner = _faults(root, f"{at}.{f.name}", f.dataType, f"{path}.{f.name}", not f.nullable)
+            found += [(is_record & F.coalesce(test, F.lit(False)), message) for test, message in inner]
     elif isinstance(kind, T.ArrayType):
         is_array = present & named.startswith("ARRAY")
         found.append((present & ~named.startswith("ARRAY"), f"{path}: wrong type"))
-        each = lambda x: F.coalesce(_any([test for test, _ in _faults(x, kind.elementType, path, True)]), F.lit(False))
-        elements = F.coalesce(F.try_variant_get(item, "$", "array<variant>"), F.array().cast("array<variant>"))
+        each = lambda x: F.coalesce(_any([test for test, _ in _faults(x, "$", kind.elementType, path, True)]), F.lit(False))
+        elements = F.coalesce(F.try_variant_get(root, at, "array<variant>"), F.array().cast("array<variant>"))
         found.append((F.when(is_array, F.exists(elements, each)).otherwise(False), f"{path}: wrong element"))
     else:
         found.append((present & ~named.isin(_JSON_TYPES[_kind(kind)]), f"{path}: wrong type"))
@@ -72,30 +68,28 @@ def _faults(item: Column, kind: T.DataType, path: str, required: bool) -> list[t
 def try_json(text: Column, schema: T.StructType) -> Column:
     """Result of a record. ``payload`` of an error is the field's path or the reason.
 
-    The text is read as the only element of an array and as the only value of an object.
-    What passes as both, with one element, is one document with white space around it.
+    The text is read as the only element of an array. A parser stops where the array
+    ends, so text behind the document is either a second element or follows a closing bracket of
+    its own: only a text that has one is read again, as the only value of an object, and what passes as
+    both is one document with white space around it. A text that is not is read by
+    itself, to tell what it is. Spark evaluates equal expressions of a row once.
     """
-
-    def of(read: Column) -> Column:
-        v = F.try_variant_get(read["object"], "$.document", "variant")
-        single = F.coalesce(F.size(F.try_variant_get(read["array"], "$", "array<variant>")) == 1, F.lit(False)) & v.isNotNull()
-        is_record = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-        alone = F.coalesce(F.schema_of_variant(read["alone"]).startswith("OBJECT"), F.lit(False))
-        faults = [
-            (~single & ~alone | single & ~is_record, error("InvalidText", "json", F.lit("not one JSON object"))),
-            (~single, error("InvalidText", "json", F.lit("trailing text"))),
-        ]
-        fields = []
-        for f in schema.fields:
-            item = F.try_variant_get(v, f"$.{f.name}", "variant")
-            faults += [(test, error("InvalidText", "json", F.lit(message))) for test, message in _faults(item, f.dataType, f.name, not f.nullable)]
-            fields.append(F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name))
-        return result(F.struct(*fields), *faults)
-
-    array, document = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"document":'), text, F.lit("}")))
-    # Only a text that is not one document is read a third time, to tell what it is.
-    alone = F.when(array.isNull() | document.isNull() | (F.size(F.try_variant_get(array, "$", "array<variant>")) != 1), F.try_parse_json(text))
-    return _let(F.struct(array.alias("array"), document.alias("object"), alone.alias("alone")), of)
+    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = F.when(F.instr(text, "]") == 0, True).otherwise(F.try_parse_json(F.concat(F.lit('{"document":'), text, F.lit("}"))).isNotNull())
+    first, second = F.try_variant_get(array, "$[0]", "variant"), F.try_variant_get(array, "$[1]", "variant")
+    single = F.coalesce(first.isNotNull() & second.isNull() & whole, F.lit(False))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    alone = F.when(single, False).otherwise(is_object(F.try_parse_json(text)))
+    faults = [
+        (F.when(single, ~is_object(first)).otherwise(~alone), error("InvalidText", "json", F.lit("not one JSON object"))),
+        (~single, error("InvalidText", "json", F.lit("trailing text"))),
+    ]
+    fields = []
+    for f in schema.fields:
+        at = f"$[0].{f.name}"
+        faults += [(test, error("InvalidText", "json", F.lit(message))) for test, message in _faults(array, at, f.dataType, f.name, not f.nullable)]
+        fields.append(F.try_variant_get(array, at, f.dataType.simpleString()).alias(f.name))
+    return result(F.struct(*fields), *faults)
 
 
 # Shapes of ``decode_rows``.
