@@ -33,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from keyspan.llm.common import as_binary, map_arrow, written
+from keyspan.llm.common import CHUNK_BYTES, as_binary, map_arrow, pieces, written
 from keyspan.llm.components import components
 from keyspan.llm.simhash import fingerprint_links, majority
 
@@ -87,22 +89,30 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, make, "key long, size long, fp long, buckets array<long>", "text")
 
 
-def _shingled(texts: DataFrame) -> DataFrame:
-    """Columns places, key and text to a row for each place, with the shingles' hashes."""
+#: A row for each place of a text: its bucket, block and label, whether it asks or is asked, and its shingles' hashes.
+_PLACED = "bucket long, block int, key long, label long, asks boolean, shingles binary"
 
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            where, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingles(t or b"").tobytes() for t in as_binary(batch.column(2)).to_pylist()]
-            at = [(k, p) for k, w in enumerate(where) for p in w]
-            return {
-                "bucket": [p["bucket"] for _, p in at], "block": [p["block"] for _, p in at], "key": [keys[k] for k, _ in at],
-                "label": [p["label"] for _, p in at], "asks": [p["asks"] for _, p in at], "shingles": [sets[k] for k, _ in at]
-            }
 
-        return work
+def _shingled(texts: DataFrame) -> DataFrame:
+    """``_PLACED`` rows of texts (places, key, text), in batches of bounded size however many places a text has."""
+    fields = to_arrow_schema(StructType.fromDDL(_PLACED))
 
-    return map_arrow(texts, make, "bucket long, block int, key long, label long, asks boolean, shingles binary", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for part in pieces(batches, "text"):
+            for places, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_binary(part.column(2)).to_pylist()):
+                body = shingles(text or b"").tobytes()
+                for p in places:
+                    rows.append((p["bucket"], p["block"], key, p["label"], p["asks"], body))
+                    held += len(body) + 64
+                    if held > CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    return texts.mapInArrow(run, _PLACED)
 
 
 class Shared:
