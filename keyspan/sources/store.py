@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of each local application without a setting of its own; Spark lets no session set it later.
+_LOCAL: dict[str, str] = {}
 #: Scratch tables of the scopes that are open, innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -19,8 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not known:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        known = _LOCAL[application]
     return known.rstrip("/")
 
 

@@ -335,23 +335,20 @@ def test_archives_keep_links(spark):
 
 def test_fetch_after_a_torn_write_and_with_origins(spark, tmp_path):
     import hashlib
+    import os
+    import uuid
 
-    (tmp_path / "good").write_bytes(b"body")
+    body = uuid.uuid4().bytes  # content that no earlier run has kept
+    (tmp_path / "good").write_bytes(body)
     (tmp_path / "bad").write_bytes(b"other")
-    pin = hashlib.sha256(b"body").hexdigest()
-    torn = tmp_path / "content" / pin
+    pin = hashlib.sha256(body).hexdigest()
     kept = f"{shared_dir(spark)}/content/{pin}"
-    local = kept.removeprefix("file://")
-    import os
-
-    os.makedirs(local, exist_ok=True)
-    assert exists(spark, kept) and not complete(spark, kept) and not torn.exists()
-    pins = spark.createDataFrame(
-        [("x", [f"{tmp_path}/none", f"{tmp_path}/bad", f"{tmp_path}/good"], pin), ("y", [f"{tmp_path}/bad"], "0" * 64)],
-        "name string, url array<string>, sha256 string",
-    )
+    os.makedirs(kept.removeprefix("file://"))  # a write that was torn
+    assert exists(spark, kept) and not complete(spark, kept)
+    rows = [("x", [f"{tmp_path}/none", f"{tmp_path}/bad", f"{tmp_path}/good"], pin), ("y", [f"{tmp_path}/bad"], "0" * 64)]
+    pins = spark.createDataFrame(rows, "name string, url array<string>, sha256 string")
     found = {r["name"]: (r["content"] and bytes(r["content"]), r["err"]) for r in blobs.fetch(spark, pins).collect()}
-    assert found == {"x": (b"body", None), "y": (None, "FetchIntegrity")} and complete(spark, kept)
+    assert found == {"x": (body, None), "y": (None, "FetchIntegrity")} and complete(spark, kept)
 
 
 def test_digests_see_swapped_contents(spark, tmp_path):
@@ -482,3 +479,17 @@ def test_programs_run_only_where_allowed(spark):
     assert bytes(found[1]["ok"]["stdout"]) == b"in" and bytes(found[6]["ok"]["stdout"]) == b"A=b\n"
     assert (found[2]["err"]["exit"], found[2]["err"]["stderr"]) == (3, "x\n")
     assert all(found[k]["err"]["code"] == "ProcessFailure" and found[k]["err"]["exit"] is None for k in (3, 4, 5))
+
+
+class _Session:
+    """As much of a session as the store looks at where no folder is set."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"test-{master}"})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+
+def test_machine_local_folders_are_for_local_masters():
+    assert shared_dir(_Session("local[2]")) == shared_dir(_Session("local[2]")) != ""
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://host:7077"))
