@@ -474,12 +474,13 @@ def test_stages_carry_any_columns_and_rows(spark, tmp_path):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out) and any(r["n_tokens"] == 0 for r in out)
 
 
-def test_pipeline_leaves_no_scratch(spark, sf_dir):
-    from keyspan.sources.store import children, shared_dir
+def test_pipeline_leaves_no_scratch(spark, sf_dir, tmp_path, monkeypatch):
+    from keyspan.sources import store
 
-    before = set(children(spark, shared_dir(spark)))
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")  # a folder of this test's own
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and len(set(children(spark, shared_dir(spark))) - before) == 1
+    left = store.children(spark, str(tmp_path))
+    assert out.count() > 0 and [n.rsplit("-", 1)[0] for n in left] == ["byte-level-BPE"]
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
