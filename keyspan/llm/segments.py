@@ -14,7 +14,7 @@ import re
 #: Bytes of text whose segments are looked up at once: as much as a processor's cache holds.
 LOOKUP_BYTES = 256 << 10
 #: Bytes that a cache holds, what an entry takes beside its contents, and the longest segment kept.
-ROOM, ENTRY_BYTES, LONGEST = 208 << 20, 180, 64
+ROOM, ENTRY_BYTES, LONGEST = 256 << 20, 180, 64
 
 _LOADED: dict[str, object] = {}
 
