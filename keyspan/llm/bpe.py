@@ -30,7 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import as_binary, map_arrow
-from keyspan.llm.segments import ROOM, SegmentCache
+from keyspan.llm.segments import SegmentCache
+
+#: Bytes that a worker's cache holds, and bytes of text encoded at once (some 40 bytes a character are held meanwhile).
+#: Spark keeps idle workers beside an executor's heap while other stages run, so both are small.
+ROOM, AT_ONCE = 64 << 20, 1 << 20
 
 # Classes of code points as they stand in a text.
 LETTER, DIGIT, OTHER, SHORT, LONG, BLANKS, LAST_SPACE, LAST_BLANK = range(8)
@@ -369,7 +373,7 @@ def encode(df: DataFrame, ranks: str, id_column: str = "doc_id", text_column: st
         return work
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, make, "id long, ids binary, offsets binary", "text").withColumnRenamed("id", id_column)
+    return map_arrow(rows, make, "id long, ids binary, offsets binary", "text", AT_ONCE).withColumnRenamed("id", id_column)
 
 
 def round_trip_digests(df: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -392,4 +396,4 @@ def round_trip_digests(df: DataFrame, ranks: str, id_column: str = "doc_id", tex
 
     rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
-    return map_arrow(rows, make, schema, "text").withColumnRenamed("id", id_column)
+    return map_arrow(rows, make, schema, "text", AT_ONCE).withColumnRenamed("id", id_column)
